@@ -19,8 +19,13 @@ LAGS = (1, 7, 14)
 ROLLS = (7, 14)
 
 
-def calendar_features(df: DataFrame, date: str) -> DataFrame:
-    return df.withColumns(calendar_parts(name(date)))
+def calendar_features(df: DataFrame, date: str, keep: Sequence[str | None] = ()) -> DataFrame:
+    """Date parts as columns. A part named like the date or a ``keep`` column is prefixed."""
+    taken = {date, *keep}
+    return df.withColumns({
+        f"cal_{part}" if part in taken else part: c
+        for part, c in calendar_parts(name(date)).items()
+    })
 
 
 def _lags(target: str, lags: Sequence[int], window: WindowSpec) -> dict[str, Column]:
@@ -63,7 +68,7 @@ def with_features(
         return {**_lags(roles.target, lags, window), **_rolls(roles.target, rolls, window)}
 
     reach = max([*lags, *rolls, 0])
-    dated = calendar_features(df, roles.date)
+    dated = calendar_features(df, roles.date, (roles.series, roles.target))
     return over_series(dated, roles, reach, 0, build, layout) if reach else dated
 
 
