@@ -51,26 +51,52 @@ def nan_to_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     })
 
 
-def value_key(column: str, dtype: T.DataType) -> Column:
-    """A short string that is equal exactly when two values of the column are equal.
+def group_value(column: str, dtype: T.DataType) -> Column:
+    """The column in a form that groups like its values: NaN as NULL, no long texts.
 
-    Long texts go through SHA-256, so a distinct count never shuffles whole documents.
+    Texts beyond 64 characters go through SHA-256, so a distinct count never shuffles
+    whole documents; nested values are compared as JSON.
     """
     c = name(column)
     if isinstance(dtype, FRACTIONAL):
-        zero = F.lit(0.0).cast(dtype)
-        return (F.nanvl(c, F.lit(None).cast(dtype)) + zero).cast("string")  # -0.0 counts as 0.0
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(c).cast("string")
+        return F.nanvl(c, F.lit(None).cast(dtype))
     if isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
         c = F.to_json(c)
     elif isinstance(dtype, T.BinaryType):
         c = F.hex(c)
     elif not isinstance(dtype, T.StringType):
-        return c.cast("string")
+        return c
     return F.when(F.length(c) > 64, F.concat(F.lit("#"), F.sha2(c, 256))).otherwise(c)
 
 
+VALUE_SLOTS = {"whole": "bigint", "number": "double", "text": "string", "time": "timestamp_ntz"}
+
+
+def typed_value(column: str, dtype: T.DataType) -> Column:
+    """A struct with the value in the slot of its kind, so columns of all types unpivot.
+
+    Two structs are equal exactly when the values are; no number is turned into text.
+    """
+    c = group_value(column, dtype)
+    if isinstance(dtype, T.BooleanType):
+        slot, c = "whole", c.cast("int")
+    elif isinstance(dtype, T.IntegralType):
+        slot = "whole"
+    elif isinstance(dtype, FRACTIONAL):
+        slot = "number"
+    elif isinstance(dtype, T.DateType):
+        slot, c = "whole", F.unix_date(c)
+    elif isinstance(dtype, T.TimestampType):
+        slot, c = "whole", F.unix_micros(c)
+    elif isinstance(dtype, T.TimestampNTZType):
+        slot = "time"
+    else:
+        slot = "text"
+    return F.struct(*[
+        (c if k == slot else F.lit(None)).cast(t).alias(k) for k, t in VALUE_SLOTS.items()
+    ])
+
+
 def to_long(df: DataFrame, values: dict[str, Column], keep: Sequence[str] = (),
             name_as: str = "column", value_as: str = "value") -> DataFrame:
     """One row per (row, entry of ``values``); all entries share a type."""

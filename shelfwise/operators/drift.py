@@ -20,7 +20,7 @@ BINS = 10
 PSI_LIMIT = 0.25
 DRIFT_SHARE = 0.4
 SHARE_FLOOR = 1e-6
-EDGE_DIGITS = 6
+EDGE_GRID = 1e6
 
 REFERENCE_SCHEMA = "column string, edges array<double>, counts array<long>, n_values long"
 
@@ -38,12 +38,14 @@ def psi_edges(
 ) -> dict[str, list[float]]:
     """Distinct quantile edges per column, in order; empty without values.
 
-    Edges are rounded so that a value equal to an edge stays on its side of it.
+    Edges and values are rounded to the same grid, so that a value equal to an edge stays
+    on its side of it.
     """
     shares = [i / bins for i in range(bins + 1)]
     found = exact_quantiles(reference, columns, shares, small_rows)
     return {
-        c: sorted({round(e, EDGE_DIGITS) for e in q if e is not None}) for c, q in found.items()
+        c: sorted({round(e * EDGE_GRID) / EDGE_GRID for e in q if e is not None})
+        for c, q in found.items()
     }
 
 
@@ -67,10 +69,12 @@ def _bin(x: Column, edges: Sequence[float]) -> Column:
 def histogram(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
     """Rows per (column, bin); bin -1 counts values outside the edges."""
     none = F.lit(None).cast("double")
-    bins = {
-        c: _bin(F.round(F.nanvl(as_double(c, df.schema[c].dataType), none), EDGE_DIGITS), e)
-        for c, e in edges.items()
-    }
+
+    def on_grid(c: str) -> Column:
+        x = F.nanvl(as_double(c, df.schema[c].dataType), none)
+        return F.rint(x * EDGE_GRID) / EDGE_GRID
+
+    bins = {c: _bin(on_grid(c), e) for c, e in edges.items()}
     return (
         to_long(df, bins, value_as="bin")
         .where(F.col("bin").isNotNull())
@@ -221,6 +225,11 @@ def drift_columns(
     return column_verdicts(column_psi(fitted, current), psi_limit)
 
 
+def settled(verdicts: DataFrame) -> DataFrame:
+    """The verdicts as a small local table (one row per column), for several reports."""
+    return verdicts.sparkSession.createDataFrame(verdicts.collect(), verdicts.schema)
+
+
 def bootstrap(df: DataFrame, seed: int | None = None) -> DataFrame:
     """Resample with replacement to about the same size."""
     return df.sample(withReplacement=True, fraction=1.0, seed=seed)

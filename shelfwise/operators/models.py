@@ -73,7 +73,7 @@ class DirectForecaster:
     estimator: Callable[[], Estimator]
     inputs: Callable[[], Column] = tabular_input
     needs_sequence: bool = False
-    parallel_fits: int = 4
+    parallel_fits: int = 7
 
     def fit(self, windows: DataFrame, horizon: int) -> DirectModel:
         """Fit on the ``future`` array of ``windows``; the vectors are kept while fitting."""

@@ -114,12 +114,14 @@ def fit_scales(
     """
     if not columns:
         return {}
-    medians = fit_medians(df, columns, small_rows)
     aggregates = [F.count(F.lit(1))]
     for c in columns:
         x = F.nanvl(as_double(c, df.schema[c].dataType), F.lit(None).cast("double"))
         aggregates += [F.count(x), F.avg(x), F.var_pop(x)]
     total, *found = df.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggregates)]).first()
+    sizes = {c: found[3 * i] for i, c in enumerate(columns)}
+    quantiles = exact_quantiles(df, columns, [0.5], small_rows, sizes=sizes)
+    medians = {c: q[0] for c, q in quantiles.items()}
     scales = {}
     for i, c in enumerate(columns):
         present, mean, variance = found[3 * i : 3 * i + 3]

@@ -3,12 +3,23 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.functions.columns import FRACTIONAL, name, one_row_per, python_list, to_long, value_key
+from shelfwise.functions.columns import (
+    FRACTIONAL,
+    VALUE_SLOTS,
+    group_value,
+    name,
+    one_row_per,
+    python_list,
+    to_long,
+    typed_value,
+)
 
 # Limits of the profile rules.
 HIGH_CARDINALITY = 50
@@ -32,16 +43,21 @@ class Profile:
 def _exact_counts(df: DataFrame) -> DataFrame:
     """Rows, missing and distinct values per column, from one scan.
 
-    Every value becomes (column, key) and is counted in two steps, so repeated values are
-    combined before the shuffle and a hot value is one row per map task.
+    Every value becomes a (column, value) row and is counted in two steps, so repeated
+    values are combined before the shuffle and a hot value is one row per map task.
     """
-    keys = {f.name: value_key(f.name, f.dataType) for f in df.schema.fields}
+    values = {f.name: typed_value(f.name, f.dataType) for f in df.schema.fields}
+    slots = [F.col(f"value.{k}").alias(k) for k in VALUE_SLOTS]
     per_value = (
-        to_long(df, keys).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        to_long(df, values)
+        .select("column", *slots)
+        .groupBy("column", *VALUE_SLOTS)
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    missing = F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0))
+    known = reduce(or_, [F.col(k).isNotNull() for k in VALUE_SLOTS])
+    missing = F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0))
     return per_value.groupBy("column").agg(
-        F.sum("n").alias("n_rows"), missing.alias("missing"), F.count("value").alias("nunique")
+        F.sum("n").alias("n_rows"), missing.alias("missing"), F.count_if(known).alias("nunique")
     )
 
 
@@ -52,7 +68,7 @@ def _approximate_counts(df: DataFrame) -> DataFrame:
         present = name(f.name).isNotNull()
         if isinstance(f.dataType, FRACTIONAL):
             present = present & ~F.isnan(name(f.name))
-        key = value_key(f.name, f.dataType)
+        key = group_value(f.name, f.dataType)
         aggregates += [
             F.count_if(~present).alias(f"missing_{i}"),
             F.approx_count_distinct(key).alias(f"distinct_{i}"),
@@ -98,7 +114,7 @@ def profile_columns(
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Copies beyond the first of each row, missing values equal (one row)."""
-    keys = [value_key(f.name, f.dataType).alias(f"k{i}") for i, f in enumerate(df.schema.fields)]
+    keys = [group_value(f.name, f.dataType).alias(f"k{i}") for i, f in enumerate(df.schema.fields)]
     keyed = df.select(*keys)
     per_row = keyed.groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias("n"))
     return per_row.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))

@@ -1,17 +1,18 @@
 """Exact quantiles of many columns, without bringing a column into one task.
 
-Up to ``SMALL_ROWS`` values per column, Spark's exact ``percentile`` is used: its
-buffer is then bounded. Beyond that, approximate sketches bracket every wanted rank, one
-counting pass checks that the bracket holds the rank, and this repeats inside the bracket
-until few values are left; only those are sorted. Each pass is a scan with partial
-aggregates and shuffles next to nothing.
+Values are counted first (equal values combine before the shuffle) and a running sum over
+the counts finds the wanted ranks. That sum is only taken over at most ``SMALL_ROWS``
+values per column. With more, approximate sketches bracket every wanted rank, a counting
+pass checks that the bracket holds it, and this repeats inside the brackets until few
+values are left. Each such pass is a scan with partial aggregates and shuffles next to
+nothing.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -19,29 +20,31 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import as_double, to_long
 
-SMALL_ROWS = 1_000_000
+SMALL_ROWS = 100_000
 SKETCH_ACCURACY = 10_000
 
 
 @dataclass
 class _Bracket:
-    """Where one wanted quantile lies: ``inside`` values in [low, high], ``below`` under it."""
+    """``inside`` values of a column in [low, high], ``below`` under it, and the
+    0-based places (maybe between two values) wanted from it."""
 
     column: str
-    index: int
-    position: float
     low: float
     high: float
     below: int
     inside: int
+    places: list[float] = field(default_factory=list)
 
     @property
-    def ranks(self) -> tuple[int, int]:
-        return math.floor(self.position), math.ceil(self.position)
+    def ranks(self) -> list[int]:
+        return sorted({r for p in self.places for r in (math.floor(p), math.ceil(p))})
 
     def holds(self) -> bool:
-        first, last = self.ranks
-        return self.below <= first and last < self.below + self.inside
+        return self.below <= self.ranks[0] and self.ranks[-1] < self.below + self.inside
+
+    def contains(self, x: Column) -> Column:
+        return x.between(F.lit(self.low), F.lit(self.high))
 
 
 def _numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -52,73 +55,77 @@ def _numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ])
 
 
-def _within(x: Column, b: _Bracket) -> Column:
-    return x.between(F.lit(b.low), F.lit(b.high))
-
-
 def _narrow(numbers: DataFrame, brackets: list[_Bracket], accuracy: int) -> list[_Bracket]:
-    """One sketch pass and one counting pass; a bracket that would lose its rank is kept."""
-    wanted = []
-    for b in brackets:
+    """One sketch pass and one counting pass. A wanted place whose new bracket would not
+    hold its ranks stays in the old one."""
+    sketches = []
+    for i, b in enumerate(brackets):
         slack = 2 + 2 * b.inside / accuracy
-        first, last = b.ranks
-        shares = [
-            max(0.0, (first - b.below - slack) / b.inside),
-            min(1.0, (last - b.below + 1 + slack) / b.inside),
-        ]
-        x = F.when(_within(F.col(b.column), b), F.col(b.column))
-        wanted.append(F.percentile_approx(x, shares, accuracy))
-    guesses = numbers.agg(*[w.alias(f"q{i}") for i, w in enumerate(wanted)]).first()
-
-    tries = [
-        _Bracket(b.column, b.index, b.position, g[0], g[1], 0, 0)
-        for b, g in zip(brackets, guesses)
-    ]
+        shares = []
+        for p in b.places:
+            shares.append(max(0.0, (math.floor(p) - b.below - slack) / b.inside))
+            shares.append(min(1.0, (math.ceil(p) - b.below + 1 + slack) / b.inside))
+        x = F.col(b.column)
+        sketches.append(
+            F.percentile_approx(F.when(b.contains(x), x), shares, accuracy).alias(f"q{i}")
+        )
+    guesses = numbers.agg(*sketches).first()
+
+    tries: dict[tuple, _Bracket] = {}
+    parents: list[tuple[_Bracket, float, tuple]] = []
+    for i, b in enumerate(brackets):
+        for j, p in enumerate(b.places):
+            key = (b.column, guesses[i][2 * j], guesses[i][2 * j + 1])
+            tries.setdefault(key, _Bracket(*key, 0, 0))
+            parents.append((b, p, key))
     counts = []
-    for i, t in enumerate(tries):
+    for i, t in enumerate(tries.values()):
         x = F.col(t.column)
         counts.append(F.count_if(x < F.lit(t.low)).alias(f"below{i}"))
-        counts.append(F.count_if(_within(x, t)).alias(f"inside{i}"))
+        counts.append(F.count_if(t.contains(x)).alias(f"inside{i}"))
     found = numbers.agg(*counts).first()
-    for i, t in enumerate(tries):
+    for i, t in enumerate(tries.values()):
         t.below, t.inside = found[f"below{i}"], found[f"inside{i}"]
-    return [t if t.holds() else b for b, t in zip(brackets, tries)]
 
+    kept: dict[tuple, _Bracket] = {}
+    for old, place, key in parents:
+        t = tries[key]
+        t.places.append(place)
+        if not t.holds():
+            t.places.pop()
+            back = (old.column, old.low, old.high)
+            kept.setdefault(back, _Bracket(*back, old.below, old.inside)).places.append(place)
+    return [t for t in tries.values() if t.places] + list(kept.values())
 
-def _select_ranks(numbers: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, int], float]:
-    """Sort what is left inside the brackets and read off the wanted ranks."""
-    spark = numbers.sparkSession
-    near: dict[str, Column] = {}
+
+def _values_at_ranks(numbers: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, int], float]:
+    """The value at every wanted (column, rank), from the values inside the brackets."""
+    inside: dict[str, Column] = {}
     for b in brackets:
-        hit = _within(F.col(b.column), b)
-        near[b.column] = (near[b.column] | hit) if b.column in near else hit
-    kept = {c: F.when(hit, F.col(c)) for c, hit in near.items()}
-    values = to_long(numbers, kept).where(F.col("value").isNotNull())
-    rows = [(b.column, b.index, b.low, b.high, b.below, *b.ranks) for b in brackets]
-    limits = spark.createDataFrame(
-        rows, "column string, index int, low double, high double, below long, first long, last long"
+        hit = b.contains(F.col(b.column))
+        inside[b.column] = inside[b.column] | hit if b.column in inside else hit
+    kept = {c: F.when(hit, F.col(c)) for c, hit in inside.items()}
+    counted = (
+        to_long(numbers, kept)
+        .where(F.col("value").isNotNull())
+        .groupBy("column", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    # One row per bracket: bounded by columns x wanted quantiles.
+    limits = numbers.sparkSession.createDataFrame(
+        [(i, b.column, b.low, b.high, b.below, b.ranks) for i, b in enumerate(brackets)],
+        "bracket int, column string, low double, high double, below long, ranks array<long>",
     )
-    per_value = (
-        values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-        .join(F.broadcast(limits), "column")  # one row per wanted quantile
+    placed = (
+        counted.join(F.broadcast(limits), "column")
         .where(F.col("value").between(F.col("low"), F.col("high")))
+        .withColumn("upto", F.col("below") + F.sum("n").over(
+            W.partitionBy("bracket").orderBy("value")
+        ))
     )
-    upto = F.col("below") + F.sum("n").over(W.partitionBy("column", "index").orderBy("value"))
-    placed = per_value.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n"))
-
-    def at(rank: str) -> Column:
-        here = (F.col("before") <= F.col(rank)) & (F.col(rank) < F.col("upto"))
-        return F.max(F.when(here, F.col("value"))).alias(rank)
-
-    picked = placed.groupBy("column", "index").agg(at("first"), at("last")).collect()
-    share = {(b.column, b.index): b.position - b.ranks[0] for b in brackets}
-    result = {}
-    for r in picked:
-        f = share[r["column"], r["index"]]
-        result[r["column"], r["index"]] = (
-            r["first"] if f == 0 else (1 - f) * r["first"] + f * r["last"]
-        )
-    return result
+    hits = F.filter("ranks", lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))
+    found = placed.select("column", "value", F.explode(hits).alias("rank")).collect()
+    return {(r["column"], r["rank"]): r["value"] for r in found}
 
 
 def exact_quantiles(
@@ -127,38 +134,40 @@ def exact_quantiles(
     probabilities: Sequence[float],
     small_rows: int = SMALL_ROWS,
     accuracy: int = SKETCH_ACCURACY,
+    sizes: dict[str, int] | None = None,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column, missing values left out.
 
     The result has columns x probabilities numbers, so it comes to the driver; a column
-    without any value gives ``None`` throughout.
+    without any value gives ``None`` throughout. ``sizes`` (known values per column) saves
+    the counting scan.
     """
     if not columns:
         return {}
-    probabilities = list(probabilities)
     numbers = _numbers(df, columns)
-    size = numbers.agg(*[F.count(c).alias(c) for c in columns]).first()
-    if max(size[c] for c in columns) <= small_rows:
-        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-        row = numbers.agg(*[F.percentile(c, wanted).alias(c) for c in columns]).first()
-        return {c: list(row[c]) if row[c] else [None] * len(probabilities) for c in columns}
-
-    brackets = [
-        _Bracket(c, i, p * (size[c] - 1), -math.inf, math.inf, 0, size[c])
-        for c in columns if size[c]
-        for i, p in enumerate(probabilities)
-    ]
-    active = [b for b in brackets if b.inside > small_rows]
-    settled = [b for b in brackets if b.inside <= small_rows]
+    size = sizes or numbers.agg(*[F.count(c).alias(c) for c in columns]).first()
+    places = {c: [p * (size[c] - 1) for p in probabilities] for c in columns if size[c]}
+    active = [_Bracket(c, -math.inf, math.inf, 0, size[c], list(at)) for c, at in places.items()]
+    settled = [b for b in active if b.inside <= small_rows]
+    active = [b for b in active if b.inside > small_rows]
+    largest = math.inf
     while active:
-        tighter = _narrow(numbers, active, accuracy)
-        again = []
-        for old, new in zip(active, tighter):
-            # A bracket of repeated values stops shrinking: counting them is cheap then.
-            shrinking = new.low < new.high and new.inside < old.inside / 2
-            (again if new.inside > small_rows and shrinking else settled).append(new)
-        active = again
-    values = _select_ranks(numbers, settled)
+        active = _narrow(numbers, active, accuracy)
+        settled += [b for b in active if b.inside <= small_rows or b.low == b.high]
+        active = [b for b in active if b.inside > small_rows and b.low < b.high]
+        size_now = max((b.inside for b in active), default=0)
+        if size_now > largest / 2:
+            # Only repeated values keep a bracket large; those combine when counted.
+            settled, active = settled + active, []
+        largest = size_now
+    values = _values_at_ranks(numbers, settled) if settled else {}
+
+    def at(column: str, place: float) -> float:
+        first, last = values[column, math.floor(place)], values[column, math.ceil(place)]
+        share = place - math.floor(place)
+        return first if first == last else (1 - share) * first + share * last
+
     return {
-        c: [values.get((c, i)) for i in range(len(probabilities))] for c in columns
+        c: [at(c, p) for p in places[c]] if c in places else [None] * len(probabilities)
+        for c in columns
     }

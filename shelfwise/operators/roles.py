@@ -17,7 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.functions.calendar import parse_timestamp
-from shelfwise.functions.columns import as_double, is_numeric, is_temporal, name, one_row_per
+from shelfwise.functions.columns import (
+    FRACTIONAL,
+    as_double,
+    is_numeric,
+    is_temporal,
+    name,
+    one_row_per,
+)
 
 # Name patterns, limits and scores of the role rules.
 TARGET_NAMES = r"(sales|revenue|demand|orders?|qty|quantity|units|count|volume|amount)"
@@ -85,8 +92,13 @@ def _small_int_mask(c: Column) -> Column:
     return F.bit_or(bit)
 
 
-def _evidence_struct(position: int, f: T.StructField, aliases: dict[str, Column]) -> Column:
-    """Aggregates for one column, registered in ``aliases`` and read back as a struct."""
+def _evidence_struct(
+    position: int, f: T.StructField, aliases: dict[str, Column], parse: bool
+) -> Column:
+    """Aggregates for one column, registered in ``aliases`` and read back as a struct.
+
+    Only what a rule can ask of this column is computed.
+    """
 
     def keep(label: str, aggregate: Column) -> Column:
         alias = f"{label}_{position}"
@@ -94,13 +106,17 @@ def _evidence_struct(position: int, f: T.StructField, aliases: dict[str, Column]
         return F.col(alias)
 
     numeric, temporal = is_numeric(f.dataType), is_temporal(f.dataType)
+    key_like = re.search(ID_NAMES, f.name, re.I) is not None
     c = name(f.name)
-    nothing = F.lit(None)
     fields: dict[str, Column] = {
         "position": F.lit(position),
         "column": F.lit(f.name),
         "is_numeric": F.lit(numeric),
         "is_temporal": F.lit(temporal),
+        "is_small_int": F.lit(False),
+        "variance": F.lit(None).cast("double"),
+        "varies": F.lit(None).cast("boolean"),
+        "parse_ratio": F.lit(1.0 if temporal else None).cast("double"),
     }
     if numeric:
         x = F.nanvl(as_double(f.name, f.dataType), F.lit(None).cast("double"))
@@ -109,30 +125,30 @@ def _evidence_struct(position: int, f: T.StructField, aliases: dict[str, Column]
         mask = keep("mask", F.coalesce(_small_int_mask(x), F.lit(0)))
         all_small = keep("small", F.coalesce(F.bool_and(in_range), F.lit(True)))
         fields["is_small_int"] = all_small & (F.bit_count(mask) <= SMALL_INT_MAX_DISTINCT)
-        fields["variance"] = keep("var", F.var_samp(x))
-        varies = F.min(x) != F.max(x)
-    else:
-        fields["is_small_int"] = F.lit(False)
-        fields["variance"] = nothing.cast("double")
-        orderable = not isinstance(f.dataType, (T.MapType, T.VariantType))
-        varies = (F.min(c) != F.max(c)) if orderable else F.lit(False)
-    fields["varies"] = keep("varies", F.coalesce(varies, F.lit(False)))
+        if not key_like:
+            fields["variance"] = keep("var", F.var_samp(x))
+    if key_like and not isinstance(f.dataType, (T.MapType, T.VariantType)):
+        value = F.nanvl(c, F.lit(None)) if isinstance(f.dataType, FRACTIONAL) else c
+        differs = F.min(value) != F.max(value)
+        fields["varies"] = keep("varies", F.coalesce(differs, F.lit(False)))
     named_date = "date" in f.name.lower() or "time" in f.name.lower()
-    if temporal:
-        ratio: Column = F.lit(1.0)
-    elif isinstance(f.dataType, T.StringType) or (named_date and not numeric):
+    text = isinstance(f.dataType, T.StringType)
+    if parse and not numeric and not temporal and (text or named_date):
         parsed = parse_timestamp(c.cast("string")).isNotNull().cast("double")
-        ratio = keep("ratio", F.coalesce(F.avg(parsed), F.lit(0.0)))
-    else:
-        ratio = nothing.cast("double")
-    fields["parse_ratio"] = ratio
+        fields["parse_ratio"] = keep("ratio", F.coalesce(F.avg(parsed), F.lit(0.0)))
     return F.struct(*[v.alias(k) for k, v in fields.items()])
 
 
-def column_evidence(df: DataFrame) -> DataFrame:
-    """One row per column: type flags, small-integer test, variance, date parse ratio."""
+def column_evidence(df: DataFrame, parse: bool = True) -> DataFrame:
+    """One row per column: type flags, small-integer test, variance, date parse ratio.
+
+    Texts are only tried as dates if no column is a date already (never without
+    ``parse``); ``varies`` is only known for columns named like a key.
+    """
+    fields = df.schema.fields
+    parse = parse and not any(is_temporal(f.dataType) for f in fields)
     aliases: dict[str, Column] = {}
-    structs = [_evidence_struct(i, f, aliases) for i, f in enumerate(df.schema.fields)]
+    structs = [_evidence_struct(i, f, aliases, parse) for i, f in enumerate(fields)]
     rows = F.count(F.lit(1)).alias("n_rows")
     return one_row_per(df.agg(rows, *[a.alias(k) for k, a in aliases.items()]), structs)
 
@@ -155,17 +171,16 @@ def classify_features(df: DataFrame, exclude: list[str | None]) -> DataFrame:
     """``numeric`` or ``categorical`` for every column outside ``exclude``."""
     numeric = F.col("is_numeric") & ~F.col("is_small_int")
     return (
-        column_evidence(df.drop(*[c for c in exclude if c]))
+        column_evidence(df.drop(*[c for c in exclude if c]), parse=False)
         .select("column", F.when(numeric, "numeric").otherwise("categorical").alias("kind"))
     )
 
 
 def target_by_variance(df: DataFrame, exclude: list[str | None] = ()) -> DataFrame:
     """The numeric, non-key column with the highest sample variance (one row)."""
-    usable = F.col("is_numeric") & ~F.col("column").rlike("(?i)" + ID_NAMES)
     return (
-        column_evidence(df)
-        .where(usable & ~F.col("column").isin([c for c in exclude if c]))
+        column_evidence(df.drop(*[c for c in exclude if c]), parse=False)
+        .where("is_numeric")
         .agg(F.max_by("column", "variance").alias("column"), F.max("variance").alias("variance"))
     )
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfwise.operators.drift import check_drift
+from shelfwise.operators.drift import check_drift, dataset_verdict, drift_columns, settled
 from shelfwise.operators.features import feature_frame
 from shelfwise.operators.health import health_report, retrain_decision
 from shelfwise.operators.ordering import AUTO, Layout
@@ -29,9 +30,11 @@ def health(spark: SparkSession, path: str, current: DataFrame | None = None) ->
         return health_report(run, last_retrain=saved)
     target = row["schema"]["target_column"]
     try:
-        data = check_drift(reference, current)
+        verdicts = settled(drift_columns(reference, current))
+        data = dataset_verdict(verdicts)
         on_target = target in reference.columns and target in current.columns
-        prediction = check_drift(reference, current, [target]) if on_target else None
+        own = verdicts.where(F.col("column") == target)
+        prediction = dataset_verdict(own) if on_target else None
     except Exception as problem:  # the report names it instead of failing
         return health_report(run, last_retrain=saved, error=str(problem))
     return health_report(run, data, prediction, saved)

@@ -582,9 +582,9 @@ def health_report(spark: SparkSession, folder: str) -> DataFrame:
     by_model = metrics.agg(F.map_from_entries(entries).alias("metrics"))
     run = evaluate.select_best(metrics).crossJoin(by_model)  # one row each
     reference, current = drift_pair(spark, folder)
-    fitted = drift.fit_reference(reference, DRIFT_COLUMNS)
-    data = drift.check_drift(fitted, current)
-    target = drift.check_drift(fitted, current, ["l_extendedprice"])
+    verdicts = drift.settled(drift.drift_columns(reference, current))
+    data = drift.dataset_verdict(verdicts)
+    target = drift.dataset_verdict(verdicts.where(F.col("column") == "l_extendedprice"))
     found = health.health_report(run, data, target).drop("note", "drift_error")
     models_in = F.array_join(F.array_sort(F.map_keys("metrics")), ",")
     return plain(found.withColumn("metrics", models_in))

@@ -11,6 +11,8 @@ LOCAL_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
+    # Building a plan is faster without a stack trace per column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
