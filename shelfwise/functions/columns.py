@@ -111,6 +111,12 @@ def one_row_per(df: DataFrame, structs: Sequence[Column]) -> DataFrame:
     return df.select(F.inline(F.array(*structs)))
 
 
+def settled(small: DataFrame) -> DataFrame:
+    """A result of bounded size (per column, model or top-n) as a local table, so that
+    several readers do not compute it again."""
+    return small.sparkSession.createDataFrame(small.collect(), small.schema)
+
+
 def python_list(items: Column) -> Column:
     """An array of strings in the notation ['a', 'b']."""
     return F.concat(F.lit("['"), F.concat_ws("', '", items), F.lit("']"))

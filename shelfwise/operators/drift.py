@@ -225,11 +225,6 @@ def drift_columns(
     return column_verdicts(column_psi(fitted, current), psi_limit)
 
 
-def settled(verdicts: DataFrame) -> DataFrame:
-    """The verdicts as a small local table (one row per column), for several reports."""
-    return verdicts.sparkSession.createDataFrame(verdicts.collect(), verdicts.schema)
-
-
 def bootstrap(df: DataFrame, seed: int | None = None) -> DataFrame:
     """Resample with replacement to about the same size."""
     return df.sample(withReplacement=True, fraction=1.0, seed=seed)

@@ -29,18 +29,19 @@ def forecast_metrics(scored: DataFrame, by: Sequence[str] = ("model_name",)) ->
     return scored.groupBy(*by).agg(*[m.alias(k) for k, m in metrics.items()])
 
 
-def scored_long(predicted: DataFrame, model_name: str, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per (window, step) from the arrays ``future`` and ``prediction``."""
+def scored_long(windows: DataFrame, predictions: dict[str, Column]) -> DataFrame:
+    """One row per (model, window, step): ``y`` from ``future``, ``p`` from the model's array.
+
+    All models are scored in the same pass over the windows.
+    """
+    models = F.array(*[
+        F.struct(F.lit(m).alias("model_name"), c.alias("prediction"))
+        for m, c in predictions.items()
+    ])
+    per_model = windows.select("future", F.inline(models))
     pairs = F.arrays_zip(F.col("future").alias("y"), F.col("prediction").alias("p"))
-    return (
-        predicted.select(*keep, F.posexplode(pairs).alias("step", "pair"))
-        .select(
-            F.lit(model_name).alias("model_name"),
-            *keep,
-            (F.col("step") + 1).alias("step"),
-            F.col("pair.y").alias("y"),
-            F.col("pair.p").alias("p"),
-        )
+    return per_model.select("model_name", F.posexplode(pairs).alias("_at", "_pair")).select(
+        "model_name", (F.col("_at") + 1).alias("step"), "_pair.y", "_pair.p"
     )
 
 

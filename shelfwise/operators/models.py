@@ -1,7 +1,6 @@
 """Direct multi-step forecasters over MLlib, and baselines in plain SQL functions.
 
-A candidate maps a window table to a column ``prediction`` (array, one value per step).
-MLlib candidates fit one regressor per step; users add their own by passing any
+Every candidate gives an array with one predicted value per step. MLlib candidates fit one regressor per step; users add their own by passing any
 ``pyspark.ml`` regressor.
 """
 
@@ -25,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import array_mean
+from shelfwise.session import ensure_checkpoint_dir
 
 # Default size of the boosted trees; weekday factors of the simple baseline.
 GBT_DEFAULTS = {
@@ -77,6 +77,7 @@ class DirectForecaster:
 
     def fit(self, windows: DataFrame, horizon: int) -> DirectModel:
         """Fit on the ``future`` array of ``windows``; the vectors are kept while fitting."""
+        ensure_checkpoint_dir(windows.sparkSession)  # boosting cuts its lineage there
         labels = [F.col("future")[h].alias(f"y{h}") for h in range(horizon)]
         data = windows.select(self.inputs().alias("features"), *labels)
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
@@ -94,7 +95,7 @@ class DirectForecaster:
 
 @dataclass(frozen=True)
 class DirectModel:
-    """Fitted steps; ``predict`` adds ``prediction`` (array, clipped only when served)."""
+    """Fitted steps; ``predict`` adds an array column (clipped only when served)."""
 
     name: str
     steps: list[Model] = field(default_factory=list)
@@ -105,13 +106,13 @@ class DirectModel:
     def horizon(self) -> int:
         return len(self.steps)
 
-    def predict(self, windows: DataFrame) -> DataFrame:
+    def predict(self, windows: DataFrame, into: str = "prediction") -> DataFrame:
         kept = windows.columns
         out = windows.withColumn("features", self.inputs())
         for h, model in enumerate(self.steps):
             out = model.setPredictionCol(f"_p{h}").transform(out)
         values = F.array(*[F.col(f"_p{h}") for h in range(self.horizon)])
-        return out.select(*kept, values.alias("prediction"))
+        return out.select(*kept, values.alias(into))
 
 
 MODEL_CLASSES = {c.__name__: c for c in (GBTRegressionModel, LinearRegressionModel)}
@@ -130,9 +131,9 @@ def default_candidates() -> list[DirectForecaster]:
     return [gbt_candidate(), ridge_candidate()]
 
 
-def moving_average(windows: DataFrame, horizon: int) -> DataFrame:
+def moving_average(horizon: int) -> Column:
     """Repeat the mean of the lookback for every step."""
-    return windows.withColumn("prediction", F.array_repeat(array_mean(F.col("past")), horizon))
+    return F.array_repeat(array_mean(F.col("past")), horizon)
 
 
 def weekday_factor(date: Column) -> Column:
@@ -144,14 +145,12 @@ def weekday_factor(date: Column) -> Column:
     )
 
 
-def weekday_baseline(windows: DataFrame, date: str, horizon: int) -> DataFrame:
+def weekday_baseline(date: str, horizon: int) -> Column:
     """Mean of the lookback times a weekday factor, for the dates from the window on.
 
     The dates follow the calendar, as in serving; the window's rows may have gaps.
     """
-    mean = array_mean(F.col("past"))
-    steps = F.array(*[
-        F.greatest(mean * weekday_factor(F.date_add(F.col(date).cast("date"), h)), F.lit(0.0))
-        for h in range(horizon)
+    day, mean = F.col(date).cast("date"), array_mean(F.col("past"))
+    return F.array(*[
+        F.greatest(mean * weekday_factor(F.date_add(day, h)), F.lit(0.0)) for h in range(horizon)
     ])
-    return windows.withColumn("prediction", steps)

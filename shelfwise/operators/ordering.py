@@ -1,6 +1,6 @@
 """Row order inside a series, laid out so that no task has to hold a whole long series.
 
-Two layouts give the same rows:
+All layouts give the same rows, one per (series, date, tie-break columns):
 
 ``series``
     one window partition per series. Right for daily panels: a series then has at most one
@@ -12,12 +12,17 @@ Two layouts give the same rows:
     sum over slices, a row number inside the slice). Positions are cut into blocks of equal
     size, and the few rows next to a cut are copied into the neighbour block, so a window
     over (series, block) sees all the rows its frame can reach.
+
+``sorted``
+    like ``blocks``, for data where even one time slice is too large for a task. Positions
+    come from a global range sort, which splits any series and any slice evenly; the
+    sorted table is checkpointed, because its parts are counted before they are used.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -27,6 +32,7 @@ from pyspark.sql import types as T
 
 from shelfwise.functions.columns import name
 from shelfwise.operators.roles import Roles
+from shelfwise.session import ensure_checkpoint_dir
 
 ROWS_PER_BLOCK = 65_536
 SLICE_SECONDS = 3_600
@@ -35,7 +41,7 @@ SLICE_DAYS = 64
 
 @dataclass(frozen=True)
 class Layout:
-    """How ordered work is spread; ``kind`` is "auto", "series" or "blocks"."""
+    """How ordered work is spread: "auto", "series", "blocks" or "sorted"."""
 
     kind: str = "auto"
     rows_per_block: int = ROWS_PER_BLOCK
@@ -50,11 +56,16 @@ class Layout:
 AUTO = Layout()
 
 
-def measured_layout(df: DataFrame, roles: Roles, max_series_rows: int = 1_000_000) -> Layout:
-    """Pick the layout from the size of the largest series (one small aggregate job)."""
-    keys = [name(roles.series)] if roles.series else []
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    return Layout("series" if largest <= max_series_rows else "blocks")
+def measured_layout(df: DataFrame, roles: Roles, max_rows: int = 1_000_000) -> Layout:
+    """Pick the layout from the largest series and time slice (one small aggregate job)."""
+    key, time_slice = _series_and_slice(df, roles, AUTO)
+    per_slice = df.groupBy(key.alias("k"), time_slice.alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    per_series = per_slice.groupBy("k").agg(F.sum("n").alias("rows"), F.max("n").alias("slice"))
+    found = per_series.agg(F.max("rows"), F.max("slice")).first()
+    rows, largest_slice = found[0] or 0, found[1] or 0
+    if rows <= max_rows:
+        return Layout("series")
+    return Layout("blocks" if largest_slice <= max_rows else "sorted")
 
 
 def series_keys(roles: Roles) -> list[Column]:
@@ -80,17 +91,26 @@ def _time_slice(df: DataFrame, roles: Roles, layout: Layout) -> Column:
     return F.floor(seconds / layout.slice_seconds)
 
 
+def _series_and_slice(df: DataFrame, roles: Roles, layout: Layout) -> tuple[Column, Column]:
+    """Never-null keys: a join on them can reuse the partitioning of a window."""
+    key = F.coalesce(name(roles.series).cast("string"), F.lit("\0")) if roles.series else F.lit("")
+    return key, F.coalesce(_time_slice(df, roles, layout), F.lit(-(2**40)))
+
+
 def with_positions(df: DataFrame, roles: Roles, layout: Layout = AUTO) -> DataFrame:
     """Add ``_pos`` (0-based place in the series) and ``_n`` (rows in the series)."""
-    if layout.resolve(df, roles) == "series":
+    kind = layout.resolve(df, roles)
+    if kind == "series":
         whole = W.partitionBy(*series_keys(roles))
         return df.withColumns({
             "_pos": (F.row_number().over(whole.orderBy(*series_order(roles))) - 1).cast("long"),
             "_n": F.count(F.lit(1)).over(whole),
         })
-    # Never-null keys let the join below reuse the partitioning of the window.
-    key = F.coalesce(name(roles.series).cast("string"), F.lit("\0")) if roles.series else F.lit("")
-    time_slice = F.coalesce(_time_slice(df, roles, layout), F.lit(-(2**40)))
+    key, time_slice = _series_and_slice(df, roles, layout)
+    if kind == "sorted":
+        keyed = df.withColumn("_key", key)
+        placed = positions_by_sort(keyed, ["_key"], series_order(roles), "_pos", "_n")
+        return placed.drop("_key")
     sliced = df.withColumns({"_key": key, "_slice": time_slice})
     per_slice = sliced.groupBy("_key", "_slice").agg(F.count(F.lit(1)).alias("_rows"))
     by_key = W.partitionBy("_key")
@@ -110,6 +130,40 @@ def with_positions(df: DataFrame, roles: Roles, layout: Layout = AUTO) -> DataFr
     )
 
 
+def positions_by_sort(
+    df: DataFrame, group: list[str], order: list[Column], position: str, total: str
+) -> DataFrame:
+    """Place of every row in its group and rows of the group, from a global range sort.
+
+    After the sort the generated id grows with (group, order) and its high bits name the
+    sorted part. Rows per (group, part) are counted, summed over the parts, and added to
+    the place inside the part: no task sees more than one part of a group.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    ordered = (
+        df.orderBy(*group, *order)
+        .withColumn("_id", F.monotonically_increasing_id())
+        .withColumn("_part", F.shiftright("_id", 33))
+        .checkpoint()
+    )
+    by_group = W.partitionBy(*group)
+    earlier = by_group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = (
+        ordered.groupBy(*group, "_part")
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min("_id").alias("_first"))
+        .withColumns({
+            "_start": F.coalesce(F.sum("_rows").over(earlier), F.lit(0)),
+            total: F.sum("_rows").over(by_group),
+        })
+    )
+    place = F.col("_start") + F.col("_id") - F.col("_first")
+    return (
+        ordered.join(parts, [*group, "_part"])
+        .withColumn(position, place)
+        .drop("_id", "_part", "_rows", "_first", "_start")
+    )
+
+
 def over_series(
     df: DataFrame,
     roles: Roles,
@@ -124,7 +178,8 @@ def over_series(
     ``build`` gets the window and returns the new columns; it may also use ``_pos`` and
     ``_n`` when ``positions`` is set.
     """
-    if layout.resolve(df, roles) == "series":
+    kind = layout.resolve(df, roles)
+    if kind == "series":
         window = W.partitionBy(*series_keys(roles)).orderBy(*series_order(roles))
         base = with_positions(df, roles, Layout("series")) if positions else df
         return base.withColumns(build(window))
@@ -138,7 +193,7 @@ def over_series(
     if after:
         copies.append(F.when((place < after) & (home > 0), home - 1))
     spread = (
-        with_positions(df, roles, Layout("blocks", size, layout.slice_seconds))
+        with_positions(df, roles, replace(layout, kind=kind))
         .withColumn("_home", home)
         .withColumn("_block", F.explode(F.array_compact(F.array(*copies))))
     )

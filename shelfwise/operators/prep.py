@@ -7,16 +7,14 @@ from dataclasses import dataclass
 from math import sqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.functions.calendar import parse_timestamp
 from shelfwise.functions.columns import as_double, name, nan_to_null, to_long
-from shelfwise.operators.ordering import series_order
+from shelfwise.operators.ordering import positions_by_sort, series_order
 from shelfwise.operators.quantiles import SMALL_ROWS, exact_quantiles
 from shelfwise.operators.roles import Roles
-from shelfwise.session import ensure_checkpoint_dir
 
 # The token of a missing category and the code of an unknown one.
 MISSING_CATEGORY = "NA"
@@ -168,13 +166,16 @@ def fit_codes(
 ) -> tuple[DataFrame, int]:
     """Codes 0..n-1 in string order per column, and the number of rows of that table.
 
-    Up to ``bound`` categories in all, the table is a small local one. Beyond that their
-    order is computed in two levels, so no task sorts all categories of a column.
+    Up to ``bound`` categories in all, the table is a small local one. Beyond that they
+    are numbered by a global sort, so no task holds all categories of a column.
     """
     pairs = to_long(df, {c: _category(c) for c in columns}, value_as="category").distinct()
     few = pairs.limit(bound + 1).collect()
     if len(few) > bound:
-        return _codes_by_parts(pairs)
+        order = [F.col("category").asc()]
+        placed = positions_by_sort(pairs, ["column"], order, "code", "n")
+        codes = placed.select("column", "category", F.col("code").cast("int").alias("code"))
+        return codes, codes.count()
     codes, seen = [], {}
     for r in sorted(few, key=lambda r: (r["column"], r["category"].encode())):
         seen[r["column"]] = seen.get(r["column"], -1) + 1
@@ -183,30 +184,6 @@ def fit_codes(
     return df.sparkSession.createDataFrame(codes, schema), len(codes)
 
 
-def _codes_by_parts(pairs: DataFrame) -> tuple[DataFrame, int]:
-    """Dense codes for any number of categories.
-
-    After a range sort, the generated id grows with (column, category) and its high bits
-    name the part. The checkpoint fixes the parts before they are counted.
-    """
-    ensure_checkpoint_dir(pairs.sparkSession)
-    ordered = (
-        pairs.orderBy("column", "category")
-        .withColumn("id", F.monotonically_increasing_id())
-        .withColumn("part", F.shiftright("id", 33))
-        .checkpoint()
-    )
-    sizes = ordered.groupBy("column", "part").agg(
-        F.count(F.lit(1)).alias("n"), F.min("id").alias("first")
-    )
-    earlier = W.partitionBy("column").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    # At most one row per part and column: bounded by the number of tasks.
-    placed = ordered.join(F.broadcast(offsets), ["column", "part"])
-    code = (F.col("offset") + F.col("id") - F.col("first")).cast("int")
-    return placed.select("column", "category", code.alias("code")), ordered.count()
-
-
 def encode(
     df: DataFrame,
     columns: Sequence[str],

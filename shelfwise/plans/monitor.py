@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.operators.drift import check_drift, dataset_verdict, drift_columns, settled
+from shelfwise.functions.columns import settled
+from shelfwise.operators.drift import check_drift, dataset_verdict, drift_columns
 from shelfwise.operators.features import feature_frame
 from shelfwise.operators.health import health_report, retrain_decision
 from shelfwise.operators.ordering import AUTO, Layout

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.functions.columns import array_mean
+from shelfwise.functions.columns import array_mean, settled
 from shelfwise.operators import drift, evaluate, features, forecast, health, models, prep
 from shelfwise.operators import profile as profiling
 from shelfwise.operators import roles as role_ops
@@ -129,11 +129,10 @@ def drift_pair(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 def baseline_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Test windows scored by the two baselines, as long rows."""
     test = windows.split_windows(daily_windows(spark, folder)).where(~F.col("is_train"))
-    average = models.moving_average(test, windows.HORIZON)
-    weekday = models.weekday_baseline(test, "sale_date", windows.HORIZON)
-    return evaluate.scored_long(average, "moving_average").unionByName(
-        evaluate.scored_long(weekday, "weekday")
-    )
+    return evaluate.scored_long(test, {
+        "moving_average": models.moving_average(windows.HORIZON),
+        "weekday": models.weekday_baseline("sale_date", windows.HORIZON),
+    })
 
 
 def weekday_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -451,13 +450,13 @@ def train_and_compare(spark: SparkSession, folder: str) -> DataFrame:
             models.gbt_candidate(maxIter=3, maxDepth=3, stepSize=0.3),
             models.ridge_candidate(),
         ],
-        baselines={"moving_average": lambda w: models.moving_average(w, windows.HORIZON)},
+        baselines={"moving_average": models.moving_average(windows.HORIZON)},
     )
     split = windows.split_windows(daily_windows(spark, folder, sequence=True)).persist()
     _, metrics = compare(split, config)
-    rows = metrics.collect()  # one row per candidate
+    metrics = settled(metrics)  # one row per candidate
     split.unpersist()
-    return plain(spark.createDataFrame(rows, metrics.schema))
+    return plain(metrics)
 
 
 @report
@@ -577,12 +576,12 @@ def prediction_drift(spark: SparkSession, folder: str) -> DataFrame:
 @report
 def health_report(spark: SparkSession, folder: str) -> DataFrame:
     """Best baseline as the approved model, with data and prediction drift."""
-    metrics = evaluate.forecast_metrics(baseline_scores(spark, folder))
+    metrics = settled(evaluate.forecast_metrics(baseline_scores(spark, folder)))
     entries = F.collect_list(F.struct("model_name", F.struct("mae", "rmse", "rmspe")))
     by_model = metrics.agg(F.map_from_entries(entries).alias("metrics"))
     run = evaluate.select_best(metrics).crossJoin(by_model)  # one row each
     reference, current = drift_pair(spark, folder)
-    verdicts = drift.settled(drift.drift_columns(reference, current))
+    verdicts = settled(drift.drift_columns(reference, current))
     data = drift.dataset_verdict(verdicts)
     target = drift.dataset_verdict(verdicts.where(F.col("column") == "l_extendedprice"))
     found = health.health_report(run, data, target).drop("note", "drift_error")

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from typing import Any
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.functions.columns import name
+from shelfwise.functions.calendar import parse_timestamp
+from shelfwise.functions.columns import name, settled
 from shelfwise.operators.drift import DriftReference, fit_reference
 from shelfwise.operators.evaluate import forecast_metrics, scored_long, select_best
 from shelfwise.operators.features import LAGS, ROLLS, feature_columns, feature_frame
@@ -32,19 +34,21 @@ from shelfwise.operators.windows import (
 )
 from shelfwise.sources import state
 
-Baseline = Callable[[DataFrame], DataFrame]
-
-
 @dataclass(frozen=True)
 class TrainConfig:
-    """Arguments of a training run."""
+    """Arguments of a training run.
+
+    ``baselines``: named array columns over the window table (see ``operators.models``).
+    ``staging``: a shared folder; the raw table is written there as Parquet once, so that
+    the many later scans read only the columns they need instead of parsing text again.
+    """
 
     horizon: int = HORIZON
     lookback: int = LOOKBACK
     lags: Sequence[int] = LAGS
     rolls: Sequence[int] = ROLLS
     candidates: Sequence[DirectForecaster] = field(default_factory=default_candidates)
-    baselines: dict[str, Baseline] = field(default_factory=dict)
+    baselines: dict[str, Column] = field(default_factory=dict)
     selection_metric: str = "rmspe"
     single_group: Any | None = None
     schema_overrides: dict[str, Any] = field(default_factory=dict)
@@ -54,6 +58,7 @@ class TrainConfig:
     min_windows: int = MIN_WINDOWS
     exact_profile: bool = True
     layout: Layout | None = None
+    staging: str | None = None
 
 
 @dataclass
@@ -80,39 +85,31 @@ def _holds_times(df: DataFrame, date: str, formats: Sequence[str]) -> bool:
     """Does the date column carry times of day? Text dates without them become DATE."""
     if not isinstance(df.schema[date].dataType, T.StringType):
         return not isinstance(df.schema[date].dataType, T.DateType)
-    from shelfwise.functions.calendar import parse_timestamp
-
     t = parse_timestamp(name(date), formats)
     return bool(df.agg(F.bool_or(t != F.date_trunc("day", t))).first()[0])
 
 
-def evaluate(predicted: DataFrame, model_name: str) -> DataFrame:
-    """Metrics of one candidate on windows that have ``prediction``."""
-    return forecast_metrics(scored_long(predicted, model_name))
-
-
 def compare(
     windows: DataFrame, config: TrainConfig
 ) -> tuple[dict[str, DirectModel], DataFrame]:
     """Fit every candidate on the training windows, score all on the test windows.
 
     ``windows`` must be kept (cached or stored) by the caller: each fit reads it again.
+    The test windows are read once for all candidates and baselines.
     """
-    train = windows.where("is_train")
-    test = windows.where(~F.col("is_train"))
-    models, scored = {}, []
-    for candidate in config.candidates:
-        model = candidate.fit(train, config.horizon)
+    training = windows.where("is_train")
+    scored = windows.where(~F.col("is_train"))
+    models: dict[str, DirectModel] = {}
+    predictions: dict[str, Column] = {}
+    for i, candidate in enumerate(config.candidates):
+        model = candidate.fit(training, config.horizon)
         models[candidate.name] = model
-        scored.append(scored_long(model.predict(test), candidate.name))
-    for label, predict in config.baselines.items():
-        scored.append(scored_long(predict(test), label))
-    if not scored:
+        scored = model.predict(scored, f"_prediction{i}")
+        predictions[candidate.name] = F.col(f"_prediction{i}")
+    predictions.update(config.baselines)
+    if not predictions:
         raise ValueError("no candidate to train")
-    rows = scored[0]
-    for more in scored[1:]:
-        rows = rows.unionByName(more)
-    return models, forecast_metrics(rows)
+    return models, forecast_metrics(scored_long(scored, predictions))
 
 
 def train(df: DataFrame, config: TrainConfig | None = None) -> Trained:
@@ -125,6 +122,9 @@ def train(df: DataFrame, config: TrainConfig | None = None) -> Trained:
             df = row_cap(df, Roles(known["date_column"], "", known.get("group_column")), config.rows)
         else:
             df = df.limit(config.rows)
+    if config.staging is not None:
+        df.write.mode("overwrite").parquet(config.staging)
+        df = spark.read.parquet(config.staging)
     found = profile(df, exact=config.exact_profile)
     roles = detect_roles(df, config.schema_overrides)
     chosen = filter_series(df, roles.series, config.single_group)
@@ -146,13 +146,12 @@ def train(df: DataFrame, config: TrainConfig | None = None) -> Trained:
     try:
         require_windows(windows.count(), config.min_windows)
         models, metrics = compare(windows, config)
-        rows = metrics.collect()  # one row per candidate
+        metrics = settled(metrics)  # one row per candidate
     finally:
         windows.unpersist()
-    metrics = spark.createDataFrame(rows, metrics.schema)
     order = [*models, *config.baselines]
     best = select_best(metrics, config.selection_metric, order).first()["best_model"]
-    sample = state.reference_sample(frame, roles)
+    sample = settled(state.reference_sample(frame, roles))  # a top-n of 500 rows
     return Trained(
         roles=roles,
         preprocessor=pre,
@@ -172,8 +171,6 @@ def _training_part(df: DataFrame, roles: Roles) -> DataFrame:
 
     Rows per (series, day) are counted first, so the running sum runs over days.
     """
-    from pyspark.sql import Window as W
-
     keys = [name(roles.series)] if roles.series else []
     day = name(roles.date).cast("date")
     days = df.groupBy(*keys, day.alias("_day")).agg(F.count(F.lit(1)).alias("_k"))

@@ -184,12 +184,14 @@ def test_ridge_matches_its_closed_form(spark):
 def test_models_beat_the_moving_average(spark):
     windows = windows_for_models(spark).cache()
     test = windows.where(~F.col("is_train"))
-    scored = evaluate.scored_long(models.moving_average(test, 7), "moving_average")
+    scored, predictions = test, {"moving_average": models.moving_average(7)}
     for c in (models.gbt_candidate(maxIter=10, maxDepth=4, stepSize=0.3), models.ridge_candidate()):
         model = c.fit(windows.where("is_train"), 7)
-        predicted = model.predict(test)
-        assert predicted.columns == [*test.columns, "prediction"]
-        scored = scored.unionByName(evaluate.scored_long(predicted, c.name))
-    found = {r.model_name: r.rmse for r in evaluate.forecast_metrics(scored).collect()}
+        assert model.predict(test).columns == [*test.columns, "prediction"]
+        scored = model.predict(scored, f"by_{c.name}")
+        predictions[c.name] = F.col(f"by_{c.name}")
+    long = evaluate.scored_long(scored, predictions)
+    assert long.count() == 3 * 7 * test.count()
+    found = {r.model_name: r.rmse for r in evaluate.forecast_metrics(long).collect()}
     windows.unpersist()
     assert found["gbt"] < found["moving_average"] and found["ridge"] < found["moving_average"]

@@ -18,7 +18,7 @@ from shelfwise.streaming.posted_batches import watch_posted
 def small_config(**changes):
     settings = dict(
         candidates=[models.gbt_candidate(maxIter=2, maxDepth=2), models.ridge_candidate()],
-        baselines={"moving_average": lambda w: models.moving_average(w, 7)},
+        baselines={"moving_average": models.moving_average(7)},
     )
     return TrainConfig(**{**settings, **changes})
 
@@ -110,7 +110,7 @@ def test_conditional_retraining(spark, stored, tmp_path):
         retrain_if_needed(spark, raw.limit(50), fresh, config)
 
 
-def test_one_series_and_layouts(spark):
+def test_one_series_and_layouts(spark, tmp_path):
     df = panel(spark)
     ridge = dict(candidates=[models.ridge_candidate()], baselines={})
     one = train(df, small_config(single_group="s1", **ridge))
@@ -119,7 +119,9 @@ def test_one_series_and_layouts(spark):
     assert (a.mae, a.rmse) == (pytest.approx(b.mae), pytest.approx(b.rmse))
     with pytest.raises(ValueError, match="Too few windows"):
         train(panel(spark, days=40, shops=1), small_config(**ridge))
-    part = train(df, small_config(fit_on="train", **ridge))
+    staged = str(tmp_path / "staged")
+    part = train(df, small_config(fit_on="train", staging=staged, **ridge))
+    assert spark.read.parquet(staged).count() == df.count()
     cut = one.preprocessor.state.scales["temp"].mean
     assert part.preprocessor.state.scales["temp"].mean != cut
 

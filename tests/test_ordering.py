@@ -16,7 +16,8 @@ from shelfwise.operators.windows import (
     window_count,
 )
 
-LAYOUTS = [Layout("series"), Layout("blocks", 7, 3600), Layout("blocks", 40, 60), Layout("auto")]
+LAYOUTS = [Layout("series"), Layout("blocks", 7, 3600), Layout("blocks", 40, 60), Layout("sorted", 25),
+           Layout("auto")]
 
 
 def sensors():
@@ -101,6 +102,8 @@ def test_missing_series_key_is_its_own_series(spark):
 def test_measured_layout(spark):
     assert measured_layout(ticks(spark), TICKS, 100).kind == "blocks"
     assert measured_layout(ticks(spark), TICKS, 10_000).kind == "series"
+    assert measured_layout(ticks(spark), TICKS, 2).kind == "sorted"
+    assert measured_layout(panel(spark), ROLES, 1000).kind == "series"
 
 
 def test_last_rows(spark):
