@@ -14,12 +14,7 @@ from typing import Any
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import (
-    GBTRegressionModel,
-    GBTRegressor,
-    LinearRegression,
-    LinearRegressionModel,
-)
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,9 +110,6 @@ class DirectModel:
         return out.select(*kept, values.alias(into))
 
 
-MODEL_CLASSES = {c.__name__: c for c in (GBTRegressionModel, LinearRegressionModel)}
-
-
 def gbt_candidate(**params: Any) -> DirectForecaster:
     return DirectForecaster("gbt", lambda: boosted_trees(**params))
 

@@ -1,11 +1,11 @@
 """Exact quantiles of many columns, without bringing a column into one task.
 
-Values are counted first (equal values combine before the shuffle) and a running sum over
-the counts finds the wanted ranks. That sum is only taken over at most ``SMALL_ROWS``
-values per column. With more, approximate sketches bracket every wanted rank, a counting
-pass checks that the bracket holds it, and this repeats inside the brackets until few
-values are left. Each such pass is a scan with partial aggregates and shuffles next to
-nothing.
+Up to ``SMALL_ROWS`` values per column, Spark's exact ``percentile`` does it: its buffer is
+then bounded. With more, approximate sketches bracket every wanted rank, a counting pass
+checks that the bracket holds it, and this repeats inside the brackets until few values are
+left. Each such pass is a scan with partial aggregates and shuffles next to nothing. What
+is left is counted by value (equal values combine before the shuffle), and a running sum
+over those counts finds the ranks.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import as_double, to_long
 
-SMALL_ROWS = 100_000
+SMALL_ROWS = 200_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -146,10 +146,16 @@ def exact_quantiles(
         return {}
     numbers = _numbers(df, columns)
     size = sizes or numbers.agg(*[F.count(c).alias(c) for c in columns]).first()
-    places = {c: [p * (size[c] - 1) for p in probabilities] for c in columns if size[c]}
+    small = [c for c in columns if 0 < size[c] <= small_rows]
+    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+    result: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
+    if small:
+        row = numbers.agg(*[F.percentile(c, wanted).alias(c) for c in small]).first()
+        result.update({c: list(row[c]) for c in small})
+
+    places = {c: [p * (size[c] - 1) for p in probabilities] for c in columns if size[c] > small_rows}
     active = [_Bracket(c, -math.inf, math.inf, 0, size[c], list(at)) for c, at in places.items()]
-    settled = [b for b in active if b.inside <= small_rows]
-    active = [b for b in active if b.inside > small_rows]
+    settled: list[_Bracket] = []
     largest = math.inf
     while active:
         active = _narrow(numbers, active, accuracy)
@@ -167,7 +173,4 @@ def exact_quantiles(
         share = place - math.floor(place)
         return first if first == last else (1 - share) * first + share * last
 
-    return {
-        c: [at(c, p) for p in places[c]] if c in places else [None] * len(probabilities)
-        for c in columns
-    }
+    return {**result, **{c: [at(c, p) for p in ps] for c, ps in places.items()}}

@@ -37,6 +37,12 @@ class Forecaster:
         )
         return ops.forecast_rows(self.model.predict(inputs), roles, self.step_days)
 
+    def unserved(self, history: DataFrame, layout: Layout = AUTO) -> DataFrame:
+        """Series of the history with too little of it for a forecast."""
+        roles = self.preprocessor.state.roles
+        served = self.rows(history, layout).where("step = 1").select(roles.series)
+        return history.select(roles.series).distinct().join(served, roles.series, "left_anti")
+
     def forecast(self, history: DataFrame, layout: Layout = AUTO) -> DataFrame:
         """One document per series."""
         roles = self.preprocessor.state.roles

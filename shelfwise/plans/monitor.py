@@ -21,15 +21,20 @@ def align(spark: SparkSession, path: str, posted: DataFrame, layout: Layout = AU
     return feature_frame(pre.transform(posted), pre.state.roles, layout=layout)
 
 
-def health(spark: SparkSession, path: str, current: DataFrame | None = None) -> DataFrame:
-    """One-row health report; ``current`` is an aligned frame or None."""
+def health(
+    spark: SparkSession, path: str, current: DataFrame | None = None, watch: str | None = None
+) -> DataFrame:
+    """One-row health report; ``current`` is an aligned frame or None.
+
+    ``watch``: the column of the prediction drift; the target if not given.
+    """
     run = state.latest_run(state.read_runs(spark, f"{path}/runs"))
     row = run.first()
     saved = state.last_saved(spark, row["model_path"])
     reference = state.load_reference(spark, f"{path}/reference")
     if current is None or reference is None:
         return health_report(run, last_retrain=saved)
-    target = row["schema"]["target_column"]
+    target = watch or row["schema"]["target_column"]
     try:
         verdicts = settled(drift_columns(reference, current))
         data = dataset_verdict(verdicts)

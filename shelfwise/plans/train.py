@@ -17,10 +17,10 @@ from shelfwise.functions.calendar import parse_timestamp
 from shelfwise.functions.columns import name, settled
 from shelfwise.operators.drift import DriftReference, fit_reference
 from shelfwise.operators.evaluate import forecast_metrics, scored_long, select_best
-from shelfwise.operators.features import LAGS, ROLLS, feature_columns, feature_frame
+from shelfwise.operators.features import LAGS, ROLLS, densify, feature_columns, feature_frame
 from shelfwise.operators.models import DirectForecaster, DirectModel, default_candidates
 from shelfwise.operators.ordering import Layout, measured_layout
-from shelfwise.operators.prep import Preprocessor, filter_series, row_cap
+from shelfwise.operators.prep import Preprocessor, filter_series, parse_dates, row_cap
 from shelfwise.operators.profile import Profile, profile
 from shelfwise.operators.roles import Roles, detect_roles
 from shelfwise.operators.windows import (
@@ -41,6 +41,8 @@ class TrainConfig:
     ``baselines``: named array columns over the window table (see ``operators.models``).
     ``staging``: a shared folder; the raw table is written there as Parquet once, so that
     the many later scans read only the columns they need instead of parsing text again.
+    ``densify_days``: fill the calendar of every series in steps of that many days first,
+    so that lags count days; filled rows have target 0 and fitted values elsewhere.
     """
 
     horizon: int = HORIZON
@@ -59,6 +61,7 @@ class TrainConfig:
     exact_profile: bool = True
     layout: Layout | None = None
     staging: str | None = None
+    densify_days: int | None = None
 
 
 @dataclass
@@ -137,6 +140,9 @@ def train(df: DataFrame, config: TrainConfig | None = None) -> Trained:
     else:
         pre.fit(chosen, roles)
     roles = pre.state.roles
+    if config.densify_days is not None:
+        chosen = densify(parse_dates(chosen, roles.date, config.date_formats, True), roles,
+                         config.densify_days, fill=0.0)
     frame = feature_frame(pre.transform(chosen), roles, config.lags, config.rolls, layout)
     features = feature_columns(frame, roles)
     sequence = any(c.needs_sequence for c in config.candidates)

@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from shelfwise.functions.columns import name, numeric_columns
 from shelfwise.operators.drift import DriftReference
-from shelfwise.operators.models import MODEL_CLASSES, DirectModel, sequence_input, tabular_input
+from shelfwise.operators.models import DirectModel, sequence_input, tabular_input
 from shelfwise.operators.ordering import series_order
 from shelfwise.operators.prep import ColumnScale, Preprocessor, PrepState
 from shelfwise.operators.roles import Roles
@@ -59,14 +60,13 @@ def load_preprocessor(spark: SparkSession, path: str) -> Preprocessor:
 
 
 def save_model(model: DirectModel, spark: SparkSession, path: str) -> None:
-    """One MLlib model per step, and a line that names their class."""
+    """One MLlib pipeline per step, so that any MLlib regressor can be read back."""
     for h, step in enumerate(model.steps):
-        step.write().overwrite().save(f"{path}/step={h}")
+        PipelineModel([step]).write().overwrite().save(f"{path}/step={h}")
     meta = {
         "name": model.name,
         "horizon": model.horizon,
         "needs_sequence": model.needs_sequence,
-        "class": type(model.steps[0]).__name__,
     }
     line = spark.createDataFrame([(json.dumps(meta),)], "value string")
     line.coalesce(1).write.mode("overwrite").text(f"{path}/meta")
@@ -74,8 +74,7 @@ def save_model(model: DirectModel, spark: SparkSession, path: str) -> None:
 
 def load_model(spark: SparkSession, path: str) -> DirectModel:
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    reader = MODEL_CLASSES[meta["class"]]
-    steps = [reader.load(f"{path}/step={h}") for h in range(meta["horizon"])]
+    steps = [PipelineModel.load(f"{path}/step={h}").stages[0] for h in range(meta["horizon"])]
     inputs = sequence_input if meta["needs_sequence"] else tabular_input
     return DirectModel(meta["name"], steps, inputs, meta["needs_sequence"])
 
@@ -93,6 +92,11 @@ def reference_sample(
     return last.select(*[name(c) for c in (*keep, *columns)])
 
 
+def load_sample(spark: SparkSession, path: str) -> DataFrame:
+    """The stored reference sample, as rows."""
+    return spark.read.parquet(f"{path}/reference_sample")
+
+
 def save_reference(reference: DriftReference, spark: SparkSession, path: str) -> None:
     reference.to_frame(spark).write.mode("overwrite").parquet(path)
 

@@ -85,6 +85,8 @@ def test_forecast_of_all_series(spark, stored, anchor):
         assert all(p.value >= 0 for p in d.points)
     one = served.forecast(raw.where("shop = 's1'")).collect()
     assert len(one) == 1
+    cut = raw.where("shop <> 's2' or day < '2023-01-20'")
+    assert [r.shop for r in served.unserved(cut).collect()] == ["s2"]
 
 
 def test_health(spark, stored):
@@ -94,6 +96,9 @@ def test_health(spark, stored):
     same = health(spark, path, align(spark, path, raw)).first()
     assert same.status.startswith("HEALTHY") and same.prediction_drift_detected is False
     moved = raw.withColumn("sales", raw.sales * 3 + 500)
+    own = health(spark, path, align(spark, path, moved), watch="temp").first()
+    assert own.prediction_drift_detected is False
+    assert state.load_sample(spark, path).count() == 228
     far = health(spark, path, align(spark, path, moved)).first()
     assert far.status.startswith("DRIFT") and far.prediction_drift_detected is True
 
@@ -119,6 +124,9 @@ def test_one_series_and_layouts(spark, tmp_path):
     assert (a.mae, a.rmse) == (pytest.approx(b.mae), pytest.approx(b.rmse))
     with pytest.raises(ValueError, match="Too few windows"):
         train(panel(spark, days=40, shops=1), small_config(**ridge))
+    thin = df.where("day <> date'2023-02-01'")
+    full = train(thin, small_config(densify_days=1, **ridge))
+    assert full.sample.count() == one.sample.count() * 3
     staged = str(tmp_path / "staged")
     part = train(df, small_config(fit_on="train", staging=staged, **ridge))
     assert spark.read.parquet(staged).count() == df.count()
