@@ -97,6 +97,13 @@ def forecast_inputs(
     step = F.expr(f"INTERVAL '{step_days}' DAY")
     ahead = F.date_add(name(date), step_days) if isinstance(temporal, T.DateType) else name(date) + step
     known = prepared.where(name(target).isNotNull())
+    reach = max([*lags, *rolls, 0])
+    if set(prepared.columns) <= {*roles.keys, target, *roles.features, *roles.tiebreak}:
+        # Prepared features have no gaps, so the newest rows decide alone: they are cut out
+        # before any shuffle, however long the history is. (A gap in some further column
+        # would drop its row and make an older one count.)
+        known = last_rows(known, roles, lookback + reach).drop("_back")
+        layout = Layout("series")
     coming = last_rows(known, roles, 1).drop("_back").withColumns({
         date: ahead.cast(temporal),
         target: F.lit(None).cast(prepared.schema[target].dataType),

@@ -186,16 +186,19 @@ def over_series(
 
     size = max(layout.rows_per_block, before + after + 1)
     place = F.col("_pos") % size
-    home = F.floor(F.col("_pos") / size)
-    copies = [home]
-    if before:
-        copies.append(F.when(place >= size - before, home + 1))
-    if after:
-        copies.append(F.when((place < after) & (home > 0), home - 1))
+    home = F.expr(f"_pos div {size}")
+    ahead = (place >= size - before) if before else F.lit(False)
+    back = ((place < after) & (home > 0)) if after else F.lit(False)
+    copies = (
+        F.when(ahead & back, F.array(home, home + 1, home - 1))
+        .when(ahead, F.array(home, home + 1))
+        .when(back, F.array(home, home - 1))
+        .otherwise(F.array(home))
+    )
     spread = (
         with_positions(df, roles, replace(layout, kind=kind))
         .withColumn("_home", home)
-        .withColumn("_block", F.explode(F.array_compact(F.array(*copies))))
+        .withColumn("_block", F.explode(copies))
     )
     window = W.partitionBy(*series_keys(roles), "_block").orderBy("_pos")
     done = spread.withColumns(build(window)).where(F.col("_home") == F.col("_block"))

@@ -21,9 +21,12 @@ from shelfwise.functions.columns import (
     typed_value,
 )
 
-# Limits of the profile rules.
+# Limits of the profile rules and their warning texts.
 HIGH_CARDINALITY = 50
 HEAVY_MISSING_SHARE = 0.4
+CONSTANT_TEXT = "Constant columns (no signal): "
+DUPLICATES_TEXT = " duplicate rows."
+HEAVY_MISSING_TEXT = "Columns >40% missing: "
 
 
 @dataclass(frozen=True)
@@ -145,11 +148,11 @@ def profile_table(
     constant, heavy = F.col("constant_columns"), F.col("heavy_missing")
     texts = F.array(
         F.when(F.size(constant) > 0,
-               F.concat(F.lit("Constant columns (no signal): "), python_list(constant))),
+               F.concat(F.lit(CONSTANT_TEXT), python_list(constant))),
         F.when(F.col("duplicate_rows") > 0,
-               F.format_string("%d duplicate rows.", F.col("duplicate_rows"))),
+               F.concat(F.col("duplicate_rows").cast("string"), F.lit(DUPLICATES_TEXT))),
         F.when(F.size(heavy) > 0,
-               F.concat(F.lit("Columns >40% missing: "), python_list(heavy))),
+               F.concat(F.lit(HEAVY_MISSING_TEXT), python_list(heavy))),
     )
     return summary.withColumn("warnings", F.array_compact(texts))
 
@@ -166,13 +169,11 @@ def profile(
     duplicates = duplicate_rows(df).first()[0]
     constant = [r.column for r in columns if r.is_constant]
     heavy = [r.column for r in columns if r.is_heavy_missing]
-    warnings = []
-    if constant:
-        warnings.append(f"Constant columns (no signal): {constant}")
-    if duplicates:
-        warnings.append(f"{duplicates} duplicate rows.")
-    if heavy:
-        warnings.append(f"Columns >40% missing: {heavy}")
+    texts = (
+        (constant, CONSTANT_TEXT + str(constant)),
+        (duplicates, str(duplicates) + DUPLICATES_TEXT),
+        (heavy, HEAVY_MISSING_TEXT + str(heavy)),
+    )
     return Profile(
         n_rows=max((r.n_rows for r in columns), default=0),
         n_columns=len(columns),
@@ -184,5 +185,5 @@ def profile(
             r.column: {"dtype": r.dtype, "nunique": r.nunique, "missing": r.missing}
             for r in columns
         },
-        warnings=warnings,
+        warnings=[text for found, text in texts if found],
     )

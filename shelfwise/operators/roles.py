@@ -35,6 +35,7 @@ DATE_MIN_RATIO = 0.6
 NAMED_TARGET_CONFIDENCE = 0.9
 VARIANCE_TARGET_CONFIDENCE = 0.5
 DATE_NOTE = "Date column uncertain — consider setting it via config override."
+NO_TARGET = "No numeric target column could be detected."
 VARIANCE_NOTE = "Target guessed by variance ('{}') — verify via config."
 
 
@@ -236,7 +237,7 @@ def _pick_target(rows: list[Row], date: str | None, confidence: dict, notes: lis
         confidence["target"] = NAMED_TARGET_CONFIDENCE
         return named[0].column
     if not usable:
-        raise ValueError("No numeric target column could be detected.")
+        raise ValueError(NO_TARGET)
     widest = max(usable, key=lambda r: -1.0 if r.variance is None else r.variance)
     confidence["target"] = VARIANCE_TARGET_CONFIDENCE
     notes.append(VARIANCE_NOTE.format(widest.column))

@@ -122,6 +122,29 @@ def test_forecast_inputs(spark, anchor, sequence):
             assert len(got[shop].steps) == 14 and [s[0] for s in got[shop].steps] == got[shop].past
 
 
+def test_only_the_newest_rows_are_shuffled(spark):
+    roles = Roles("day", "sales", "shop", numeric=("temp",))
+    df = panel(spark).drop("promo", "kind")
+    names = feature_columns(feature_frame(df, roles), roles)
+    short = forecast.forecast_inputs(df, roles, names)
+    full = forecast.forecast_inputs(df.withColumn("unused", F.lit(1)), roles, names)
+    assert short.exceptAll(full).count() == 0 and full.exceptAll(short).count() == 0
+    plan = short._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_gap_in_an_unused_column_drops_its_row(spark):
+    roles = Roles("day", "sales", "shop", numeric=("temp",))
+    df = panel(spark).drop("promo", "kind")
+    gap = F.when(F.col("day") != "2023-03-30", 1)
+    got = forecast.forecast_inputs(df.withColumn("unused", gap), roles, [])
+    whole = forecast.forecast_inputs(df, roles, [])
+    kept = {r.shop: r.past for r in got.collect()}
+    for r in whole.collect():
+        at = 14 - 3  # 2023-03-30 is third from the end
+        assert kept[r.shop][1:] == r.past[:at] + r.past[at + 1:]
+
+
 def test_short_series_give_no_row(spark):
     df = panel(spark, days=25, shops=1).drop("promo", "kind", "temp")
     roles = Roles("day", "sales", "shop")
