@@ -188,7 +188,11 @@ def forecast_document(rows: DataFrame, roles: Roles, model_name: str) -> DataFra
         ))).alias("points"),
     )
     summary = forecast_summary(rows, roles)
-    joined = points.join(summary, keys) if keys else points.crossJoin(summary)  # 1 row each
+    if keys:
+        joined = points.join(summary, keys)
+    else:
+        one = summary.select(F.struct("*")).scalar()
+        joined = points.withColumn("_s", one).select("*", "_s.*").drop("_s")
     return joined.withColumn("model", F.lit(model_name))
 
 

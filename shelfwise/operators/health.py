@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.text import health_status
@@ -12,12 +12,16 @@ NO_DATA_NOTE = "no reference/current data"
 UNKNOWN_TIME = "unknown"
 
 
-def _prefixed(report: DataFrame | None, prefix: str) -> dict:
-    return {} if report is None else {
-        f"{prefix}_drift_detected": "dataset_drift",
-        f"{prefix}_drift_share": "drift_share",
-        f"{prefix}_drift_method": "method",
-    }
+REPORT_FIELDS = {"detected": "dataset_drift", "share": "drift_share", "method": "method"}
+EMPTY_REPORT = "struct<detected:boolean,share:double,method:string>"
+
+
+def _summary(report: DataFrame | None) -> Column:
+    """The one-row drift report as a struct value; NULL without a report."""
+    if report is None:
+        return F.lit(None).cast(EMPTY_REPORT)
+    fields = [F.col(c).alias(k) for k, c in REPORT_FIELDS.items()]
+    return report.select(F.struct(*fields)).scalar()
 
 
 def health_report(
@@ -29,7 +33,7 @@ def health_report(
 ) -> DataFrame:
     """One-row report. ``run``: one row with best_model, metrics and maybe model_version.
 
-    The drift inputs are one-row reports; all joins here are between single rows.
+    The drift inputs are one-row reports.
     """
     version = F.col("model_version") if "model_version" in run.columns else F.lit(None)
     out = run.select(
@@ -38,17 +42,11 @@ def health_report(
         F.lit(last_retrain or UNKNOWN_TIME).alias("last_retrain"),
         "metrics",
     )
-    for report, prefix in ((data_drift, "data"), (prediction_drift, "prediction")):
-        if report is None:
-            empty = {
-                f"{prefix}_drift_detected": "boolean",
-                f"{prefix}_drift_share": "double",
-                f"{prefix}_drift_method": "string",
-            }
-            out = out.withColumns({k: F.lit(None).cast(t) for k, t in empty.items()})
-        else:
-            names = _prefixed(report, prefix)
-            out = out.crossJoin(report.select(*[F.col(c).alias(k) for k, c in names.items()]))
+    for prefix, report in (("data", data_drift), ("prediction", prediction_drift)):
+        out = out.withColumn("_report", _summary(report))
+        out = out.withColumns({
+            f"{prefix}_drift_{k}": F.col(f"_report.{k}") for k in REPORT_FIELDS
+        }).drop("_report")
     note = F.when(F.col("data_drift_detected").isNull() & F.lit(error is None), NO_DATA_NOTE)
     return out.withColumns({
         "note": note,
@@ -57,7 +55,7 @@ def health_report(
     })
 
 
-def retrain_decision(report: DataFrame | None, spark=None) -> DataFrame:
+def retrain_decision(report: DataFrame | None, spark: SparkSession | None = None) -> DataFrame:
     """One row: does the data call for a retrain? Without a reference it always does."""
     if report is None:
         base = spark.range(1).select(F.lit(None).cast("double").alias("drift_share"),

@@ -144,7 +144,7 @@ def profile_table(
         flagged("is_constant").alias("constant_columns"),
         flagged("is_high_cardinality").alias("high_cardinality"),
         flagged("is_heavy_missing").alias("heavy_missing"),
-    ).crossJoin(duplicate_rows(df))  # one row each
+    ).withColumn("duplicate_rows", duplicate_rows(df).scalar())
     constant, heavy = F.col("constant_columns"), F.col("heavy_missing")
     texts = F.array(
         F.when(F.size(constant) > 0,

@@ -204,7 +204,7 @@ def frequency(df: DataFrame, date: str) -> DataFrame:
     gaps = days.select(whole_days.alias("gap")).where(F.col("gap") > 0)
     enough = known.distinct().limit(3).agg((F.count(F.lit(1)) >= 3).alias("enough"))
     middle = gaps.agg(F.floor(F.median("gap")).cast("long").alias("gap"))
-    return middle.crossJoin(enough).select(
+    return middle.withColumn("enough", enough.scalar()).select(
         F.when(~F.col("enough") | F.col("gap").isNull(), F.lit(None).cast("string"))
         .when(F.col("gap") == 1, "D")
         .when(F.col("gap") == 7, "W")

@@ -579,7 +579,7 @@ def health_report(spark: SparkSession, folder: str) -> DataFrame:
     metrics = settled(evaluate.forecast_metrics(baseline_scores(spark, folder)))
     entries = F.collect_list(F.struct("model_name", F.struct("mae", "rmse", "rmspe")))
     by_model = metrics.agg(F.map_from_entries(entries).alias("metrics"))
-    run = evaluate.select_best(metrics).crossJoin(by_model)  # one row each
+    run = evaluate.select_best(metrics).withColumn("metrics", by_model.scalar())
     reference, current = drift_pair(spark, folder)
     verdicts = settled(drift.drift_columns(reference, current))
     data = drift.dataset_verdict(verdicts)

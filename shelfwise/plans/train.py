@@ -188,8 +188,9 @@ def _training_part(df: DataFrame, roles: Roles) -> DataFrame:
         .groupBy(*keys)
         .agg(F.max("_day").alias("_cut"))
     )
-    joined = df.join(cut, [roles.series]) if roles.series else df.crossJoin(cut)  # one row
-    return joined.where(day <= F.col("_cut")).drop("_cut")
+    if roles.series is None:
+        return df.where(day <= cut.scalar())
+    return df.join(cut, [roles.series]).where(day <= F.col("_cut")).drop("_cut")
 
 
 def run_row(spark: SparkSession, trained: Trained, path: str, version: str = "v1") -> DataFrame:

@@ -174,3 +174,18 @@ def test_detected_types_of_csv(spark, tmp_path):
     raw = read_csv(spark, write_csv(tmp_path / "x.csv", panel_rows(days=30, shops=2)))
     assert raw.columns == [f.split()[0] for f in PANEL_SCHEMA.split(", ")]
     assert detect_roles(raw).frequency == "D"
+
+
+def test_one_series_without_a_key_column(spark):
+    rows = [(r[1], r[2]) for r in panel_rows(days=120, shops=1)]
+    df = spark.createDataFrame(rows, "day date, sales double")
+    config = small_config(candidates=[models.ridge_candidate()], baselines={}, fit_on="train")
+    trained = train(df, config)
+    assert trained.roles.series is None and trained.best == "ridge"
+    from shelfwise.operators import forecast
+
+    inputs = forecast.forecast_inputs(df, trained.roles, trained.features, sequence=True)
+    served = forecast.forecast_rows(trained.best_model.predict(inputs), trained.roles)
+    doc = forecast.forecast_document(served, trained.roles, "ridge").first()
+    assert doc.horizon == 7 and doc.points[0].date == "2023-05-02"
+    assert abs(doc.trend_pct) < 100
