@@ -84,8 +84,8 @@ def feature_frame(
 
 
 def feature_columns(df: DataFrame, roles: Roles) -> list[str]:
-    """Numeric columns of an engineered frame that are neither key nor target."""
-    skip = (roles.date, roles.target, roles.series)
+    """Numeric columns of an engineered frame that are neither key, target nor tie-break."""
+    skip = (roles.date, roles.target, roles.series, *roles.tiebreak)
     return [c for c in numeric_columns(df, skip) if not c.startswith("_")]
 
 

@@ -243,11 +243,11 @@ class Preprocessor:
         self.broadcast_categories = broadcast_categories
         self.state: PrepState | None = None
 
-    def _parsed(self, df: DataFrame, roles: Roles) -> DataFrame:
+    def parsed(self, df: DataFrame, roles: Roles) -> DataFrame:
         return nan_to_null(parse_dates(df, roles.date, self.formats, self.as_date))
 
     def fit(self, df: DataFrame, roles: Roles) -> Preprocessor:
-        parsed = self._parsed(df, roles)
+        parsed = self.parsed(df, roles)
         numeric = [c for c in roles.numeric if c in df.columns]
         categorical = [c for c in roles.categorical if c in df.columns]
         codes, n_codes = None, 0
@@ -266,7 +266,7 @@ class Preprocessor:
         if self.state is None:
             raise ValueError("fit the preprocessor or load its state first")
         state = self.state
-        parsed = self._parsed(df, state.roles)
+        parsed = self.parsed(df, state.roles)
         if self.impute_from == "batch":
             fill = fit_medians(parsed, list(state.scales), self.small_rows)
         else:

@@ -136,7 +136,7 @@ def train(df: DataFrame, config: TrainConfig | None = None) -> Trained:
     pre = Preprocessor(config.date_formats, as_date=as_date)
     layout = config.layout or measured_layout(chosen, roles)
     if config.fit_on == "train":
-        pre.fit(_training_part(pre._parsed(chosen, roles), roles), roles)
+        pre.fit(_training_part(pre.parsed(chosen, roles), roles), roles)
     else:
         pre.fit(chosen, roles)
     roles = pre.state.roles

@@ -86,7 +86,8 @@ def reference_sample(
 
     A top-n: every task sends at most ``rows`` rows.
     """
-    columns = [roles.target, *numeric_columns(frame, (roles.date, roles.target, roles.series))]
+    skip = (roles.date, roles.target, roles.series, *roles.tiebreak)
+    columns = [roles.target, *numeric_columns(frame, skip)]
     keys = [name(roles.series).desc()] if roles.series else []
     last = frame.orderBy(*keys, *series_order(roles, descending=True)).limit(rows)
     return last.select(*[name(c) for c in (*keep, *columns)])

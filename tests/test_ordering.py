@@ -106,6 +106,14 @@ def test_measured_layout(spark):
     assert measured_layout(panel(spark), ROLES, 1000).kind == "series"
 
 
+def test_tie_break_is_no_feature(spark):
+    from shelfwise.operators.features import feature_columns
+    from shelfwise.sources.state import reference_sample
+
+    assert feature_columns(ticks(spark), TICKS) == ["load"]
+    assert reference_sample(ticks(spark), TICKS).columns == ["value", "load"]
+
+
 def test_last_rows(spark):
     got = {(r.sensor, r._back): r.seq for r in last_rows(ticks(spark), TICKS, 3).collect()}
     want = {(s, b + 1): r[2] for s, g in sensors().items() for b, r in enumerate(g[::-1][:3])}
