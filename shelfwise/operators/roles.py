@@ -200,12 +200,15 @@ def frequency(df: DataFrame, date: str) -> DataFrame:
         F.min("t").alias("first"), F.max("t").alias("last")
     )
     previous = F.lag("last").over(W.orderBy("day"))
-    whole_days = F.timestamp_diff("DAY", previous, F.col("first"))
-    gaps = days.select(whole_days.alias("gap")).where(F.col("gap") > 0)
-    enough = known.distinct().limit(3).agg((F.count(F.lit(1)) >= 3).alias("enough"))
-    middle = gaps.agg(F.floor(F.median("gap")).cast("long").alias("gap"))
-    return middle.withColumn("enough", enough.scalar()).select(
-        F.when(~F.col("enough") | F.col("gap").isNull(), F.lit(None).cast("string"))
+    gap = F.timestamp_diff("DAY", previous, F.col("first"))
+    times_of_day = F.lit(1) + (F.col("first") != F.col("last")).cast("int")
+    found = days.select(gap.alias("gap"), times_of_day.alias("times")).agg(
+        F.floor(F.median(F.when(F.col("gap") > 0, F.col("gap")))).cast("long").alias("gap"),
+        # With gaps between days, three of these mean three different times.
+        (F.sum("times") >= 3).alias("enough"),
+    )
+    return found.select(
+        F.when(F.col("gap").isNull() | ~F.col("enough"), F.lit(None).cast("string"))
         .when(F.col("gap") == 1, "D")
         .when(F.col("gap") == 7, "W")
         .otherwise(F.concat(F.col("gap").cast("string"), F.lit("D")))

@@ -153,3 +153,13 @@ def test_frequency_of_times(spark):
     assert frequency(two, "t").first()[0] == "D"
     days = panel(spark)
     assert frequency(days, "day").first()[0] == "D"
+
+
+def test_frequency_needs_three_times(spark):
+    def of(*times):
+        df = spark.createDataFrame([(t,) for t in times], "t string")
+        return frequency(df.selectExpr("cast(t as timestamp) as t"), "t").first()[0]
+
+    assert of("2024-01-01", "2024-01-08", "2024-01-08") is None
+    assert of("2024-01-01 00:00", "2024-01-08 05:00", "2024-01-08 06:00") == "W"
+    assert of("2024-01-01 01:00", "2024-01-01 02:00", "2024-01-01 03:00") is None
