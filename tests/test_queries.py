@@ -5,8 +5,10 @@ import pytest
 import __spark_entry__ as contract
 from compare import connect, difference
 from conftest import SMALL
+from shelfwise.plans.reports import REPORTS
 
-QUERIES, TWINS = contract.queries(), contract.oracle_sql()
+QUERIES = {k: v for k, v in contract.queries().items() if k in REPORTS}
+TWINS = {k: v for k, v in contract.oracle_sql().items() if k in REPORTS}
 WITHOUT_TWIN = {"gbt_forecast", "linear_forecast", "train_and_compare"}
 
 
