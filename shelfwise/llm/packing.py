@@ -21,6 +21,9 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import chain
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,13 @@ from pyspark.sql import functions as F
 WINDOW = 2048
 END_ID = 1
 OPEN_WINDOWS = 512
-#: Words whose ids a task remembers at most; then it starts anew.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker remembers at most; then it starts anew.
+CACHE_WORDS = 1_000_000
+#: Letters that byte-level models use for bytes: printable ones stand for themselves, the
+#: others are numbered from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PLAIN)}
+PROBES = ("the", "hello", "straße", "éàê", "ñandú", "übermäßig", "привет", "日本語", "a")
 
 SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint")
@@ -42,7 +50,9 @@ class WordIds:
     """Token ids of texts, word by word.
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are
-    those of its words in turn; few words make up most of a text, and their ids are kept.
+    those of its words in turn; few words make up most of a text, and their ids are kept. It
+    lower-cases, and parts letters from a mark that follows, so a word met in another case or
+    with another final mark needs no new run of the tokenizer.
     """
 
     def __init__(self, path: str, end_id: int = END_ID, cache_words: int = CACHE_WORDS):
@@ -52,27 +62,67 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.end_id, self.cache_words = end_id, cache_words
         self.known: dict[bytes, list[int]] = {}
+        self.direct = all(  # does the model alone give the ids of plain words?
+            self.letters_only(w) == self.whole([w])[0] for w in PROBES)
+
+    def whole(self, words: list[str]) -> list[list[int]]:
+        return [c.ids for c in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def letters_only(self, word: str) -> list[int]:
+        """Ids of a lower-case word of letters: one piece for the model, byte by byte."""
+        mapped = normalize("NFC", word).encode().decode("latin-1").translate(BYTE_LETTERS)
+        return [t.id for t in self.model.tokenize(mapped)]
+
+    def learn(self, new: list[bytes]) -> None:
+        known, others = self.known, []
+        for w in new:
+            word = w.decode("utf-8", "surrogatepass")
+            mark = word[-1:] if word[-1:] in (",", ".") else ""
+            core = word[:-1] if mark else word
+            if self.direct and core.isalpha() and core.islower():
+                ids = known.get(core.encode()) if mark else None
+                if ids is None:
+                    ids = known[core.encode()] = self.letters_only(core)
+                if mark:
+                    known[w] = ids + self.marks[mark]
+            else:
+                others.append(w)
+        if others:
+            words = [w.decode("utf-8", "surrogatepass") for w in others]
+            known.update(zip(others, self.whole(words)))
+
+    @cached_property
+    def marks(self) -> dict[str, list[int]]:
+        return dict(zip(",.", self.whole([",", "."])))
 
     def __call__(self, text: str | None) -> np.ndarray:
-        found = (text or "").encode("utf-8", "surrogatepass").split()
+        body = (text or "").encode("utf-8", "surrogatepass")
+        if b"<|" not in body:  # else a special token's name may be there, whose case counts
+            body = body.lower()
+        found = body.split()
         if len(self.known) > self.cache_words:
             self.known = {}
         known = self.known
-        new = [w for w in set(found) if w not in known]
-        if new:
-            coded = self.tokenizer.encode_batch(
-                [w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)
-            known.update((w, c.ids) for w, c in zip(new, coded))
-        ids: list[int] = []
-        extend = ids.extend
-        for w in found:
-            extend(known[w])
+        self.learn([w for w in set(found) if w not in known])
+        ids = list(chain.from_iterable(map(known.__getitem__, found)))
         ids.append(self.end_id)
         return np.array(ids, dtype="<u4")
 
 
+_kept: dict[tuple, WordIds] = {}
+
+
+def word_ids(path: str, end_id: int) -> WordIds:
+    """The tokenizer of this worker process; its words serve later tasks too."""
+    if (path, end_id) not in _kept:
+        _kept.clear()
+        _kept[path, end_id] = WordIds(path, end_id)
+    return _kept[path, end_id]
+
+
 class Packer:
     """Open windows of one task. A piece is (doc_id, start, ids, doc_tokens)."""
 
@@ -184,7 +234,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         schema = pa.schema([(n, pa.int64()) for n in names])
-        ids_of = WordIds(tokenizer, end_id)
+        ids_of = word_ids(tokenizer, end_id)
         packer = Packer(window, TaskContext.get().partitionId() << 36, open_windows)
 
         def flush() -> pa.RecordBatch:
