@@ -164,7 +164,8 @@ def fit_profiles(
                 v = book.bundle(body)
                 if v is not None:
                     total[name] = total[name] + v if name in total else v
-        yield pd.DataFrame({"lang": list(total), "v": [v.tolist() for v in total.values()]})
+        if total:
+            yield pd.DataFrame({"lang": list(total), "v": [v.tolist() for v in total.values()]})
 
     def added(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"lang": [group["lang"].iloc[0]],

@@ -34,7 +34,9 @@ def with_next(
     if bounds:
         cuts = [-float("inf"), *sorted(-b for b in bounds), float("inf")]
         bucket = Bucketizer(splits=cuts, inputCol="_v", outputCol="_b", handleInvalid="keep")
-        spread = bucket.transform(spread).withColumn("_b", F.col("_b").cast("int"))
+        last = F.lit(len(cuts))  # null keys
+        spread = bucket.transform(spread).withColumn(
+            "_b", F.when(F.col("_v").isNull(), last).otherwise(F.col("_b").cast("int")))
     else:
         spread = spread.withColumn("_b", F.when(F.col("_v").isNull(), 1).otherwise(0))
     order = W.partitionBy("_b").orderBy(F.col(key).desc_nulls_last(), "_tie")
