@@ -17,7 +17,7 @@ LABEL_LIMIT = 1.0
 
 
 def insight(delta: Column) -> Column:
-    percent = F.abs(F.bround(delta * 100, 0)).cast("int")
+    percent = F.abs(F.bround(delta * 100, 0)).cast("bigint")
     return (
         F.when(delta > INSIGHT_LIMIT, F.format_string(INSIGHT_UP, percent))
         .when(delta < -INSIGHT_LIMIT, F.format_string(INSIGHT_DOWN, percent))

@@ -224,7 +224,7 @@ def inventory_recommendations(summary: DataFrame, roles: Roles) -> DataFrame:
     products = F.array(*[
         F.struct(F.lit(p).alias("product"), F.lit(f).alias("factor")) for p, f in PRODUCT_FACTORS
     ])
-    percent = half_up(F.col("trend_pct") * F.col("factor")).cast("int")
+    percent = half_up(F.col("trend_pct") * F.col("factor")).cast("bigint")
     return (
         summary.select(*keys, "trend_pct", F.inline(products))
         .withColumn("change_pct", percent)

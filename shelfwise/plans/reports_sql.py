@@ -101,7 +101,7 @@ deltas AS (SELECT *, (favg - ravg) / GREATEST(ravg, 1e-6) AS delta FROM totals),
 summary AS (
   SELECT store_id, round_even(ravg, 1) AS recent_average, round_even(favg, 1) AS forecast_average,
          round_even(delta * 100, 1) AS trend_pct, delta,
-         CAST(ABS(round_even(delta * 100, 0)) AS INTEGER) AS pct FROM deltas)"""
+         CAST(ABS(round_even(delta * 100, 0)) AS BIGINT) AS pct FROM deltas)"""
 
 SCORES = f"""scores AS (
   SELECT m.model_name, w.store_id, w.sale_date, h.h, y.sales AS y,

@@ -134,7 +134,7 @@ def train(df: DataFrame, config: TrainConfig | None = None) -> Trained:
     as_date = not _holds_times(chosen, roles.date, config.date_formats)
 
     pre = Preprocessor(config.date_formats, as_date=as_date)
-    layout = config.layout or measured_layout(chosen, roles)
+    layout = config.layout or measured_layout(pre.parsed(chosen, roles), roles)
     if config.fit_on == "train":
         pre.fit(_training_part(pre.parsed(chosen, roles), roles), roles)
     else:
@@ -143,7 +143,8 @@ def train(df: DataFrame, config: TrainConfig | None = None) -> Trained:
     if config.densify_days is not None:
         chosen = densify(parse_dates(chosen, roles.date, config.date_formats, True), roles,
                          config.densify_days, fill=0.0)
-    frame = feature_frame(pre.transform(chosen), roles, config.lags, config.rolls, layout)
+    frame = feature_frame(pre.transform(chosen), roles, config.lags, config.rolls, layout).persist(
+        StorageLevel.MEMORY_AND_DISK)
     features = feature_columns(frame, roles)
     sequence = any(c.needs_sequence for c in config.candidates)
     windows = split_windows(sliding_windows(
@@ -158,6 +159,9 @@ def train(df: DataFrame, config: TrainConfig | None = None) -> Trained:
     order = [*models, *config.baselines]
     best = select_best(metrics, config.selection_metric, order).first()["best_model"]
     sample = settled(state.reference_sample(frame, roles))  # a top-n of 500 rows
+    # The reference covers every row of the frame; the sample is an export only.
+    reference = fit_reference(frame, sample.columns)
+    frame.unpersist()
     return Trained(
         roles=roles,
         preprocessor=pre,
@@ -166,7 +170,7 @@ def train(df: DataFrame, config: TrainConfig | None = None) -> Trained:
         metrics=metrics,
         profile=found,
         features=features,
-        reference=fit_reference(sample, sample.columns),
+        reference=reference,
         sample=sample,
         config=config,
     )

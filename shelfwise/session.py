@@ -27,9 +27,11 @@ def local_session(cores: str | int = "*", app: str = "shelfwise", **conf: str) -
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only if none is named."""
+    """The cluster's shared checkpoint folder; a temporary one only in local runs without one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="shelfwise-checkpoint-"))
     return context.getCheckpointDir()

@@ -5,6 +5,7 @@ import re
 
 import pytest
 from frames import PANEL_SCHEMA, panel, panel_rows
+from pyspark.sql import functions as F
 
 from shelfwise import Forecaster, TrainConfig, detect_roles, health, retrain_if_needed, save, train
 from shelfwise.operators import models
@@ -189,3 +190,28 @@ def test_one_series_without_a_key_column(spark):
     doc = forecast.forecast_document(served, trained.roles, "ridge").first()
     assert doc.horizon == 7 and doc.points[0].date == "2023-05-02"
     assert abs(doc.trend_pct) < 100
+
+
+def test_text_dates(spark, tmp_path):
+    raw = panel(spark).withColumn("day", F.date_format("day", "dd/MM/yyyy"))
+    raw = raw.withColumn("day", F.when(F.rand(1) < 0.01, "unreadable").otherwise(F.col("day")))
+    config = small_config(date_formats=("dd/MM/yyyy",), schema_overrides={
+        "date_column": "day", "target_column": "sales", "group_column": "shop"})
+    trained = train(raw, config)
+    assert trained.roles.date == "day"
+    save(trained, spark, str(tmp_path / "state"))
+    assert Forecaster(spark, str(tmp_path / "state")).forecast(raw).count() > 0
+
+
+def test_reference_covers_every_series(spark, tmp_path):
+    """12 shops, 150 days: the sales of most shops fall to a hundredth."""
+    days = spark.range(150).select(F.date_add(F.lit("2023-01-01").cast("date"), F.col("id").cast("int")).alias("day"))
+    shops = spark.range(12).select(F.concat(F.lit("shop"), F.lpad("id", 2, "0")).alias("shop"), "id")
+    raw = shops.crossJoin(days).select(
+        "shop", "day", (100.0 + 10 * F.col("id") + F.abs(F.hash("shop", "day")) % 40).alias("sales"), "id").cache()
+    path = str(tmp_path / "state")
+    overrides = {"date_column": "day", "target_column": "sales", "group_column": "shop"}
+    save(train(raw.drop("id"), small_config(schema_overrides=overrides)), spark, path)
+    fallen = raw.withColumn("sales", F.when(F.col("id") < 7, F.col("sales") / 100).otherwise(F.col("sales")))
+    report = health(spark, path, align(spark, path, fallen.drop("id"))).first()
+    assert "DRIFT DETECTED" in str(report)
