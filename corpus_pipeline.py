@@ -29,9 +29,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-duplicates: the document with the smallest id of each group stays.
 
-    A fingerprint's rows are reduced to one before groups are, so large groups are small.
+    Groups link texts whose five-word shingles have a similarity of 0.8 or more.
     """
-    groups = simhash.near_duplicates(docs, keep=["doc_id"]).select("doc_id", "component_id")
+    groups = simhash.similar_texts(docs)
     stay = groups.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     kept = docs.join(stay, "doc_id", "left_semi")
     one = W.partitionBy("doc_id").orderBy(F.md5(F.col("text").cast("binary")))

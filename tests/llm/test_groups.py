@@ -95,6 +95,46 @@ def test_fingerprint_links(spark, docs, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+def shingle_set(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i: i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_similar_texts(spark, docs, nothing):
+    draw = np.random.default_rng(12)
+    vocabulary = [f"w{i}" for i in range(2_000)]
+    bodies, pairs = [], []
+    for _ in range(150):
+        words = draw.choice(vocabulary, 300).tolist()
+        bodies.append(" ".join(words))
+        edited = list(words)
+        for at in draw.choice(300, int(draw.integers(1, [9, 40][len(pairs) % 2])), replace=False):
+            edited[at] = str(draw.choice(vocabulary))
+        pairs.append((len(bodies) - 1, len(bodies)))
+        bodies.append(" ".join(edited).upper())
+    df = spark.createDataFrame(list(enumerate(bodies)), "doc_id bigint, text string")
+    for hot in (20_000, 40):
+        of = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(df, hot_cell=hot).collect()}
+        found, wrong, wanted = 0, 0, 0
+        for a, b in pairs:
+            x, y = shingle_set(bodies[a]), shingle_set(bodies[b])
+            alike = len(x & y) / len(x | y)
+            if alike >= 0.8:
+                wanted += 1
+                found += of[b] == a
+            elif alike < 0.7:
+                wrong += of[b] != b
+        assert wanted > 50 and found >= 0.9 * wanted and wrong == 0
+    rows = simhash.similar_texts(docs).collect()
+    assert len(rows) == docs.count()
+    of, same = {r["doc_id"]: r["component_id"] for r in rows}, defaultdict(set)
+    for r in docs.where("doc_id is not null").collect():
+        same[" ".join((r["text"] or "").split())].add(of[r["doc_id"]])
+    assert all(len(v) == 1 for v in same.values())
+    assert simhash.similar_texts(nothing).count() == 0
+    assert simhash.similar_texts(docs.where("doc_id is null")).collect()[0]["component_id"] is None
+
+
 def covered(bodies, length):
     seen = Counter(b[i: i + length] for b in bodies for i in range(len(b) - length + 1))
     out = []
@@ -181,6 +221,16 @@ def test_pipeline(spark):
                 labels.where("quality = 1"), "doc_id").count()
         elif name == "near_duplicates":
             assert docs.count() == docs.select("text").distinct().count() <= before.count()
+            sets = [shingle_set(r["text"]) for r in docs.collect()]
+            holders = defaultdict(Counter)
+            where = defaultdict(list)
+            for i, x in enumerate(sets):
+                for g in x:
+                    for j in where[g]:
+                        holders[i][j] += 1
+                    where[g].append(i)
+            left = [n / len(sets[i] | sets[j]) for i, c in holders.items() for j, n in c.items()]
+            assert sum(x >= 0.85 for x in left) == 0
         elif name == "repeated_passages":
             bodies = [(r["text"] or "").encode() for r in before.collect()]
             want = sorted(x[2] for x in covered(bodies, corpus_pipeline.PASSAGE_BYTES))
