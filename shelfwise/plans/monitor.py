@@ -18,7 +18,9 @@ from shelfwise.sources import state
 def align(spark: SparkSession, path: str, posted: DataFrame, layout: Layout = AUTO) -> DataFrame:
     """Posted rows prepared and engineered like the training data."""
     pre = state.load_preprocessor(spark, f"{path}/preprocessor")
-    return feature_frame(pre.transform(posted), pre.state.roles, layout=layout)
+    run = state.latest_run(state.read_runs(spark, f"{path}/runs")).first()
+    lags, rolls = state.lags_and_rolls(run)
+    return feature_frame(state.engineered(posted, pre, run), pre.state.roles, lags, rolls, layout)
 
 
 def health(

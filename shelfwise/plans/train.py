@@ -38,7 +38,8 @@ from shelfwise.sources import state
 class TrainConfig:
     """Arguments of a training run.
 
-    ``baselines``: named array columns over the window table (see ``operators.models``).
+    ``baselines``: named array columns over the window table (see ``operators.models``);
+    they are scored beside the candidates but only selected where there is no candidate.
     ``staging``: a shared folder; the raw table is written there as Parquet once, so that
     the many later scans read only the columns they need instead of parsing text again.
     ``densify_days``: fill the calendar of every series in steps of that many days first,
@@ -157,7 +158,9 @@ def train(df: DataFrame, config: TrainConfig | None = None) -> Trained:
     finally:
         windows.unpersist()
     order = [*models, *config.baselines]
-    best = select_best(metrics, config.selection_metric, order).first()["best_model"]
+    # Baselines are yardsticks: a stored run needs a model that can be loaded again.
+    servable = metrics.where(F.col("model_name").isin(list(models))) if models else metrics
+    best = select_best(servable, config.selection_metric, order).first()["best_model"]
     sample = settled(state.reference_sample(frame, roles))  # a top-n of 500 rows
     # The reference covers every row of the frame; the sample is an export only.
     reference = fit_reference(frame, sample.columns)
@@ -207,6 +210,7 @@ def run_row(spark: SparkSession, trained: Trained, path: str, version: str = "v1
         datetime.now(timezone.utc), trained.best, version, config.horizon, config.lookback,
         metrics, (roles.date, roles.target, roles.series, roles.frequency),
         trained.profile.warnings, trained.features, f"{path}/model_{trained.best}",
+        list(config.lags), list(config.rolls), config.densify_days,
     )
     return spark.createDataFrame([row], state.RUN_SCHEMA)
 

@@ -6,15 +6,16 @@ import json
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from shelfwise.functions.columns import name, numeric_columns
 from shelfwise.operators.drift import DriftReference
+from shelfwise.operators.features import LAGS, ROLLS, densify
 from shelfwise.operators.models import DirectModel, sequence_input, tabular_input
 from shelfwise.operators.ordering import series_order
-from shelfwise.operators.prep import ColumnScale, Preprocessor, PrepState
+from shelfwise.operators.prep import ColumnScale, Preprocessor, PrepState, parse_dates
 from shelfwise.operators.roles import Roles
 
 # Fixed value: rows of the saved reference sample.
@@ -25,7 +26,8 @@ RUN_SCHEMA = (
     "run_time timestamp, best_model string, model_version string, horizon int, lookback int, "
     "metrics map<string,struct<mae:double,rmse:double,rmspe:double>>, "
     "schema struct<date_column:string,target_column:string,group_column:string,frequency:string>, "
-    "profile_warnings array<string>, feature_columns array<string>, model_path string"
+    "profile_warnings array<string>, feature_columns array<string>, model_path string, "
+    "lags array<int>, rolls array<int>, densify_days int"
 )
 
 
@@ -124,6 +126,22 @@ def latest_run(runs: DataFrame) -> DataFrame:
     return runs.orderBy(F.col("run_time").desc()).limit(1)
 
 
+def engineered(prepared_from: DataFrame, pre: Preprocessor, run: Row | None) -> DataFrame:
+    """Rows prepared as those of the run were: its calendar filled, then the preprocessor."""
+    days = run["densify_days"] if run else None
+    if days is not None:
+        roles = pre.state.roles
+        dated = parse_dates(prepared_from, roles.date, pre.formats, True)
+        prepared_from = densify(dated, roles, days, fill=0.0)
+    return pre.transform(prepared_from)
+
+
+def lags_and_rolls(run: Row | None) -> tuple[Sequence[int], Sequence[int]]:
+    """The run's lags and means; the defaults for runs logged without them."""
+    lags, rolls = (run["lags"], run["rolls"]) if run else (None, None)
+    return (LAGS if lags is None else lags), (ROLLS if rolls is None else rolls)
+
+
 def model_info(runs: DataFrame) -> DataFrame:
     """Approved model, sizes, metrics and schema of the newest run (one row)."""
     return latest_run(runs).select(

@@ -215,3 +215,20 @@ def test_reference_covers_every_series(spark, tmp_path):
     fallen = raw.withColumn("sales", F.when(F.col("id") < 7, F.col("sales") / 100).otherwise(F.col("sales")))
     report = health(spark, path, align(spark, path, fallen.drop("id"))).first()
     assert "DRIFT DETECTED" in str(report)
+
+
+def test_run_serves_with_its_own_settings(spark, tmp_path):
+    raw, path = panel(spark, gaps=True), str(tmp_path / "state")
+    perfect = {"moving_average": F.col("future")}  # a baseline that cannot be beaten
+    config = small_config(candidates=[models.ridge_candidate()], baselines=perfect,
+                          lags=(1, 2), rolls=(3,), densify_days=1, schema_overrides={
+                              "date_column": "day", "target_column": "sales", "group_column": "shop"})
+    trained = train(raw, config)
+    assert trained.best == "ridge"
+    save(trained, spark, path)
+    ready = Forecaster(spark, path)
+    assert ready.forecast(raw).count() > 0
+    assert "sales_lag2" in ready.features and "sales_lag7" not in ready.features
+    assert ready.unserved(raw).count() + ready.forecast(raw).count() == raw.select("shop").distinct().count()
+    assert set(trained.features) <= set(align(spark, path, raw).columns)
+    assert health(spark, path, align(spark, path, raw)).count() == 1
