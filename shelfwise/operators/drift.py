@@ -20,7 +20,6 @@ BINS = 10
 PSI_LIMIT = 0.25
 DRIFT_SHARE = 0.4
 SHARE_FLOOR = 1e-6
-EDGE_GRID = 1e6
 
 REFERENCE_SCHEMA = "column string, edges array<double>, counts array<long>, n_values long"
 
@@ -34,19 +33,27 @@ def shared_numeric(reference: DataFrame, current: DataFrame) -> list[str]:
 
 
 def psi_edges(
-    reference: DataFrame, columns: Sequence[str], bins: int = BINS, small_rows: int = SMALL_ROWS
+    reference: DataFrame, columns: Sequence[str], bins: int = BINS, small_rows: int = SMALL_ROWS,
+    exact: bool = True,
 ) -> dict[str, list[float]]:
     """Distinct quantile edges per column, in order; empty without values.
 
-    Edges and values are rounded to the same grid, so that a value equal to an edge stays
-    on its side of it.
+    ``exact=False`` takes them from a sketch of one scan; they are then values of the column.
     """
     shares = [i / bins for i in range(bins + 1)]
-    found = exact_quantiles(reference, columns, shares, small_rows)
-    return {
-        c: sorted({round(e * EDGE_GRID) / EDGE_GRID for e in q if e is not None})
-        for c, q in found.items()
-    }
+    if exact:
+        found = exact_quantiles(reference, columns, shares, small_rows)
+    else:
+        sketches = [F.percentile_approx(_number(reference, c), shares).alias(f"q{i}")
+                    for i, c in enumerate(columns)]
+        row = reference.agg(*sketches).first() if sketches else ()
+        found = {c: row[i] or [] for i, c in enumerate(columns)}
+    return {c: sorted({e for e in q if e is not None}) for c, q in found.items()}
+
+
+def _number(df: DataFrame, column: str) -> Column:
+    """The column as DOUBLE, NaN as NULL."""
+    return F.nanvl(as_double(column, df.schema[column].dataType), F.lit(None).cast("double"))
 
 
 def edges_frame(spark: SparkSession, edges: dict[str, list[float]]) -> DataFrame:
@@ -68,13 +75,7 @@ def _bin(x: Column, edges: Sequence[float]) -> Column:
 
 def histogram(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
     """Rows per (column, bin); bin -1 counts values outside the edges."""
-    none = F.lit(None).cast("double")
-
-    def on_grid(c: str) -> Column:
-        x = F.nanvl(as_double(c, df.schema[c].dataType), none)
-        return F.rint(x * EDGE_GRID) / EDGE_GRID
-
-    bins = {c: _bin(on_grid(c), e) for c, e in edges.items()}
+    bins = {c: _bin(_number(df, c), e) for c, e in edges.items()}
     return (
         to_long(df, bins, value_as="bin")
         .where(F.col("bin").isNotNull())
@@ -112,10 +113,11 @@ class DriftReference:
 
 
 def fit_reference(
-    reference: DataFrame, columns: Sequence[str], bins: int = BINS, small_rows: int = SMALL_ROWS
+    reference: DataFrame, columns: Sequence[str], bins: int = BINS, small_rows: int = SMALL_ROWS,
+    exact: bool = True,
 ) -> DriftReference:
     """Summarise the reference distribution of the columns."""
-    edges = psi_edges(reference, columns, bins, small_rows)
+    edges = psi_edges(reference, columns, bins, small_rows, exact)
     counts = {c: [0] * max(len(e) - 1, 0) for c, e in edges.items()}
     for r in histogram(reference, edges).collect() if edges else []:  # columns x bins rows
         if r["bin"] >= 0:

@@ -81,6 +81,7 @@ def forecast_inputs(
     the date of the last one. Series with too little history give no row.
     """
     if anchor == "last_complete":
+        layout = layout.settled(prepared, roles)
         frame = with_features(prepared, roles, lags, rolls, layout).na.drop("any")
         last = latest_window(
             sliding_windows(frame, roles, lookback, horizon, features, sequence, layout)
@@ -104,6 +105,8 @@ def forecast_inputs(
         # would drop its row and make an older one count.)
         known = last_rows(known, roles, lookback + reach).drop("_back")
         layout = Layout("series")
+    else:
+        layout = layout.settled(known, roles)
     coming = last_rows(known, roles, 1).drop("_back").withColumns({
         date: ahead.cast(temporal),
         target: F.lit(None).cast(prepared.schema[target].dataType),
@@ -159,15 +162,20 @@ def forecast_rows(predicted: DataFrame, roles: Roles, step_days: int = 1) -> Dat
 def forecast_summary(rows: DataFrame, roles: Roles) -> DataFrame:
     """Averages, trend, label and insight per series from long forecast rows."""
     keys = [roles.series] if roles.series else []
-    totals = rows.groupBy(*keys).agg(
-        F.max("recent_average").alias("_recent"), F.avg("forecast").alias("_ahead")
-    )
+    return _with_trend(rows.groupBy(*keys).agg(*_averages()), keys)
+
+
+def _averages() -> list[Column]:
+    return [F.max("recent_average").alias("_recent"), F.avg("forecast").alias("_ahead")]
+
+
+def _with_trend(totals: DataFrame, keep: Sequence[str]) -> DataFrame:
     delta = (F.col("_ahead") - F.col("_recent")) / F.greatest("_recent", F.lit(AVERAGE_FLOOR))
     return (
         totals.withColumn("_delta", delta)
         .withColumn("trend_pct", F.bround(F.col("_delta") * 100, 1))
         .select(
-            *keys,
+            *keep,
             F.bround("_recent", 1).alias("recent_average"),
             F.bround("_ahead", 1).alias("forecast_average"),
             "trend_pct",
@@ -178,22 +186,18 @@ def forecast_summary(rows: DataFrame, roles: Roles) -> DataFrame:
 
 
 def forecast_document(rows: DataFrame, roles: Roles, model_name: str) -> DataFrame:
-    """One row per series in the layout of the served document."""
+    """One row per series in the layout of the served document: one aggregate of the rows."""
     keys = [roles.series] if roles.series else []
-    points = rows.groupBy(*keys).agg(
+    grouped = rows.groupBy(*keys).agg(
+        *_averages(),
         F.count(F.lit(1)).cast("int").alias("horizon"),
         F.array_sort(F.collect_list(F.struct(
             "step", F.date_format("date", "yyyy-MM-dd").alias("date"),
             F.bround("forecast", 1).alias("value"),
         ))).alias("points"),
     )
-    summary = forecast_summary(rows, roles)
-    if keys:
-        joined = points.join(summary, keys)
-    else:
-        one = summary.select(F.struct("*")).scalar()
-        joined = points.withColumn("_s", one).select("*", "_s.*").drop("_s")
-    return joined.withColumn("model", F.lit(model_name))
+    summary = _with_trend(grouped, [*keys, "horizon", "points"])
+    return summary.withColumn("model", F.lit(model_name))
 
 
 def forecast_band(rows: DataFrame) -> DataFrame:

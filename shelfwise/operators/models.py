@@ -1,7 +1,7 @@
 """Direct multi-step forecasters over MLlib, and baselines in plain SQL functions.
 
-Every candidate gives an array with one predicted value per step. MLlib candidates fit one regressor per step; users add their own by passing any
-``pyspark.ml`` regressor.
+Every candidate gives an array with one predicted value per step. MLlib candidates fit one
+regressor per step; users add their own by passing any ``pyspark.ml`` regressor.
 """
 
 from __future__ import annotations
@@ -32,6 +32,9 @@ GBT_DEFAULTS = {
 SUNDAY_FACTOR = 0.3
 FRIDAY_SATURDAY_FACTOR = 0.8
 
+#: Training rows a task takes at least: boosting starts thousands of short jobs.
+ROWS_PER_TASK = 50_000
+
 RIDGE_DEFAULTS = {"regParam": 0.1, "elasticNetParam": 0.0, "maxIter": 100}
 
 
@@ -57,16 +60,23 @@ def sequence_input() -> Column:
     return array_to_vector(F.flatten("steps"))
 
 
+def input_vector(inputs: Callable[[], Column] | str) -> Column:
+    """A function's column, or a SQL expression of an array of doubles as a vector."""
+    return array_to_vector(F.expr(inputs)) if isinstance(inputs, str) else inputs()
+
+
 @dataclass(frozen=True)
 class DirectForecaster:
     """One regressor per forecast step, fitted side by side.
 
-    ``estimator`` makes a fresh regressor; ``inputs`` builds its feature vector.
+    ``estimator`` makes a fresh regressor; ``inputs`` builds its feature vector: one of the
+    two functions above, or a SQL expression (an array of doubles), which can be stored.
+    Inputs may also be computed for incomplete windows that are dropped afterwards.
     """
 
     name: str
     estimator: Callable[[], Estimator]
-    inputs: Callable[[], Column] = tabular_input
+    inputs: Callable[[], Column] | str = tabular_input
     needs_sequence: bool = False
     parallel_fits: int = 7
 
@@ -74,8 +84,9 @@ class DirectForecaster:
         """Fit on the ``future`` array of ``windows``; the vectors are kept while fitting."""
         ensure_checkpoint_dir(windows.sparkSession)  # boosting cuts its lineage there
         labels = [F.col("future")[h].alias(f"y{h}") for h in range(horizon)]
-        data = windows.select(self.inputs().alias("features"), *labels)
-        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        kept = windows.select(input_vector(self.inputs).alias("features"), *labels)
+        kept = kept.persist(StorageLevel.MEMORY_AND_DISK)
+        data = kept.coalesce(max(1, -(-kept.count() // ROWS_PER_TASK)))
 
         def fit_step(h: int) -> Model:
             return self.estimator().fit(data.select("features", F.col(f"y{h}").alias("label")))
@@ -84,7 +95,7 @@ class DirectForecaster:
             with ThreadPoolExecutor(self.parallel_fits) as pool:
                 steps = list(pool.map(fit_step, range(horizon)))
         finally:
-            data.unpersist()
+            kept.unpersist()
         return DirectModel(self.name, steps, self.inputs, self.needs_sequence)
 
 
@@ -94,7 +105,7 @@ class DirectModel:
 
     name: str
     steps: list[Model] = field(default_factory=list)
-    inputs: Callable[[], Column] = tabular_input
+    inputs: Callable[[], Column] | str = tabular_input
     needs_sequence: bool = False
 
     @property
@@ -103,7 +114,7 @@ class DirectModel:
 
     def predict(self, windows: DataFrame, into: str = "prediction") -> DataFrame:
         kept = windows.columns
-        out = windows.withColumn("features", self.inputs())
+        out = windows.withColumn("features", input_vector(self.inputs))
         for h, model in enumerate(self.steps):
             out = model.setPredictionCol(f"_p{h}").transform(out)
         values = F.array(*[F.col(f"_p{h}") for h in range(self.horizon)])

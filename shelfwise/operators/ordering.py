@@ -41,19 +41,23 @@ SLICE_DAYS = 64
 
 @dataclass(frozen=True)
 class Layout:
-    """How ordered work is spread: "auto", "series", "blocks" or "sorted"."""
+    """How ordered work is spread: "auto" (measured), "series", "blocks" or "sorted"."""
 
     kind: str = "auto"
     rows_per_block: int = ROWS_PER_BLOCK
     slice_seconds: int = SLICE_SECONDS
 
     def resolve(self, df: DataFrame, roles: Roles) -> str:
-        if self.kind != "auto":
-            return self.kind
-        return "series" if isinstance(df.schema[roles.date].dataType, T.DateType) else "blocks"
+        return measured_layout(df, roles).kind if self.kind == "auto" else self.kind
+
+    def settled(self, df: DataFrame, roles: Roles) -> Layout:
+        """The same with the kind decided, for several steps over the same rows."""
+        return replace(self, kind=self.resolve(df, roles))
 
 
 AUTO = Layout()
+#: For tables with one row per (series, date) of type DATE, as ``to_panel`` makes them.
+PANEL = Layout("series")
 
 
 def measured_layout(df: DataFrame, roles: Roles, max_rows: int = 1_000_000) -> Layout:

@@ -20,7 +20,9 @@ from shelfwise.operators.roles import Roles
 MISSING_CATEGORY = "NA"
 UNKNOWN_CODE = -1.0
 
+#: Limits of a code table that is collected and broadcast: rows, and bytes of all texts.
 BROADCAST_CATEGORIES = 50_000
+BROADCAST_BYTES = 16 << 20
 SALT_PARTS = 32
 
 
@@ -162,54 +164,69 @@ def _category(column: str) -> Column:
 
 
 def fit_codes(
-    df: DataFrame, columns: Sequence[str], bound: int = BROADCAST_CATEGORIES
+    df: DataFrame, columns: Sequence[str], bound: int = BROADCAST_CATEGORIES,
+    max_bytes: int = BROADCAST_BYTES,
 ) -> tuple[DataFrame, int]:
     """Codes 0..n-1 in string order per column, and the number of rows of that table.
 
-    Up to ``bound`` categories in all, the table is a small local one. Beyond that they
-    are numbered by a global sort, so no task holds all categories of a column.
+    Up to ``bound`` categories and ``max_bytes`` of text in all, the table is a small local
+    one. Beyond that they are numbered by a global sort, so no task holds all categories of a
+    column, and no text comes to the driver.
     """
     pairs = to_long(df, {c: _category(c) for c in columns}, value_as="category").distinct()
-    few = pairs.limit(bound + 1).collect()
-    if len(few) > bound:
+    few = pairs.limit(bound + 1)
+    if not _is_small(few, bound, max_bytes):
         order = [F.col("category").asc()]
         placed = positions_by_sort(pairs, ["column"], order, "code", "n")
         codes = placed.select("column", "category", F.col("code").cast("int").alias("code"))
         return codes, codes.count()
     codes, seen = [], {}
-    for r in sorted(few, key=lambda r: (r["column"], r["category"].encode())):
+    for r in sorted(few.collect(), key=lambda r: (r["column"], r["category"].encode())):
         seen[r["column"]] = seen.get(r["column"], -1) + 1
         codes.append((r["column"], r["category"], seen[r["column"]]))
     schema = "column string, category string, code int"
     return df.sparkSession.createDataFrame(codes, schema), len(codes)
 
 
+def _is_small(codes: DataFrame, bound: int, max_bytes: int) -> bool:
+    """Is a table of at most ``bound + 1`` categories within both limits?"""
+    size = F.coalesce(F.sum(F.octet_length("category")), F.lit(0))
+    n, total = codes.agg(F.count(F.lit(1)), size).first()
+    return n <= bound and total <= max_bytes
+
+
 def encode(
     df: DataFrame,
     columns: Sequence[str],
     codes: DataFrame,
     n_codes: int,
     bound: int = BROADCAST_CATEGORIES,
+    max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Replace categories by their codes; unknown ones become -1.
 
-    A code table within ``bound`` rows is broadcast. A larger one is joined by category
-    with the rows of each category spread over ``SALT_PARTS`` parts, so a category that
-    holds a third of all rows does not end in one task.
+    A code table within ``bound`` rows and ``max_bytes`` of text is broadcast. A larger one is
+    joined by the SHA-256 of the category, with the rows of each category spread over
+    ``SALT_PARTS`` parts, so a category that holds a third of all rows does not end in one task.
     """
     out = df
+    small = n_codes <= bound and _is_small(codes, bound, max_bytes)
     for c in columns:
         of_column = codes.where(F.col("column") == c).select(
             F.col("category").alias("_category"), F.col("code").cast("double").alias("_code")
         )
         left = out.withColumn("_key", _category(c))
-        if n_codes <= bound:
+        if small:
             joined = left.join(F.broadcast(of_column), F.col("_key") == F.col("_category"), "left")
         else:
             others = [F.col(f"`{k}`") for k in df.columns if not isinstance(
                 df.schema[k].dataType, T.MapType)]
-            salted = left.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(SALT_PARTS)))
-            copies = of_column.withColumn(
+            salted = left.withColumns({
+                "_key": F.sha2("_key", 256),
+                "_salt": F.pmod(F.xxhash64(*others), F.lit(SALT_PARTS)),
+            })
+            hashed = of_column.withColumn("_category", F.sha2("_category", 256))
+            copies = hashed.withColumn(
                 "_part", F.explode(F.sequence(F.lit(0), F.lit(SALT_PARTS - 1)))
             )
             joined = salted.join(

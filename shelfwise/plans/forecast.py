@@ -14,14 +14,15 @@ class Forecaster:
     """The approved model with everything it needs to serve."""
 
     def __init__(self, spark: SparkSession, path: str, anchor: str = "next", step_days: int = 1):
-        run = state.latest_run(state.read_runs(spark, f"{path}/runs")).first()
+        run = state.current_run(spark, path)
         if run is None:
             raise ValueError(f"no run found below {path}")
         self.best = run["best_model"]
         self.horizon, self.lookback = run["horizon"], run["lookback"]
         self.features = list(run["feature_columns"])
         self.run = run
-        self.preprocessor: Preprocessor = state.load_preprocessor(spark, f"{path}/preprocessor")
+        self.preprocessor: Preprocessor = state.load_preprocessor(
+            spark, f"{state.run_folder(run, path)}/preprocessor")
         self.model = state.load_model(spark, run["model_path"])
         self.anchor, self.step_days = anchor, step_days
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import settled
-from shelfwise.operators.drift import check_drift, dataset_verdict, drift_columns
+from shelfwise.operators import evaluate
+from shelfwise.operators.drift import DriftReference, check_drift, dataset_verdict, drift_columns
 from shelfwise.operators.features import feature_frame
 from shelfwise.operators.health import health_report, retrain_decision
 from shelfwise.operators.ordering import AUTO, Layout
@@ -17,8 +20,8 @@ from shelfwise.sources import state
 
 def align(spark: SparkSession, path: str, posted: DataFrame, layout: Layout = AUTO) -> DataFrame:
     """Posted rows prepared and engineered like the training data."""
-    pre = state.load_preprocessor(spark, f"{path}/preprocessor")
-    run = state.latest_run(state.read_runs(spark, f"{path}/runs")).first()
+    run = state.current_run(spark, path)
+    pre = state.load_preprocessor(spark, f"{state.run_folder(run, path)}/preprocessor")
     lags, rolls = state.lags_and_rolls(run)
     return feature_frame(state.engineered(posted, pre, run), pre.state.roles, lags, rolls, layout)
 
@@ -33,7 +36,7 @@ def health(
     run = state.latest_run(state.read_runs(spark, f"{path}/runs"))
     row = run.first()
     saved = state.last_saved(spark, row["model_path"])
-    reference = state.load_reference(spark, f"{path}/reference")
+    reference = _reference(spark, path, row)
     if current is None or reference is None:
         return health_report(run, last_retrain=saved)
     target = watch or row["schema"]["target_column"]
@@ -48,9 +51,13 @@ def health(
     return health_report(run, data, prediction, saved)
 
 
+def _reference(spark: SparkSession, path: str, run: Row | None) -> DriftReference | None:
+    return run and state.load_reference(spark, f"{state.run_folder(run, path)}/reference")
+
+
 def decide(spark: SparkSession, path: str, current: DataFrame | None = None) -> DataFrame:
     """One-row decision against the stored reference."""
-    reference = state.load_reference(spark, f"{path}/reference")
+    reference = _reference(spark, path, state.current_run(spark, path))
     if reference is None or current is None:
         return retrain_decision(None, spark)
     return retrain_decision(check_drift(reference, current))
@@ -63,12 +70,29 @@ def retrain_if_needed(
     config: TrainConfig,
     version: str = "v1",
 ) -> Trained | None:
-    """Validate, check for drift, and train and save only if it is called for."""
+    """Validate, check for drift, and train and save only if it is called for.
+
+    The new run is logged in any case, and approved (served from then on) only if its selection
+    metric is better than that of the approved run, or if there is none.
+    """
     require_rows(raw.count(), MIN_ROWS)
-    reference = state.load_reference(spark, f"{path}/reference")
+    run = state.current_run(spark, path)
+    reference = _reference(spark, path, run)
     current = None if reference is None else align(spark, path, raw)
     if decide(spark, path, current).first()["branch"] == "skip_retrain":
         return None
     trained = train(raw, config)
-    save(trained, spark, path, version)
+    save(trained, spark, path, version, approved=run is None or promoted(spark, run, trained))
     return trained
+
+
+def promoted(spark: SparkSession, run: Row, trained: Trained) -> bool:
+    """Does the new model beat the approved run by the selection metric?"""
+    metric = trained.config.selection_metric
+    new = trained.metrics.where(F.col("model_name") == trained.best).first()
+    old = run["metrics"][run["best_model"]]
+    rows = [(run["run_time"], run["best_model"], True, old[metric]),
+            (datetime.now(timezone.utc), trained.best, False, new[metric])]
+    schema = f"run_time timestamp, model_name string, approved boolean, {metric} double"
+    compared = evaluate.promote_champion(spark.createDataFrame(rows, schema), metric)
+    return bool(compared.first()["promoted"])

@@ -17,7 +17,7 @@ from shelfwise.operators import drift, evaluate, features, forecast, health, mod
 from shelfwise.operators import profile as profiling
 from shelfwise.operators import roles as role_ops
 from shelfwise.operators import windows
-from shelfwise.operators.ordering import with_positions
+from shelfwise.operators.ordering import PANEL, with_positions
 from shelfwise.operators.roles import Roles
 from shelfwise.plans.train import TrainConfig, compare
 from shelfwise.sources.readers import read_parquet
@@ -28,9 +28,11 @@ REPORTS: dict[str, Report] = {}
 
 SPLIT_DAY = "1998-01-01"
 PRICE_RISE = 1.4
+FALLEN_NATIONS = 8
 DRIFT_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 DAILY = Roles("sale_date", "sales", "store_id", numeric=("customers",), categorical=("promo",))
+NATION = Roles("sale_date", "sales", "store_id")
 INTRADAY = Roles("ts", "value", "event_type", tiebreak=("event_id",))
 
 
@@ -97,11 +99,12 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def daily_features(spark: SparkSession, folder: str) -> DataFrame:
-    return features.feature_frame(daily_sales(spark, folder), DAILY)
+    return features.feature_frame(daily_sales(spark, folder), DAILY, layout=PANEL)
 
 
 def daily_windows(spark: SparkSession, folder: str, sequence: bool = False) -> DataFrame:
-    return windows.sliding_windows(daily_features(spark, folder), DAILY, sequence=sequence)
+    frame = daily_features(spark, folder)
+    return windows.sliding_windows(frame, DAILY, sequence=sequence, layout=PANEL)
 
 
 def orders_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,10 +119,10 @@ def orders_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def drift_pair(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Line items before a day, and those from it on with prices raised."""
+    """Line items before a day, and those from it on with prices raised (to whole cents)."""
     lines = table(spark, folder, "lineitem").select("l_shipdate", *DRIFT_COLUMNS)
     early = F.col("l_shipdate") < F.lit(SPLIT_DAY).cast("timestamp_ntz")
-    raised = F.col("l_extendedprice") * PRICE_RISE
+    raised = F.round(F.col("l_extendedprice") * PRICE_RISE, 2)
     return (
         lines.where(early).drop("l_shipdate"),
         lines.where(~early).withColumn("l_extendedprice", raised).drop("l_shipdate"),
@@ -178,13 +181,13 @@ def impute_median(spark: SparkSession, folder: str) -> DataFrame:
 
 @report
 def eligible_series(spark: SparkSession, folder: str) -> DataFrame:
-    frame = features.feature_frame(nation_sales(spark, folder), Roles("sale_date", "sales", "store_id"))
-    return plain(windows.eligible_series(frame, Roles("sale_date", "sales", "store_id")))
+    frame = features.feature_frame(nation_sales(spark, folder), NATION, layout=PANEL)
+    return plain(windows.eligible_series(frame, NATION))
 
 
 @report
 def sort_panel(spark: SparkSession, folder: str) -> DataFrame:
-    placed = with_positions(daily_sales(spark, folder), DAILY)
+    placed = with_positions(daily_sales(spark, folder), DAILY, PANEL)
     ordered = prep.sort_panel(placed, DAILY)
     return plain(ordered.select("store_id", "sale_date", "sales", F.col("_pos").alias("position")))
 
@@ -195,10 +198,7 @@ def sort_panel(spark: SparkSession, folder: str) -> DataFrame:
 def profiled(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("l_orderkey")
     return table(spark, folder, "lineitem").select(
-        "l_quantity",
-        "l_discount",
-        "l_returnflag",
-        "l_shipdate",
+        "*",
         F.when(key % 2 == 0, F.col("l_tax")).alias("half_missing"),
         F.lit("x").alias("constant"),
         F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("part_label"),
@@ -225,10 +225,11 @@ def profile_table(spark: SparkSession, folder: str) -> DataFrame:
 
 @report
 def duplicate_rows(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem").select(
-        "l_quantity", "l_discount", "l_returnflag", "l_linestatus"
-    )
-    return plain(profiling.duplicate_rows(lines))
+    """Over all columns; and over all but the key of documents, which hold exact copies."""
+    lines, texts = table(spark, folder, "lineitem"), table(spark, folder, "documents").drop("doc_id")
+    counts = [profiling.duplicate_rows(df).withColumn("table_name", F.lit(t))
+              for t, df in (("lineitem", lines), ("documents", texts))]
+    return plain(counts[0].unionByName(counts[1]))
 
 
 @report
@@ -322,12 +323,12 @@ def calendar_features(spark: SparkSession, folder: str) -> DataFrame:
 
 @report
 def lag_features(spark: SparkSession, folder: str) -> DataFrame:
-    return plain(features.lag_features(daily_sales(spark, folder), DAILY))
+    return plain(features.lag_features(daily_sales(spark, folder), DAILY, layout=PANEL))
 
 
 @report
 def rolling_features(spark: SparkSession, folder: str) -> DataFrame:
-    return plain(features.rolling_features(daily_sales(spark, folder), DAILY))
+    return plain(features.rolling_features(daily_sales(spark, folder), DAILY, layout=PANEL))
 
 
 @report
@@ -420,22 +421,32 @@ def horizon_long(spark: SparkSession, folder: str) -> DataFrame:
 # ---- models ---------------------------------------------------------------------------
 
 
-def _served(spark: SparkSession, folder: str, candidate: models.DirectForecaster) -> DataFrame:
+def _served(
+    spark: SparkSession, folder: str, candidate: models.DirectForecaster, digits: int = 4
+) -> DataFrame:
     panel = daily_sales(spark, folder)
-    frame = features.feature_frame(panel, DAILY)
+    frame = features.feature_frame(panel, DAILY, layout=PANEL)
     names = features.feature_columns(frame, DAILY)
     sequence = candidate.needs_sequence
-    model = candidate.fit(
-        windows.sliding_windows(frame, DAILY, features=names, sequence=sequence), windows.HORIZON
-    )
-    inputs = forecast.forecast_inputs(panel, DAILY, names, sequence=sequence)
-    return plain(forecast.forecast_rows(model.predict(inputs), DAILY))
+    training = windows.sliding_windows(frame, DAILY, features=names, sequence=sequence, layout=PANEL)
+    model = candidate.fit(training, windows.HORIZON)
+    inputs = forecast.forecast_inputs(panel, DAILY, names, sequence=sequence, layout=PANEL)
+    return plain(forecast.forecast_rows(model.predict(inputs), DAILY), digits)
 
 
 @report
 def gbt_forecast(spark: SparkSession, folder: str) -> DataFrame:
-    """Boosted trees per step (small here), forecasts of all series."""
-    return _served(spark, folder, models.gbt_candidate(maxIter=3, maxDepth=3, stepSize=0.3))
+    """Boosted trees per step, forecasts of all series."""
+    return _served(spark, folder, models.gbt_candidate())
+
+
+@report
+def ols_forecast(spark: SparkSession, folder: str) -> DataFrame:
+    """Least squares on the mean of the lookback, fitted and served like any candidate."""
+    mean = "array(aggregate(past, 0D, (total, x) -> total + x) / greatest(size(past), 1))"
+    plain_line = models.DirectForecaster(
+        "ols", lambda: models.ridge(regParam=0.0, solver="normal"), mean)
+    return _served(spark, folder, plain_line, 1)
 
 
 @report
@@ -446,10 +457,6 @@ def linear_forecast(spark: SparkSession, folder: str) -> DataFrame:
 @report
 def train_and_compare(spark: SparkSession, folder: str) -> DataFrame:
     config = TrainConfig(
-        candidates=[
-            models.gbt_candidate(maxIter=3, maxDepth=3, stepSize=0.3),
-            models.ridge_candidate(),
-        ],
         baselines={"moving_average": models.moving_average(windows.HORIZON)},
     )
     split = windows.split_windows(daily_windows(spark, folder, sequence=True)).persist()
@@ -558,6 +565,17 @@ def drift_columns(spark: SparkSession, folder: str) -> DataFrame:
     return plain(drift.drift_columns(reference, current))
 
 
+@report
+def trained_reference_drift(spark: SparkSession, folder: str) -> DataFrame:
+    """Nation series against a reference fitted as in training; sales of some fall to a hundredth."""
+    panel = nation_sales(spark, folder)
+    fell = F.col("store_id") < FALLEN_NATIONS
+    now = panel.withColumn("sales", F.when(fell, F.col("sales") / 100).otherwise(F.col("sales")))
+    known, current = (features.feature_frame(p, NATION, layout=PANEL) for p in (panel, now))
+    fitted = drift.fit_reference(known, reference_sample(known, NATION).columns)
+    return plain(drift.drift_columns(fitted, current))
+
+
 @report
 def drift_report(spark: SparkSession, folder: str) -> DataFrame:
     reference, current = drift_pair(spark, folder)

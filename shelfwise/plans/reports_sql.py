@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from shelfwise.operators.features import LAGS, ROLLS
 from shelfwise.operators.forecast import PRODUCT_FACTORS
 from shelfwise.operators.windows import HORIZON, LOOKBACK
-from shelfwise.plans.reports import DRIFT_COLUMNS, PRICE_RISE, SPLIT_DAY
+from shelfwise.plans.reports import DRIFT_COLUMNS, FALLEN_NATIONS, PRICE_RISE, SPLIT_DAY
 
 DAILY = """daily AS (
   SELECT o_orderpriority AS store_id, CAST(o_orderdate AS DATE) AS sale_date,
@@ -145,11 +147,12 @@ def profile(source: str, columns: dict[str, bool]) -> str:
 
 
 PROFILED = """profiled AS (
-  SELECT l_quantity, l_discount, l_returnflag, l_shipdate,
-         CASE WHEN l_orderkey % 2 = 0 THEN l_tax END AS half_missing, 'x' AS constant,
+  SELECT *, CASE WHEN l_orderkey % 2 = 0 THEN l_tax END AS half_missing, 'x' AS constant,
          'part ' || l_partkey AS part_label FROM lineitem)"""
 PROFILED_COLUMNS = {
-    "l_quantity": False, "l_discount": False, "l_returnflag": True, "l_shipdate": False,
+    "l_orderkey": False, "l_partkey": False, "l_suppkey": False, "l_linenumber": False,
+    "l_quantity": False, "l_extendedprice": False, "l_discount": False, "l_tax": False,
+    "l_returnflag": True, "l_linestatus": True, "l_shipdate": False,
     "half_missing": False, "constant": True, "part_label": True,
 }
 DOCUMENT_COLUMNS = {"doc_id": False, "text": True, "lang": True, "source": True, "n_chars": False}
@@ -183,16 +186,15 @@ freq AS (
               ELSE CAST(CAST(FLOOR(MEDIAN(gap)) AS BIGINT) AS VARCHAR) || 'D' END AS frequency
   FROM day_gaps WHERE gap > 0)"""
 
-SIDES = f"""lines AS (
-  SELECT CASE WHEN l_shipdate < TIMESTAMP '{SPLIT_DAY}' THEN 'reference' ELSE 'current' END AS side,
-         l_quantity, l_discount, l_tax,
-         CASE WHEN l_shipdate < TIMESTAMP '{SPLIT_DAY}' THEN l_extendedprice
-              ELSE l_extendedprice * CAST({PRICE_RISE} AS DOUBLE) END AS l_extendedprice
-  FROM lineitem),
-tall AS ({" UNION ALL ".join(
-    f"SELECT side, '{c}' AS col, ROUND({c}, 6) AS x, {c} AS raw FROM lines" for c in DRIFT_COLUMNS)}),
+
+def sides(lines: str, columns: Sequence[str]) -> str:
+    """Histograms and PSI of the columns of ``lines``, a SELECT with a column ``side``."""
+    tall = " UNION ALL ".join(
+        f"SELECT side, '{c}' AS col, CAST({c} AS DOUBLE) AS x FROM lines" for c in columns)
+    return f"""lines AS ({lines}),
+tall AS ({tall}),
 quant AS (
-  SELECT col, ROUND(UNNEST(quantile_cont(raw, [0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0])), 6) AS e
+  SELECT col, UNNEST(quantile_cont(x, [0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0])) AS e
   FROM tall WHERE side = 'reference' GROUP BY col),
 edges AS (
   SELECT col, e, ROW_NUMBER() OVER (PARTITION BY col ORDER BY e) - 1 AS i
@@ -220,6 +222,21 @@ shares AS (
 psi AS (SELECT col, SUM((c - r) * LN(c / r)) AS score FROM shares GROUP BY col)"""
 
 
+SIDES = sides(f"""
+  SELECT CASE WHEN l_shipdate < TIMESTAMP '{SPLIT_DAY}' THEN 'reference' ELSE 'current' END AS side,
+         l_quantity, l_discount, l_tax,
+         CASE WHEN l_shipdate < TIMESTAMP '{SPLIT_DAY}' THEN l_extendedprice
+              ELSE ROUND(l_extendedprice * CAST({PRICE_RISE} AS DOUBLE), 2) END AS l_extendedprice
+  FROM lineitem""", DRIFT_COLUMNS)
+FALLEN_COLUMNS = ["sales", *ENGINEERED]
+FALLEN = f"""{NATION}, {frame("nation_daily", "known")},
+fallen AS (SELECT store_id, sale_date,
+  CASE WHEN store_id < {FALLEN_NATIONS} THEN sales / 100 ELSE sales END AS sales FROM nation_daily),
+{frame("fallen", "now_on")}, """ + sides(" UNION ALL ".join(
+    f"SELECT '{side}' AS side, {', '.join(FALLEN_COLUMNS)} FROM {source}"
+    for side, source in (("reference", "known"), ("current", "now_on"))), FALLEN_COLUMNS)
+
+
 def dataset(where: str = "TRUE") -> str:
     return f"""SELECT 'psi' AS method, COUNT(*) AS n_columns,
   CAST(SUM(CASE WHEN score > 0.25 THEN 1 ELSE 0 END) AS BIGINT) AS n_drifted,
@@ -286,9 +303,10 @@ SQL: dict[str, str] = {
             CASE WHEN hm IS NOT NULL THEN 'Columns >40% missing: [''' ||
               REPLACE(hm, '; ', ''', ''') || ''']' END) AS warnings
         FROM s, dup""",
-    "duplicate_rows": """SELECT (SELECT COUNT(*) FROM lineitem) - (SELECT COUNT(*) FROM
-        (SELECT DISTINCT l_quantity, l_discount, l_returnflag, l_linestatus FROM lineitem))
-        AS duplicate_rows""",
+    "duplicate_rows": """SELECT 'lineitem' AS table_name, (SELECT COUNT(*) FROM lineitem) -
+          (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM lineitem)) AS duplicate_rows UNION ALL
+        SELECT 'documents', (SELECT COUNT(*) FROM documents) - (SELECT COUNT(*) FROM
+          (SELECT DISTINCT text, lang, source, n_chars FROM documents))""",
     "detect_date": """WITH r AS (
         SELECT 'o_orderpriority' AS "column", 0.0 AS q, 1 AS place UNION ALL
         SELECT 'order_day', AVG(CASE WHEN o_orderkey % 4 <> 0 THEN 1.0 ELSE 0.0 END), 2 FROM orders
@@ -443,13 +461,28 @@ SQL: dict[str, str] = {
         SELECT store_id, strftime(date, '%Y-%m-%d') AS date, ROUND(actual, 4) AS actual,
           ROUND(forecast, 4) AS forecast, ROUND(forecast * 0.88, 4) AS lower,
           ROUND(forecast * 1.12, 4) AS upper FROM chart""",
-    "psi_edges": f"""WITH {SIDES} SELECT col AS "column", i AS edge, e AS value FROM edges""",
+    "psi_edges": f"""WITH {SIDES} SELECT col AS "column", i AS edge, ROUND(e, 6) AS value FROM edges""",
     "psi_histogram": f"""WITH {SIDES} SELECT side, col AS "column", bin, n FROM hist""",
     "psi_score": f"""WITH {SIDES} SELECT psi.col AS "column", ROUND(score, 4) AS score,
         outside AS n_out_of_range FROM psi JOIN sums ON sums.col = psi.col AND side = 'current'""",
     "drift_columns": f"""WITH {SIDES} SELECT psi.col AS "column", ROUND(score, 4) AS psi,
         score > 0.25 AS drifted, outside AS n_out_of_range
         FROM psi JOIN sums ON sums.col = psi.col AND side = 'current'""",
+    "trained_reference_drift": f"""WITH {FALLEN} SELECT psi.col AS "column", ROUND(score, 4) AS psi,
+        score > 0.25 AS drifted, outside AS n_out_of_range
+        FROM psi JOIN sums ON sums.col = psi.col AND side = 'current'""",
+    "ols_forecast": f"""{WINDOWS}, {RECENT},
+        meant AS (SELECT *, AVG(sales) OVER (PARTITION BY store_id ORDER BY sale_date
+          ROWS BETWEEN {LOOKBACK} PRECEDING AND 1 PRECEDING) AS x FROM numbered),
+        lines AS (SELECT v.pos - w.pos AS h, regr_slope(v.sales, w.x) AS slope,
+          regr_intercept(v.sales, w.x) AS start
+          FROM meant w JOIN numbered v
+            ON v.store_id = w.store_id AND v.pos BETWEEN w.pos AND w.pos + {HORIZON - 1}
+          WHERE w.pos >= {LOOKBACK} AND w.pos <= w.n - {HORIZON} GROUP BY 1)
+        SELECT store_id, ROUND(recent_average, 1) AS recent_average, step,
+          strftime(date, '%Y-%m-%d') AS date,
+          ROUND(GREATEST(start + slope * recent_average, 0), 1) AS forecast
+        FROM ahead JOIN lines ON lines.h = step - 1""",
     "drift_report": f"""WITH {SIDES}, d AS ({dataset()})
         SELECT *, (SELECT STRING_AGG(col, ',' ORDER BY col) FROM psi) AS columns FROM d""",
     "prediction_drift": f"WITH {SIDES} {TARGET_DRIFT}",

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from typing import Any
+from uuid import uuid4
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -121,11 +122,7 @@ def train(df: DataFrame, config: TrainConfig | None = None) -> Trained:
     config = config or TrainConfig()
     spark = df.sparkSession
     if config.rows is not None:
-        known = config.schema_overrides
-        if known.get("date_column"):
-            df = row_cap(df, Roles(known["date_column"], "", known.get("group_column")), config.rows)
-        else:
-            df = df.limit(config.rows)
+        df = row_cap(df, detect_roles(df, config.schema_overrides), config.rows)
     if config.staging is not None:
         df.write.mode("overwrite").parquet(config.staging)
         df = spark.read.parquet(config.staging)
@@ -200,8 +197,10 @@ def _training_part(df: DataFrame, roles: Roles) -> DataFrame:
     return df.join(cut, [roles.series]).where(day <= F.col("_cut")).drop("_cut")
 
 
-def run_row(spark: SparkSession, trained: Trained, path: str, version: str = "v1") -> DataFrame:
-    """The run-log row of a training."""
+def run_row(
+    spark: SparkSession, trained: Trained, folder: str, version: str = "v1", approved: bool = True
+) -> DataFrame:
+    """The run-log row of a training whose state lies in ``folder``."""
     roles, config = trained.roles, trained.config
     metrics = {
         r["model_name"]: (r["mae"], r["rmse"], r["rmspe"]) for r in trained.metrics.collect()
@@ -209,20 +208,25 @@ def run_row(spark: SparkSession, trained: Trained, path: str, version: str = "v1
     row = (
         datetime.now(timezone.utc), trained.best, version, config.horizon, config.lookback,
         metrics, (roles.date, roles.target, roles.series, roles.frequency),
-        trained.profile.warnings, trained.features, f"{path}/model_{trained.best}",
-        list(config.lags), list(config.rolls), config.densify_days,
+        trained.profile.warnings, trained.features, f"{folder}/model_{trained.best}",
+        list(config.lags), list(config.rolls), config.densify_days, folder, approved,
     )
     return spark.createDataFrame([row], state.RUN_SCHEMA)
 
 
-def save(trained: Trained, spark: SparkSession, path: str, version: str = "v1") -> None:
+def save(
+    trained: Trained, spark: SparkSession, path: str, version: str = "v1", approved: bool = True
+) -> str:
     """Write state, best model, reference and sample, and then the run-log row.
 
-    The log row comes last: a reader that finds it finds everything it names.
+    Every run has a folder of its own (returned), and the log row that names it comes last: a
+    reader finds either the earlier run or all of this one.
     """
-    state.save_preprocessor(trained.preprocessor, spark, f"{path}/preprocessor")
+    folder = f"{path}/run-{uuid4().hex}"
+    state.save_preprocessor(trained.preprocessor, spark, f"{folder}/preprocessor")
     if trained.best_model is not None:
-        state.save_model(trained.best_model, spark, f"{path}/model_{trained.best}")
-    trained.sample.write.mode("overwrite").parquet(f"{path}/reference_sample")
-    state.save_reference(trained.reference, spark, f"{path}/reference")
-    state.append_run(run_row(spark, trained, path, version), f"{path}/runs")
+        state.save_model(trained.best_model, spark, f"{folder}/model_{trained.best}")
+    trained.sample.write.parquet(f"{folder}/reference_sample")
+    state.save_reference(trained.reference, spark, f"{folder}/reference")
+    state.append_run(run_row(spark, trained, folder, version, approved), f"{path}/runs")
+    return folder

@@ -27,8 +27,9 @@ RUN_SCHEMA = (
     "metrics map<string,struct<mae:double,rmse:double,rmspe:double>>, "
     "schema struct<date_column:string,target_column:string,group_column:string,frequency:string>, "
     "profile_warnings array<string>, feature_columns array<string>, model_path string, "
-    "lags array<int>, rolls array<int>, densify_days int"
+    "lags array<int>, rolls array<int>, densify_days int, folder string, approved boolean"
 )
+INPUTS = {"tabular": tabular_input, "sequence": sequence_input}
 
 
 def save_preprocessor(pre: Preprocessor, spark: SparkSession, path: str) -> None:
@@ -62,13 +63,22 @@ def load_preprocessor(spark: SparkSession, path: str) -> Preprocessor:
 
 
 def save_model(model: DirectModel, spark: SparkSession, path: str) -> None:
-    """One MLlib pipeline per step, so that any MLlib regressor can be read back."""
+    """One MLlib pipeline per step, so that any MLlib regressor can be read back.
+
+    Inputs are stored by name or as their SQL expression; a function of the user's cannot be.
+    """
+    named = next((k for k, f in INPUTS.items() if f is model.inputs), None)
+    expression = model.inputs if isinstance(model.inputs, str) else None
+    if named is None and expression is None:
+        raise ValueError(f"inputs of {model.name} cannot be stored: give them as a SQL expression")
     for h, step in enumerate(model.steps):
         PipelineModel([step]).write().overwrite().save(f"{path}/step={h}")
     meta = {
         "name": model.name,
         "horizon": model.horizon,
         "needs_sequence": model.needs_sequence,
+        "inputs": named,
+        "expression": expression,
     }
     line = spark.createDataFrame([(json.dumps(meta),)], "value string")
     line.coalesce(1).write.mode("overwrite").text(f"{path}/meta")
@@ -77,7 +87,8 @@ def save_model(model: DirectModel, spark: SparkSession, path: str) -> None:
 def load_model(spark: SparkSession, path: str) -> DirectModel:
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     steps = [PipelineModel.load(f"{path}/step={h}").stages[0] for h in range(meta["horizon"])]
-    inputs = sequence_input if meta["needs_sequence"] else tabular_input
+    usual = "sequence" if meta["needs_sequence"] else "tabular"  # stored without their name
+    inputs = meta.get("expression") or INPUTS[meta.get("inputs") or usual]
     return DirectModel(meta["name"], steps, inputs, meta["needs_sequence"])
 
 
@@ -122,8 +133,22 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
-    """The newest run (one row)."""
-    return runs.orderBy(F.col("run_time").desc()).limit(1)
+    """The newest run that was approved (one row)."""
+    approved = runs.where(F.coalesce("approved", F.lit(True)))
+    return approved.orderBy(F.col("run_time").desc()).limit(1)
+
+
+def current_run(spark: SparkSession, path: str) -> Row | None:
+    """The run to serve, or None before the first training."""
+    try:
+        return latest_run(read_runs(spark, f"{path}/runs")).first()
+    except AnalysisException:
+        return None
+
+
+def run_folder(run: Row, path: str) -> str:
+    """Where the run's state lies; runs logged without a folder lie in the path itself."""
+    return run["folder"] or path
 
 
 def engineered(prepared_from: DataFrame, pre: Preprocessor, run: Row | None) -> DataFrame:

@@ -123,3 +123,20 @@ def test_retrain_decision(spark):
     for flag, branch in ((True, "retrain_model"), (False, "skip_retrain")):
         report = spark.createDataFrame([(0.1, flag)], "drift_share double, dataset_drift boolean")
         assert health.retrain_decision(report).first()["branch"] == branch
+
+
+def test_small_scales(spark):
+    """A shift scores the same whatever the unit."""
+    scores = []
+    for unit in (1.0, 1e-10):
+        fitted = drift.fit_reference(column(spark, [i * unit for i in range(100)]), ["x"])
+        moved = column(spark, [i * unit for i in range(50, 150)])
+        scores.append(drift.column_psi(fitted, moved).first()["score"])
+    assert scores[0] == pytest.approx(scores[1]) and scores[0] > 6
+
+
+def test_sketched_edges(spark):
+    exact = drift.fit_reference(column(spark, range(1000)), ["x"])
+    near = drift.fit_reference(column(spark, range(1000)), ["x"], exact=False)
+    assert near.edges["x"] == pytest.approx(exact.edges["x"], abs=1.0)
+    assert drift.fit_reference(column(spark, [None]), ["x"], exact=False).edges == {"x": []}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfwise import Forecaster, TrainConfig, detect_roles, health, retrain_if_needed, save, train
 from shelfwise.operators import models
 from shelfwise.operators.ordering import Layout
-from shelfwise.plans.monitor import align, decide
+from shelfwise.plans.monitor import align, decide, promoted
 from shelfwise.sources import state
 from shelfwise.sources.readers import from_json_column, read_csv, read_json
 from shelfwise.streaming.posted_batches import watch_posted
@@ -59,15 +59,16 @@ def test_run_log(spark, stored):
     info = state.model_info(state.read_runs(spark, f"{path}/runs")).first()
     assert info.approved_model == trained.best and (info.horizon, info.lookback) == (7, 14)
     assert info.schema.target_column == "sales" and set(info.metrics) >= {"gbt", "ridge"}
-    assert state.load_reference(spark, f"{path}/reference") == trained.reference
-    saved = state.last_saved(spark, f"{path}/model_{trained.best}")
+    run = state.current_run(spark, path)
+    assert state.load_reference(spark, f"{run.folder}/reference") == trained.reference
+    saved = state.last_saved(spark, run.model_path)
     assert re.fullmatch(r"\d{4}-\d\d-\d\d \d\d:\d\d UTC", saved)
     assert state.last_saved(spark, f"{path}/none") == "unknown"
 
 
 def test_state_survives_storage(spark, stored):
     raw, trained, path = stored
-    again = state.load_preprocessor(spark, f"{path}/preprocessor")
+    again = state.load_preprocessor(spark, f"{state.current_run(spark, path).folder}/preprocessor")
     assert again.state.roles == trained.preprocessor.state.roles
     a, b = trained.preprocessor.transform(raw), again.transform(raw)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
@@ -99,7 +100,7 @@ def test_health(spark, stored):
     moved = raw.withColumn("sales", raw.sales * 3 + 500)
     own = health(spark, path, align(spark, path, moved), watch="temp").first()
     assert own.prediction_drift_detected is False
-    assert state.load_sample(spark, path).count() == 228
+    assert state.load_sample(spark, state.current_run(spark, path).folder).count() == 228
     far = health(spark, path, align(spark, path, moved)).first()
     assert far.status.startswith("DRIFT") and far.prediction_drift_detected is True
 
@@ -232,3 +233,39 @@ def test_run_serves_with_its_own_settings(spark, tmp_path):
     assert ready.unserved(raw).count() + ready.forecast(raw).count() == raw.select("shop").distinct().count()
     assert set(trained.features) <= set(align(spark, path, raw).columns)
     assert health(spark, path, align(spark, path, raw)).count() == 1
+
+
+def test_custom_inputs_are_stored(spark, tmp_path):
+    mean = "array(aggregate(past, 0D, (total, x) -> total + x) / greatest(size(past), 1))"
+    line = models.DirectForecaster("line", models.ridge, mean)
+    trained = train(panel(spark), small_config(candidates=[line], baselines={}))
+    save(trained, spark, str(tmp_path / "state"))
+    again = Forecaster(spark, str(tmp_path / "state"))
+    assert again.model.inputs == mean and again.forecast(panel(spark)).count() == 3
+    own = models.DirectModel("own", [], lambda: F.col("past"))
+    with pytest.raises(ValueError, match="cannot be stored"):
+        state.save_model(own, spark, str(tmp_path / "own"))
+
+
+def test_only_a_better_run_is_approved(spark, tmp_path):
+    raw, path = panel(spark), str(tmp_path / "state")
+    ridge = small_config(candidates=[models.ridge_candidate()], baselines={})
+    trained = train(raw, ridge)
+    save(trained, spark, path, "v1")
+    save(trained, spark, path, "v2", approved=False)
+    run = state.current_run(spark, path)
+    assert run.model_version == "v1" and state.read_runs(spark, f"{path}/runs").count() == 2
+    assert not promoted(spark, run, trained)  # equal is not better
+    moved = raw.withColumn("sales", F.col("sales") * 3 + 500)
+    poor = small_config(candidates=[models.ridge_candidate(regParam=1e9)], baselines={},
+                        selection_metric="rmse")
+    assert retrain_if_needed(spark, moved, path, poor, "v3").best == "ridge"
+    assert state.current_run(spark, path).model_version == "v1"
+    assert state.read_runs(spark, f"{path}/runs").count() == 3
+
+
+def test_row_cap_takes_the_first_rows(spark):
+    df, ridge = panel(spark), dict(candidates=[models.ridge_candidate()], baselines={})
+    one, two = (train(d, small_config(rows=180, **ridge)) for d in (df, df.orderBy(F.rand(3))))
+    assert one.metrics.first() == two.metrics.first() or one.metrics.first().mae == pytest.approx(
+        two.metrics.first().mae)

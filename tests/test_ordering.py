@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import pytest
 from frames import ROLES, TICKS, panel, panel_rows, tick_rows, ticks
+from pyspark.sql import functions as F
 
 from shelfwise.operators.features import feature_frame, lag_features, rolling_features
 from shelfwise.operators.ordering import Layout, last_rows, measured_layout, with_positions
@@ -157,3 +158,15 @@ def test_plan_of_the_daily_layout_has_one_shuffle(spark):
     plan = windows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert plan.count("+- Sort") == 1
+
+
+def test_auto_measures(spark):
+    """One hour that holds most rows of a series is not one window partition."""
+    hot = spark.range(900).selectExpr(
+        "'a' AS sensor", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id % 60) AS at",
+        "id AS seq", "id * 1.0D AS value", "0.5D AS load")
+    assert measured_layout(hot, TICKS).kind == "series"
+    assert measured_layout(hot, TICKS, max_rows=300).kind == "sorted"
+    days = hot.withColumn("at", F.col("at") + F.expr("make_dt_interval(cast(seq % 9 AS int))"))
+    assert measured_layout(days, TICKS, max_rows=300).kind == "blocks"
+    assert Layout().resolve(days, TICKS) == "series"

@@ -108,3 +108,15 @@ def test_densify(spark):
     full = densify(df, ROLES, fill=0.0)
     assert full.count() == 20 and full.where("sales = 0").count() == 4
     assert full.columns == df.columns
+
+
+def test_long_categories_are_not_collected(spark):
+    rows = [(i, f"{i % 4}" + "x" * 5000) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, c string")
+    small, n = prep.fit_codes(df, ["c"])
+    large, m = prep.fit_codes(df, ["c"], max_bytes=1000)
+    assert n == m == 4 and sorted(small.collect()) == sorted(large.collect())
+    got = prep.encode(df, ["c"], large, m, max_bytes=1000)
+    assert {(r.id, r.c) for r in got.collect()} == {(i, float(i % 4)) for i in range(40)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan.lower()

@@ -5,6 +5,7 @@ import pytest
 import __spark_entry__ as contract
 from compare import connect, difference
 from conftest import SMALL
+from shelfwise.operators import models
 from shelfwise.plans.reports import REPORTS
 
 QUERIES = {k: v for k, v in contract.queries().items() if k in REPORTS}
@@ -24,6 +25,12 @@ def test_names_match():
     assert set(TWINS) <= set(QUERIES)
 
 
+def test_models_are_registered_in_full_size(spark):
+    """Their queries take minutes, so the tests fit small ones (see test_evaluate_forecast)."""
+    settings = models.boosted_trees()
+    assert (settings.getMaxIter(), settings.getMaxDepth(), settings.getStepSize()) == (300, 6, 0.05)
+
+
 @pytest.mark.parametrize("key", sorted(TWINS))
 def test_same_result(spark, duck, key):
     assert difference(QUERIES[key](spark, SMALL), duck, TWINS[key]) is None
