@@ -7,7 +7,8 @@ the vectors of its training texts. What all languages share is taken off: the me
 subtracted from every prototype. The prediction is the prototype with the largest cosine.
 
 Training: each task sums vectors per language, the sums are added by Spark in two steps; a
-bounded number of texts (``max_training``, by hash of the key) is used. The model is one
+bounded number of texts (``max_training``, in equal shares per language, by hash of the key; at
+least one of every language) is used. The model is one
 vector per language and goes to the driver; ``max_languages`` bounds it.
 
 Letters are lower-cased; anything else becomes one blank. Whole texts count. Defined cases:
@@ -153,9 +154,12 @@ def fit_profiles(
         F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"),
         F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(1_000_000)).alias("_h"),
     ).where("lang is not null and text is not null")
-    known = docs.where(F.col(f"`{lang}`").isNotNull()).count()
-    if known > max_training:
-        rows = rows.where(F.col("_h") < int(1_000_000 * max_training / known))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"), F.min("_h").alias("_least"))
+    known = counts.agg(F.sum("_n").alias("texts"), F.count(F.lit(1)).alias("langs")).first()
+    if (known["texts"] or 0) > max_training:
+        share = max_training / known["langs"]
+        rows = rows.join(counts, "lang").where(
+            (F.col("_h") < F.lit(1_000_000 * share) / F.col("_n")) | (F.col("_h") == F.col("_least")))
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         book, total = Codebook(dimensions), {}
