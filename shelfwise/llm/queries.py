@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import ann, hmm, iblt, langid, mixing, packing, quality, simhash, successors, suffixes, tagpaths
+from shelfwise.llm import (
+    ann, hmm, iblt, langid, mixing, packing, quality, sharding, simhash, successors, suffixes, tagpaths,
+    trie, whitening,
+)
 from shelfwise.llm.common import fold, table, texts, written
 
 
@@ -98,6 +101,21 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
         "near_edited", "near_next")
 
 
+def op11_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    crc = F.crc32(texts(F.col("text")).cast("binary"))
+    found = sharding.shard_by_size(docs.withColumn("text_crc32", crc), keep=["doc_id", "text_crc32"])
+    return found.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.prefix_trie(*trie.rebuilt(trie.turn_rows(table(spark, folder, "conversations"))))
+
+
 QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_quality": op2_quality,
@@ -109,6 +127,9 @@ QUERIES = {
     "op8_language_model": op8_language_model,
     "op9_articles": op9_articles,
     "op10_fingerprints": op10_fingerprints,
+    "op11_sharding": op11_sharding,
+    "op12_whitening": op12_whitening,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 SQL = {
@@ -147,5 +168,51 @@ WITH sized AS (
   SELECT *, place * units + ('0x' || substr(md5(coalesce(source, '')), 1, 6))::BIGINT AS upto FROM stepped
 )
 SELECT doc_id, size, source_size, target, ((upto >> 24) - ((upto - units) >> 24)) * size AS taken FROM crossed
+""",
+    "op13_prefix_trie": """
+WITH ordered AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+         xor(4294967295::BIGINT, list_reduce(
+           [4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT),
+           lambda c, b: list_reduce([xor(c, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0],
+             lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END))) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM ordered)
+), parts AS (
+  SELECT c.conv_id, 0 AS part, o.place, o.role, o.text FROM convs c JOIN ordered o ON o.conv_id = c.base AND o.place < c.h
+  UNION ALL
+  SELECT c.conv_id, 1, o.place, o.role, o.text FROM convs c JOIN ordered o ON o.conv_id = c.conv_id AND o.place >= c.h
+), turns AS (
+  SELECT conv_id, text, sha256(length(role) || ':' || role || ':' || text) AS digest,
+         row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth
+  FROM parts
+), paths AS (
+  SELECT conv_id, depth, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path,
+         length(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words
+  FROM turns
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs
+), lengths AS (
+  SELECT conv_id, max(depth) AS n FROM paths GROUP BY conv_id
+), nodes AS (
+  SELECT path, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         (count(*) - 1) * any_value(words) AS own,
+         string_agg(CASE WHEN depth = n THEN conv_id::VARCHAR END, ',' ORDER BY conv_id) AS ends
+  FROM paths JOIN lengths USING (conv_id) GROUP BY path
+), linked AS (
+  SELECT c.*, p.conv_id AS parent_conv_id
+  FROM nodes c LEFT JOIN nodes p ON c.depth > 0 AND p.path = c.path[:(c.depth - 1) * 64]
+), children AS (
+  SELECT path[:(depth - 1) * 64] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), subtrees AS (
+  SELECT up.path, sum(w.own)::BIGINT AS saved_tokens, count(*) FILTER (k.n_children IS NULL) AS n_leaves
+  FROM nodes w LEFT JOIN children k USING (path) JOIN paths up ON up.conv_id = w.conv_id AND up.depth <= w.depth
+  GROUP BY up.path
+)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+       saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM linked LEFT JOIN children USING (path) JOIN subtrees USING (path)
 """,
 }
