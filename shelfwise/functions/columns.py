@@ -128,5 +128,5 @@ def half_up(c: Column) -> Column:
 
 
 def array_mean(numbers: Column) -> Column:
-    """Mean of an array of doubles, added from left to right."""
-    return F.aggregate(numbers, F.lit(0.0), lambda total, x: total + x) / F.size(numbers)
+    """Mean of an array of doubles, added from left to right; NULL if it is empty."""
+    return F.try_divide(F.aggregate(numbers, F.lit(0.0), lambda total, x: total + x), F.size(numbers))

@@ -11,8 +11,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shelfwise.functions.columns import as_double, is_numeric, to_long
+from shelfwise.functions.columns import as_double, is_numeric, name, to_long
+from shelfwise.operators.ordering import positions_by_sort
 from shelfwise.operators.quantiles import SMALL_ROWS, exact_quantiles
 
 # Number of bins, limits and the floor of a share.
@@ -126,7 +128,7 @@ def fit_reference(
 
 
 def column_psi(reference: DriftReference, current: DataFrame) -> DataFrame:
-    """Unrounded PSI per column, with the number of current values out of range.
+    """Unrounded PSI per column, with the number of current values and of those out of range.
 
     Every bin takes part, empty ones included. A column with fewer than two edges, or
     without values on one side, scores 0.
@@ -163,7 +165,8 @@ def column_psi(reference: DriftReference, current: DataFrame) -> DataFrame:
     )
     empty = (F.col("ref_total") == 0) | (F.col("cur_total") + F.col("n_out_of_range") == 0)
     return scored.select(
-        "column", F.when(empty, 0.0).otherwise(F.col("score")).alias("score"), "n_out_of_range"
+        "column", F.when(empty, 0.0).otherwise(F.col("score")).alias("score"), "n_out_of_range",
+        (F.col("cur_total") + F.col("n_out_of_range")).alias("n_values"),
     )
 
 
@@ -174,25 +177,35 @@ def column_verdicts(scores: DataFrame, psi_limit: float = PSI_LIMIT) -> DataFram
         F.bround("score", 4).alias("psi"),
         (F.col("score") > psi_limit).alias("drifted"),
         "n_out_of_range",
+        *(["n_values"] if "n_values" in scores.columns else []),
     )
 
 
 def dataset_verdict(
     verdicts: DataFrame, drift_share: float = DRIFT_SHARE, method: str = "psi"
 ) -> DataFrame:
-    """One-row report from any table of (column, psi, drifted)."""
+    """One-row report from any table of (column, psi, drifted) and maybe n_values.
+
+    With ``n_values``, the verdict is null where no column has a value to compare: no data is
+    no sign of health.
+    """
     n = F.count(F.lit(1))
     drifted = F.count_if("drifted")
     columns = F.map_from_entries(F.array_sort(F.collect_list(
         F.struct("column", F.struct("psi", "drifted"))
     )))
     share = drifted / F.greatest(n, F.lit(1))
+    verdict, compared = share >= drift_share, []
+    if "n_values" in verdicts.columns:
+        most = F.coalesce(F.max("n_values"), F.lit(0).cast("bigint"))
+        verdict, compared = F.when(most > 0, verdict), [most.alias("n_compared")]
     return verdicts.agg(
         F.lit(method).alias("method"),
         F.greatest(n, F.lit(1)).alias("n_columns"),
         drifted.alias("n_drifted"),
         F.bround(share, 3).alias("drift_share"),
-        (share >= drift_share).alias("dataset_drift"),
+        verdict.alias("dataset_drift"),
+        *compared,
         columns.alias("columns"),
     )
 
@@ -227,6 +240,25 @@ def drift_columns(
     return column_verdicts(column_psi(fitted, current), psi_limit)
 
 
-def bootstrap(df: DataFrame, seed: int | None = None) -> DataFrame:
-    """Resample with replacement to about the same size."""
-    return df.sample(withReplacement=True, fraction=1.0, seed=seed)
+def bootstrap(df: DataFrame, seed: int = 42) -> DataFrame:
+    """Resample with replacement: as many rows as there are, each draw any row alike.
+
+    Rows get a place 0..n-1 from a global sort by their hashes. The n draws are hashes of the numbers
+    0..n-1 and the seed, modulo n; counted per place, they say how often each row is taken. So
+    the same seed gives the same rows, however the table is partitioned, and equal rows, even very
+    many, are spread like others.
+    """
+    n = df.count()
+    if not n:
+        return df
+    values = [name(c) if not isinstance(t, T.MapType) else F.to_json(name(c))
+              for c, t in ((f.name, f.dataType) for f in df.schema.fields)]
+    keyed = df.withColumns({"_a": F.xxhash64(*values), "_b": F.hash(*values), "_all": F.lit(0),
+                            "_c": F.monotonically_increasing_id()})
+    order = [F.col("_a"), F.col("_b"), F.col("_c")]  # the last only spreads equal rows
+    placed = positions_by_sort(keyed, ["_all"], order, "_place", "_n")
+    draws = df.sparkSession.range(n).select(
+        F.pmod(F.xxhash64("id", F.lit(seed).cast("bigint")), F.lit(n)).alias("_place"))
+    times = draws.groupBy("_place").agg(F.count(F.lit(1)).cast("int").alias("_times"))
+    taken = placed.join(times, "_place").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times"))))
+    return taken.select(*[name(c) for c in df.columns])

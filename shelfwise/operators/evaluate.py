@@ -45,6 +45,25 @@ def scored_long(windows: DataFrame, predictions: dict[str, Column]) -> DataFrame
     )
 
 
+def rescored(
+    test: DataFrame, rival: DataFrame, keys: Sequence[str], own: str = "_challenger"
+) -> DataFrame:
+    """Metrics of two models over the windows both predicted: `champion` and `challenger`.
+
+    ``test``: keys, ``future`` and the challenger's array ``own``; ``rival``: keys and the
+    champion's array ``prediction``. Both are scored in one pass over the joined windows, on the
+    steps that both predict. A model without a common window has no row.
+    """
+    places = [F.col(f"`{c}`").cast(test.schema[c].dataType).alias(f"_k{i}") for i, c in enumerate(keys)]
+    asked = rival.select(*places, F.col("prediction").alias("_champion"))
+    same = [test[c].eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+    both = test.join(asked, same).select("future", own, "_champion")
+    steps = F.least(F.size(own), F.size("_champion"), F.size("future"))
+    cut = both.select(*[F.slice(c, F.lit(1), steps).alias(c) for c in both.columns])
+    return forecast_metrics(scored_long(
+        cut, {"champion": F.col("_champion"), "challenger": F.col(own)}))
+
+
 def select_best(
     metrics: DataFrame, metric: str = "rmspe", order: Sequence[str] | None = None
 ) -> DataFrame:

@@ -9,6 +9,7 @@ from shelfwise.functions.text import health_status
 
 DEFAULT_VERSION = "v1"
 NO_DATA_NOTE = "no reference/current data"
+NO_ROWS_NOTE = "no current rows to compare"
 UNKNOWN_TIME = "unknown"
 
 
@@ -33,7 +34,8 @@ def health_report(
 ) -> DataFrame:
     """One-row report. ``run``: one row with best_model, metrics and maybe model_version.
 
-    The drift inputs are one-row reports.
+    The drift inputs are one-row reports. ``rows_compared``: values of the column with the most
+    values in the data report, if it says so; without any there is no verdict.
     """
     version = F.col("model_version") if "model_version" in run.columns else F.lit(None)
     out = run.select(
@@ -47,8 +49,12 @@ def health_report(
         out = out.withColumns({
             f"{prefix}_drift_{k}": F.col(f"_report.{k}") for k in REPORT_FIELDS
         }).drop("_report")
-    note = F.when(F.col("data_drift_detected").isNull() & F.lit(error is None), NO_DATA_NOTE)
+    known = data_drift is not None and "n_compared" in data_drift.columns
+    compared = data_drift.select("n_compared").scalar() if known else F.lit(None).cast("bigint")
+    lacking = NO_DATA_NOTE if data_drift is None else NO_ROWS_NOTE
+    note = F.when(F.col("data_drift_detected").isNull() & F.lit(error is None), lacking)
     return out.withColumns({
+        "rows_compared": compared,
         "note": note,
         "drift_error": F.lit(error[:200] if error else None).cast("string"),
         "status": health_status(F.col("data_drift_detected")),

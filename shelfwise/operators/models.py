@@ -1,7 +1,8 @@
-"""Direct multi-step forecasters over MLlib, and baselines in plain SQL functions.
+"""Direct multi-step forecasters: boosted trees, MLlib regressors, baselines in SQL functions.
 
-Every candidate gives an array with one predicted value per step. MLlib candidates fit one
-regressor per step; users add their own by passing any ``pyspark.ml`` regressor.
+Every candidate gives an array with one predicted value per step. The boosted trees grow the trees
+of all steps together, and ridge regression solves all steps from one Gram matrix; MLlib candidates fit one regressor per step, and users add their own by
+passing any ``pyspark.ml`` regressor.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import array_mean
+from shelfwise.operators import boosting, linear
 from shelfwise.session import ensure_checkpoint_dir
 
 # Default size of the boosted trees; weekday factors of the simple baseline.
@@ -39,7 +41,7 @@ RIDGE_DEFAULTS = {"regParam": 0.1, "elasticNetParam": 0.0, "maxIter": 100}
 
 
 def boosted_trees(**params: Any) -> GBTRegressor:
-    """The default tree regressor; ``params`` override its size."""
+    """MLlib's tree regressor in the same size; ``params`` override it."""
     settings = {"seed": 42, "checkpointInterval": 10, **GBT_DEFAULTS, **params}
     return GBTRegressor(featuresCol="features", labelCol="label", **settings)
 
@@ -121,16 +123,107 @@ class DirectModel:
         return out.select(*kept, values.alias(into))
 
 
-def gbt_candidate(**params: Any) -> DirectForecaster:
-    return DirectForecaster("gbt", lambda: boosted_trees(**params))
+# MLlib's names of the settings of boosted trees.
+MLLIB_NAMES = {
+    "maxIter": "trees", "maxDepth": "depth", "stepSize": "rate", "subsamplingRate": "rows",
+    "featureSubsetStrategy": "columns", "maxBins": "bins", "minInstancesPerNode": "least_rows",
+    "seed": "seed",
+}
+
+
+@dataclass(frozen=True)
+class BoostedForecaster:
+    """Boosted trees of all steps, grown together over shared histograms.
+
+    ``inputs``: a SQL expression of an array of doubles over the windows.
+    """
+
+    name: str = "gbt"
+    size: boosting.TreeSize = boosting.TreeSize()
+    inputs: str = "tabular"
+    needs_sequence: bool = False
+
+    def fit(self, windows: DataFrame, horizon: int) -> BoostedModel:
+        data = windows.select(
+            F.expr(self.inputs).alias("features"), F.slice("future", 1, horizon).alias("future"))
+        return BoostedModel(self.name, boosting.fit_trees(data, size=self.size), self.inputs)
+
+
+@dataclass(frozen=True)
+class BoostedModel:
+    name: str
+    ensemble: boosting.Ensemble
+    inputs: str = "tabular"
+    needs_sequence: bool = False
+
+    @property
+    def horizon(self) -> int:
+        return self.ensemble.steps
+
+    def predict(self, windows: DataFrame, into: str = "prediction") -> DataFrame:
+        return windows.withColumn(into, boosting.predicted(self.ensemble, F.expr(self.inputs)))
+
+
+def gbt_candidate(**params: Any) -> BoostedForecaster:
+    """The default trees; ``params`` override their size, by our names or MLlib's."""
+    named = {MLLIB_NAMES.get(k, k): v for k, v in params.items()}
+    return BoostedForecaster(size=boosting.TreeSize(**named))
+
+
+def mllib_gbt_candidate(**params: Any) -> DirectForecaster:
+    """One chain of MLlib's boosted trees per step."""
+    return DirectForecaster("mllib_gbt", lambda: boosted_trees(**params))
+
+
+#: All lookback rows (target and features), flattened in time order, as SQL.
+SEQUENCE = "flatten(steps)"
+
+
+@dataclass(frozen=True)
+class LinearForecaster:
+    """Ridge regression of all steps from one Gram matrix.
+
+    ``inputs``: a SQL expression of an array of doubles over the windows.
+    """
+
+    name: str = "ridge"
+    penalty: float = RIDGE_DEFAULTS["regParam"]
+    inputs: str = SEQUENCE
+    needs_sequence: bool = True
+
+    def fit(self, windows: DataFrame, horizon: int) -> LinearModel:
+        data = windows.select(
+            F.expr(self.inputs).alias("features"), F.slice("future", 1, horizon).alias("future"))
+        lines = linear.fit_lines(data, penalty=self.penalty)
+        return LinearModel(self.name, lines, self.inputs, self.needs_sequence)
+
 
+@dataclass(frozen=True)
+class LinearModel:
+    name: str
+    lines: linear.Lines
+    inputs: str = SEQUENCE
+    needs_sequence: bool = True
 
-def ridge_candidate(**params: Any) -> DirectForecaster:
+    @property
+    def horizon(self) -> int:
+        return self.lines.steps
+
+    def predict(self, windows: DataFrame, into: str = "prediction") -> DataFrame:
+        return windows.withColumn(into, linear.predicted(self.lines, F.expr(self.inputs)))
+
+
+def ridge_candidate(regParam: float = RIDGE_DEFAULTS["regParam"]) -> LinearForecaster:
     """The sequence-window candidate: ridge regression over every lookback row."""
-    return DirectForecaster("ridge", lambda: ridge(**params), sequence_input, True)
+    return LinearForecaster(penalty=regParam)
 
 
-def default_candidates() -> list[DirectForecaster]:
+def mllib_ridge_candidate(**params: Any) -> DirectForecaster:
+    """The same with one MLlib regressor per step."""
+    return DirectForecaster("mllib_ridge", lambda: ridge(**params), sequence_input, True)
+
+
+def default_candidates() -> list[BoostedForecaster | LinearForecaster]:
     return [gbt_candidate(), ridge_candidate()]
 
 
@@ -157,3 +250,36 @@ def weekday_baseline(date: str, horizon: int) -> Column:
     return F.array(*[
         F.greatest(mean * weekday_factor(F.date_add(day, h)), F.lit(0.0)) for h in range(horizon)
     ])
+
+
+@dataclass(frozen=True)
+class BaselineForecaster:
+    """A baseline as a candidate: there is nothing to fit, but it is selected, stored and served
+    like a model. ``name``: moving_average or weekday (which needs the ``date`` column)."""
+
+    name: str = "moving_average"
+    date: str | None = None
+    needs_sequence: bool = False
+
+    def fit(self, windows: DataFrame, horizon: int) -> BaselineModel:
+        return BaselineModel(self.name, self.date, horizon)
+
+
+@dataclass(frozen=True)
+class BaselineModel:
+    name: str
+    date: str | None
+    horizon: int
+    needs_sequence: bool = False
+
+    def predict(self, windows: DataFrame, into: str = "prediction") -> DataFrame:
+        if self.name == "moving_average":
+            return windows.withColumn(into, moving_average(self.horizon))
+        if self.name == "weekday" and self.date:
+            return windows.withColumn(into, weekday_baseline(self.date, self.horizon))
+        raise ValueError(f"no baseline {self.name} (date column: {self.date})")
+
+
+#: What a run can hold: anything with a name, a horizon and ``predict``.
+AnyModel = BoostedModel | LinearModel | DirectModel | BaselineModel
+AnyForecaster = BoostedForecaster | LinearForecaster | DirectForecaster | BaselineForecaster

@@ -60,9 +60,21 @@ def filter_series(df: DataFrame, series: str | None, value: object | None) -> Da
     return df.where(name(series) == F.lit(value))
 
 
-def row_cap(df: DataFrame, roles: Roles, rows: int | None) -> DataFrame:
-    """The first ``rows`` rows in (series, date) order."""
-    return df if rows is None else sort_panel(df, roles).limit(rows)
+def row_cap(
+    df: DataFrame, roles: Roles, rows: int | None, formats: Sequence[str] = ()
+) -> DataFrame:
+    """The first ``rows`` rows in (series, date) order.
+
+    Text dates are read for the order; rows whose date is unreadable come last in their series.
+    """
+    if rows is None:
+        return df
+    if not isinstance(df.schema[roles.date].dataType, T.StringType):
+        return sort_panel(df, roles).limit(rows)
+    read = df.withColumn("_when", parse_timestamp(name(roles.date), formats))
+    keys = [name(roles.series)] if roles.series else []
+    order = [F.col("_when").asc_nulls_last(), *[name(t) for t in roles.tiebreak]]
+    return read.orderBy(*keys, *order).limit(rows).drop("_when")
 
 
 def sort_panel(df: DataFrame, roles: Roles) -> DataFrame:

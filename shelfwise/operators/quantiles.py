@@ -1,50 +1,43 @@
-"""Exact quantiles of many columns, without bringing a column into one task.
+"""Exact quantiles of many columns in a fixed number of scans, without bringing a column together.
 
 Up to ``SMALL_ROWS`` values per column, Spark's exact ``percentile`` does it: its buffer is
-then bounded. With more, approximate sketches bracket every wanted rank, a counting pass
-checks that the bracket holds it, and this repeats inside the brackets until few values are
-left. Each such pass is a scan with partial aggregates and shuffles next to nothing. What
-is left is counted by value (equal values combine before the shuffle), and a running sum
-over those counts finds the ranks.
+then bounded. With more, ranks are found by radix selection: doubles become 64-bit numbers in the
+same order (their sign, exponent and mantissa), a scan counts the values per leading digit, and the
+next one looks only into the bins that hold a wanted rank, one digit further. A digit has
+``DIGIT_BITS`` bits, so no table ever has more than 2^13 bins per wanted rank, however the values lie
+and however often one repeats. Five scans reach the last bit; once no bin in question
+holds more values than a table has bins, the next scan is the last.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfwise.functions.columns import as_double, to_long
+from shelfwise.functions.columns import as_double, name, to_long
 
 SMALL_ROWS = 200_000
-SKETCH_ACCURACY = 10_000
+DIGIT_BITS = 13
+#: Bits below the first digit (sign and exponent), and of a double's mantissa.
+MANTISSA = 52
 
 
-@dataclass
-class _Bracket:
-    """``inside`` values of a column in [low, high], ``below`` under it, and the
-    0-based places (maybe between two values) wanted from it."""
+@dataclass(frozen=True)
+class _Bin:
+    """``inside`` values of a column share the leading digits ``prefix`` (bits from ``shift`` on),
+    ``below`` are smaller; the 0-based ``ranks`` are wanted from it."""
 
     column: str
-    low: float
-    high: float
+    prefix: int
     below: int
     inside: int
-    places: list[float] = field(default_factory=list)
-
-    @property
-    def ranks(self) -> list[int]:
-        return sorted({r for p in self.places for r in (math.floor(p), math.ceil(p))})
-
-    def holds(self) -> bool:
-        return self.below <= self.ranks[0] and self.ranks[-1] < self.below + self.inside
-
-    def contains(self, x: Column) -> Column:
-        return x.between(F.lit(self.low), F.lit(self.high))
+    ranks: list[int]
 
 
 def _numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -55,77 +48,80 @@ def _numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ])
 
 
-def _narrow(numbers: DataFrame, brackets: list[_Bracket], accuracy: int) -> list[_Bracket]:
-    """One sketch pass and one counting pass. A wanted place whose new bracket would not
-    hold its ranks stays in the old one."""
-    sketches = []
-    for i, b in enumerate(brackets):
-        slack = 2 + 2 * b.inside / accuracy
-        shares = []
-        for p in b.places:
-            shares.append(max(0.0, (math.floor(p) - b.below - slack) / b.inside))
-            shares.append(min(1.0, (math.ceil(p) - b.below + 1 + slack) / b.inside))
-        x = F.col(b.column)
-        sketches.append(
-            F.percentile_approx(F.when(b.contains(x), x), shares, accuracy).alias(f"q{i}")
-        )
-    guesses = numbers.agg(*sketches).first()
-
-    tries: dict[tuple, _Bracket] = {}
-    parents: list[tuple[_Bracket, float, tuple]] = []
-    for i, b in enumerate(brackets):
-        for j, p in enumerate(b.places):
-            key = (b.column, guesses[i][2 * j], guesses[i][2 * j + 1])
-            tries.setdefault(key, _Bracket(*key, 0, 0))
-            parents.append((b, p, key))
-    counts = []
-    for i, t in enumerate(tries.values()):
-        x = F.col(t.column)
-        counts.append(F.count_if(x < F.lit(t.low)).alias(f"below{i}"))
-        counts.append(F.count_if(t.contains(x)).alias(f"inside{i}"))
-    found = numbers.agg(*counts).first()
-    for i, t in enumerate(tries.values()):
-        t.below, t.inside = found[f"below{i}"], found[f"inside{i}"]
-
-    kept: dict[tuple, _Bracket] = {}
-    for old, place, key in parents:
-        t = tries[key]
-        t.places.append(place)
-        if not t.holds():
-            t.places.pop()
-            back = (old.column, old.low, old.high)
-            kept.setdefault(back, _Bracket(*back, old.below, old.inside)).places.append(place)
-    return [t for t in tries.values() if t.places] + list(kept.values())
-
-
-def _values_at_ranks(numbers: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, int], float]:
-    """The value at every wanted (column, rank), from the values inside the brackets."""
-    inside: dict[str, Column] = {}
-    for b in brackets:
-        hit = b.contains(F.col(b.column))
-        inside[b.column] = inside[b.column] | hit if b.column in inside else hit
-    kept = {c: F.when(hit, F.col(c)) for c, hit in inside.items()}
+def order_key(x: Column) -> Column:
+    """A BIGINT in the order of the doubles: the bits of |x|, negative for negative numbers.
+
+    Plain arithmetic, exact throughout: the exponent is corrected where the logarithm rounds.
+    """
+    a = F.abs(x)
+    one = F.lit(float(1 << MANTISSA))
+    guess = F.greatest(F.least(F.floor(F.log2(a)), F.lit(1023)), F.lit(-1022))
+    ratio = a / F.pow(F.lit(2.0), guess.cast("double"))
+    exponent = F.when(ratio < 1, guess - 1).when(ratio >= 2, guess + 1).otherwise(guess)
+    mantissa = F.when(ratio < 1, ratio * 2).when(ratio >= 2, ratio / 2).otherwise(ratio)
+    normal = F.shiftleft((exponent + 1023).cast("bigint"), MANTISSA) + ((mantissa - 1) * one).cast("bigint")
+    half = F.lit(2.0**537)
+    bits = (
+        F.when(a == 0, F.lit(0))
+        .when(a == F.lit(math.inf), F.lit(2047 << MANTISSA))
+        .when(a < F.lit(2.0**-1022), (a * half * half).cast("bigint"))
+        .otherwise(normal)
+    )
+    return F.when(x < 0, -bits).otherwise(bits)
+
+
+def value_of(key: int) -> float:
+    """The double with that order key."""
+    size = struct.unpack("<d", struct.pack("<q", abs(key)))[0]
+    return -size if key < 0 else size
+
+
+def _narrowed(numbers: DataFrame, bins: list[_Bin], shift: int, further: int) -> list[_Bin]:
+    """One scan: the bins of ``further`` remaining bits that hold the wanted ranks."""
+    step = shift - further
+    kept = {}
+    for column in dict.fromkeys(b.column for b in bins):
+        key = order_key(name(column))
+        inside = F.shiftright(key, shift).isin([b.prefix for b in bins if b.column == column])
+        kept[column] = F.when(inside, F.shiftright(key, further)) if shift < 64 else F.shiftright(key, further)
     counted = (
         to_long(numbers, kept)
         .where(F.col("value").isNotNull())
         .groupBy("column", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # One row per bracket: bounded by columns x wanted quantiles.
+    parent = F.shiftright("value", step) if shift < 64 else F.lit(0).cast("bigint")
+    # One row per bin in question: bounded by columns x wanted quantiles.
     limits = numbers.sparkSession.createDataFrame(
-        [(i, b.column, b.low, b.high, b.below, b.ranks) for i, b in enumerate(brackets)],
-        "bracket int, column string, low double, high double, below long, ranks array<long>",
+        [(b.column, b.prefix, b.below, b.ranks) for b in bins],
+        "column string, prefix bigint, below bigint, ranks array<bigint>",
     )
     placed = (
-        counted.join(F.broadcast(limits), "column")
-        .where(F.col("value").between(F.col("low"), F.col("high")))
+        counted.withColumn("prefix", parent)
+        .join(F.broadcast(limits), ["column", "prefix"])
         .withColumn("upto", F.col("below") + F.sum("n").over(
-            W.partitionBy("bracket").orderBy("value")
+            W.partitionBy("column", "prefix").orderBy("value")
         ))
+        .withColumn("start", F.col("upto") - F.col("n"))
     )
-    hits = F.filter("ranks", lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))
-    found = placed.select("column", "value", F.explode(hits).alias("rank")).collect()
-    return {(r["column"], r["rank"]): r["value"] for r in found}
+    hits = F.filter("ranks", lambda r: (r >= F.col("start")) & (r < F.col("upto")))
+    found = placed.select("column", "value", "start", "n", hits.alias("hits")).where(F.size("hits") > 0)
+    return [_Bin(r["column"], r["value"], r["start"], r["n"], list(r["hits"])) for r in found.collect()]
+
+
+def values_at_ranks(numbers: DataFrame, wanted: dict[str, Sequence[int]], sizes: dict[str, int],
+                    digit_bits: int = DIGIT_BITS) -> dict[tuple[str, int], float]:
+    """The value at every wanted (column, 0-based rank)."""
+    bins = [_Bin(c, 0, 0, sizes[c], sorted(set(ranks))) for c, ranks in wanted.items()]
+    shift, further = 64, MANTISSA
+    while bins:
+        bins = _narrowed(numbers, bins, shift, further)
+        if further == 0:
+            break
+        shift = further
+        few = max(b.inside for b in bins) <= 1 << digit_bits
+        further = 0 if few else max(0, shift - digit_bits)
+    return {(b.column, r): value_of(b.prefix) for b in bins for r in b.ranks}
 
 
 def exact_quantiles(
@@ -133,7 +129,6 @@ def exact_quantiles(
     columns: Sequence[str],
     probabilities: Sequence[float],
     small_rows: int = SMALL_ROWS,
-    accuracy: int = SKETCH_ACCURACY,
     sizes: dict[str, int] | None = None,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column, missing values left out.
@@ -145,28 +140,17 @@ def exact_quantiles(
     if not columns:
         return {}
     numbers = _numbers(df, columns)
-    size = sizes or numbers.agg(*[F.count(c).alias(c) for c in columns]).first()
+    size = sizes or numbers.agg(*[F.count(name(c)).alias(c) for c in columns]).first()
     small = [c for c in columns if 0 < size[c] <= small_rows]
     wanted = F.array(*[F.lit(float(p)) for p in probabilities])
     result: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
     if small:
-        row = numbers.agg(*[F.percentile(c, wanted).alias(c) for c in small]).first()
+        row = numbers.agg(*[F.percentile(name(c), wanted).alias(c) for c in small]).first()
         result.update({c: list(row[c]) for c in small})
 
     places = {c: [p * (size[c] - 1) for p in probabilities] for c in columns if size[c] > small_rows}
-    active = [_Bracket(c, -math.inf, math.inf, 0, size[c], list(at)) for c, at in places.items()]
-    settled: list[_Bracket] = []
-    largest = math.inf
-    while active:
-        active = _narrow(numbers, active, accuracy)
-        settled += [b for b in active if b.inside <= small_rows or b.low == b.high]
-        active = [b for b in active if b.inside > small_rows and b.low < b.high]
-        size_now = max((b.inside for b in active), default=0)
-        if size_now > largest / 2:
-            # Only repeated values keep a bracket large; those combine when counted.
-            settled, active = settled + active, []
-        largest = size_now
-    values = _values_at_ranks(numbers, settled) if settled else {}
+    ranks = {c: [r for p in at for r in (math.floor(p), math.ceil(p))] for c, at in places.items()}
+    values = values_at_ranks(numbers, ranks, {c: size[c] for c in places}) if places else {}
 
     def at(column: str, place: float) -> float:
         first, last = values[column, math.floor(place)], values[column, math.ceil(place)]

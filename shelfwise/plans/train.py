@@ -19,28 +19,34 @@ from shelfwise.functions.columns import name, settled
 from shelfwise.operators.drift import DriftReference, fit_reference
 from shelfwise.operators.evaluate import forecast_metrics, scored_long, select_best
 from shelfwise.operators.features import LAGS, ROLLS, densify, feature_columns, feature_frame
-from shelfwise.operators.models import DirectForecaster, DirectModel, default_candidates
+from shelfwise.operators.models import AnyForecaster, AnyModel, default_candidates
 from shelfwise.operators.ordering import Layout, measured_layout
 from shelfwise.operators.prep import Preprocessor, filter_series, parse_dates, row_cap
 from shelfwise.operators.profile import Profile, profile
 from shelfwise.operators.roles import Roles, detect_roles
+from shelfwise.operators.sketches import column_sketches
+from shelfwise.operators.tails import reach, series_tail
 from shelfwise.operators.windows import (
     HORIZON,
     LOOKBACK,
     MIN_WINDOWS,
     TRAIN_SHARE,
+    chunk_windows,
     require_windows,
-    sliding_windows,
+    series_chunks,
     split_windows,
 )
+from shelfwise.plans.champion import Champion, duel
 from shelfwise.sources import state
 
+
 @dataclass(frozen=True)
 class TrainConfig:
     """Arguments of a training run.
 
     ``baselines``: named array columns over the window table (see ``operators.models``);
-    they are scored beside the candidates but only selected where there is no candidate.
+    they are scored beside the candidates but only selected where there is no candidate, and then
+    the run cannot be stored (a ``BaselineForecaster`` among the candidates can be).
     ``staging``: a shared folder; the raw table is written there as Parquet once, so that
     the many later scans read only the columns they need instead of parsing text again.
     ``densify_days``: fill the calendar of every series in steps of that many days first,
@@ -51,7 +57,7 @@ class TrainConfig:
     lookback: int = LOOKBACK
     lags: Sequence[int] = LAGS
     rolls: Sequence[int] = ROLLS
-    candidates: Sequence[DirectForecaster] = field(default_factory=default_candidates)
+    candidates: Sequence[AnyForecaster] = field(default_factory=default_candidates)
     baselines: dict[str, Column] = field(default_factory=dict)
     selection_metric: str = "rmspe"
     single_group: Any | None = None
@@ -68,11 +74,12 @@ class TrainConfig:
 
 @dataclass
 class Trained:
-    """A finished run. ``metrics``: one row per candidate."""
+    """A finished run. ``metrics``: one row per candidate. ``tail``: the newest parsed rows per
+    series. ``sketches``: the reference in a form that later rows can extend. ``duel``: where a champion was given, metrics of both models on the same windows."""
 
     roles: Roles
     preprocessor: Preprocessor
-    models: dict[str, DirectModel]
+    models: dict[str, AnyModel]
     best: str
     metrics: DataFrame
     profile: Profile
@@ -80,9 +87,12 @@ class Trained:
     reference: DriftReference
     sample: DataFrame
     config: TrainConfig
+    tail: DataFrame
+    sketches: DataFrame
+    duel: DataFrame | None = None
 
     @property
-    def best_model(self) -> DirectModel | None:
+    def best_model(self) -> AnyModel | None:
         return self.models.get(self.best)
 
 
@@ -96,15 +106,15 @@ def _holds_times(df: DataFrame, date: str, formats: Sequence[str]) -> bool:
 
 def compare(
     windows: DataFrame, config: TrainConfig
-) -> tuple[dict[str, DirectModel], DataFrame]:
+) -> tuple[dict[str, AnyModel], DataFrame]:
     """Fit every candidate on the training windows, score all on the test windows.
 
-    ``windows`` must be kept (cached or stored) by the caller: each fit reads it again.
+    ``windows`` must be cheap to read (from kept chunks, or cached): each fit reads it again.
     The test windows are read once for all candidates and baselines.
     """
     training = windows.where("is_train")
     scored = windows.where(~F.col("is_train"))
-    models: dict[str, DirectModel] = {}
+    models: dict[str, AnyModel] = {}
     predictions: dict[str, Column] = {}
     for i, candidate in enumerate(config.candidates):
         model = candidate.fit(training, config.horizon)
@@ -117,12 +127,17 @@ def compare(
     return models, forecast_metrics(scored_long(scored, predictions))
 
 
-def train(df: DataFrame, config: TrainConfig | None = None) -> Trained:
-    """Profile, detect roles, prepare, engineer, window, fit, evaluate and select."""
+def train(
+    df: DataFrame, config: TrainConfig | None = None, champion: Champion | None = None
+) -> Trained:
+    """Profile, detect roles, prepare, engineer, window, fit, evaluate and select.
+
+    ``champion``: the model in service, to be scored on the same test windows as the selected one.
+    """
     config = config or TrainConfig()
     spark = df.sparkSession
     if config.rows is not None:
-        df = row_cap(df, detect_roles(df, config.schema_overrides), config.rows)
+        df = row_cap(df, detect_roles(df, config.schema_overrides), config.rows, config.date_formats)
     if config.staging is not None:
         df.write.mode("overwrite").parquet(config.staging)
         df = spark.read.parquet(config.staging)
@@ -138,6 +153,8 @@ def train(df: DataFrame, config: TrainConfig | None = None) -> Trained:
     else:
         pre.fit(chosen, roles)
     roles = pre.state.roles
+    tail = series_tail(pre.parsed(chosen, roles), roles, max(1, reach(config.lags, config.rolls)))
+    original = chosen
     if config.densify_days is not None:
         chosen = densify(parse_dates(chosen, roles.date, config.date_formats, True), roles,
                          config.densify_days, fill=0.0)
@@ -145,22 +162,29 @@ def train(df: DataFrame, config: TrainConfig | None = None) -> Trained:
         StorageLevel.MEMORY_AND_DISK)
     features = feature_columns(frame, roles)
     sequence = any(c.needs_sequence for c in config.candidates)
-    windows = split_windows(sliding_windows(
-        frame, roles, config.lookback, config.horizon, features, sequence, layout
-    )).persist(StorageLevel.MEMORY_AND_DISK)
+    # Kept as chunks of series: windows are cut from them whenever they are read.
+    chunks = series_chunks(
+        frame, roles, config.lookback, config.horizon, features, layout
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    windows = split_windows(chunk_windows(chunks, roles, config.lookback, config.horizon, sequence))
     try:
         require_windows(windows.count(), config.min_windows)
         models, metrics = compare(windows, config)
         metrics = settled(metrics)  # one row per candidate
+        order = [*models, *config.baselines]
+        # Baselines are yardsticks: a stored run needs a model that can be loaded again.
+        servable = metrics.where(F.col("model_name").isin(list(models))) if models else metrics
+        best = select_best(servable, config.selection_metric, order).first()["best_model"]
+        scored = None
+        if champion is not None and best in models:
+            test = windows.where(~F.col("is_train"))
+            scored = settled(duel(test, models[best], champion, original, layout))  # two rows
     finally:
-        windows.unpersist()
-    order = [*models, *config.baselines]
-    # Baselines are yardsticks: a stored run needs a model that can be loaded again.
-    servable = metrics.where(F.col("model_name").isin(list(models))) if models else metrics
-    best = select_best(servable, config.selection_metric, order).first()["best_model"]
+        chunks.unpersist()
     sample = settled(state.reference_sample(frame, roles))  # a top-n of 500 rows
     # The reference covers every row of the frame; the sample is an export only.
     reference = fit_reference(frame, sample.columns)
+    sketches = settled(column_sketches(frame, sample.columns))  # one row per column
     frame.unpersist()
     return Trained(
         roles=roles,
@@ -173,6 +197,9 @@ def train(df: DataFrame, config: TrainConfig | None = None) -> Trained:
         reference=reference,
         sample=sample,
         config=config,
+        tail=tail,
+        sketches=sketches,
+        duel=scored,
     )
 
 
@@ -209,24 +236,29 @@ def run_row(
         datetime.now(timezone.utc), trained.best, version, config.horizon, config.lookback,
         metrics, (roles.date, roles.target, roles.series, roles.frequency),
         trained.profile.warnings, trained.features, f"{folder}/model_{trained.best}",
-        list(config.lags), list(config.rolls), config.densify_days, folder, approved,
+        list(config.lags), list(config.rolls), config.densify_days, folder, approved, None,
     )
     return spark.createDataFrame([row], state.RUN_SCHEMA)
 
 
 def save(
-    trained: Trained, spark: SparkSession, path: str, version: str = "v1", approved: bool = True
+    trained: Trained, spark: SparkSession, path: str, version: str = "v1", approved: bool = True,
+    seen: int | None = None,
 ) -> str:
-    """Write state, best model, reference and sample, and then the run-log row.
+    """Write state, best model, reference, sample and tails, and then the run-log entry.
 
-    Every run has a folder of its own (returned), and the log row that names it comes last: a
-    reader finds either the earlier run or all of this one.
+    Every run has a folder of its own (returned), and the log entry that names it comes last: a
+    reader finds either the earlier run or all of this one. ``seen``: the log version on which the
+    decision to approve rests (see ``state.append_run``).
     """
+    if trained.best_model is None:
+        raise ValueError(f"{trained.best} cannot be served: add it to the candidates as a BaselineForecaster")
     folder = f"{path}/run-{uuid4().hex}"
     state.save_preprocessor(trained.preprocessor, spark, f"{folder}/preprocessor")
-    if trained.best_model is not None:
-        state.save_model(trained.best_model, spark, f"{folder}/model_{trained.best}")
+    state.save_model(trained.best_model, spark, f"{folder}/model_{trained.best}")
     trained.sample.write.parquet(f"{folder}/reference_sample")
     state.save_reference(trained.reference, spark, f"{folder}/reference")
-    state.append_run(run_row(spark, trained, folder, version, approved), f"{path}/runs")
+    state.save_sketches(trained.sketches, folder, 0)
+    state.save_tail(trained.tail, folder, 0)
+    state.append_run(run_row(spark, trained, folder, version, approved), f"{path}/runs", seen)
     return folder

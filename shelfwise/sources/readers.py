@@ -27,13 +27,16 @@ def read_csv(
     """CSV with a header. A schema saves the inference scan over the data.
 
     Columns left as text have the usual "no value" words turned into NULL; numeric columns
-    that hold such words are cast once those words are gone.
+    that hold such words are cast once those words are gone. ``rows``: only the first rows, in the
+    order of the files' names and of the lines in each file.
     """
     reader = spark.read.option("header", True).options(**options)
     if schema is not None:
         df = reader.option("mode", "PERMISSIVE").schema(schema).csv(path)
     else:
         df = reader.option("inferSchema", True).csv(path)
+    if rows is not None:
+        df = _first_lines(df, rows)
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if texts:
         df = df.withColumns({
@@ -41,8 +44,15 @@ def read_csv(
         })
         if schema is None:
             df = _numbers_with_gaps(df, texts)
-    df = nan_to_null(df)
-    return df if rows is None else df.limit(rows)
+    return nan_to_null(df)
+
+
+def _first_lines(df: DataFrame, rows: int) -> DataFrame:
+    """A top-n by file, block and line: every task keeps at most ``rows`` rows."""
+    place = ["_metadata.file_path", "_metadata.file_block_start"]
+    lines = df.select("*", *[F.col(p).alias(f"_at{i}") for i, p in enumerate(place)],
+                      F.monotonically_increasing_id().alias("_line"))
+    return lines.orderBy("_at0", "_at1", "_line").limit(rows).drop("_at0", "_at1", "_line")
 
 
 def _numbers_with_gaps(df: DataFrame, texts: list[str]) -> DataFrame:

@@ -13,10 +13,21 @@ from pyspark.sql.utils import AnalysisException
 from shelfwise.functions.columns import name, numeric_columns
 from shelfwise.operators.drift import DriftReference
 from shelfwise.operators.features import LAGS, ROLLS, densify
-from shelfwise.operators.models import DirectModel, sequence_input, tabular_input
+from shelfwise.operators.boosting import Ensemble
+from shelfwise.operators.linear import Lines
+from shelfwise.operators.models import (
+    AnyModel,
+    BaselineModel,
+    BoostedModel,
+    DirectModel,
+    LinearModel,
+    sequence_input,
+    tabular_input,
+)
 from shelfwise.operators.ordering import series_order
 from shelfwise.operators.prep import ColumnScale, Preprocessor, PrepState, parse_dates
 from shelfwise.operators.roles import Roles
+from shelfwise.sources import files
 
 # Fixed value: rows of the saved reference sample.
 SAMPLE_ROWS = 500
@@ -27,7 +38,8 @@ RUN_SCHEMA = (
     "metrics map<string,struct<mae:double,rmse:double,rmspe:double>>, "
     "schema struct<date_column:string,target_column:string,group_column:string,frequency:string>, "
     "profile_warnings array<string>, feature_columns array<string>, model_path string, "
-    "lags array<int>, rolls array<int>, densify_days int, folder string, approved boolean"
+    "lags array<int>, rolls array<int>, densify_days int, folder string, approved boolean, "
+    "log_version bigint"
 )
 INPUTS = {"tabular": tabular_input, "sequence": sequence_input}
 
@@ -62,11 +74,24 @@ def load_preprocessor(spark: SparkSession, path: str) -> Preprocessor:
     return pre
 
 
-def save_model(model: DirectModel, spark: SparkSession, path: str) -> None:
+def save_model(model: AnyModel, spark: SparkSession, path: str) -> None:
     """One MLlib pipeline per step, so that any MLlib regressor can be read back.
 
     Inputs are stored by name or as their SQL expression; a function of the user's cannot be.
+    A baseline is stored by name, boosted trees as one table of their nodes, lines as one of steps.
     """
+    if isinstance(model, BaselineModel):
+        _write_meta(spark, path, {"baseline": model.name, "date": model.date, "horizon": model.horizon})
+        return
+    if isinstance(model, BoostedModel):
+        model.ensemble.to_frame(spark).write.mode("overwrite").parquet(f"{path}/nodes")
+        _write_meta(spark, path, {"boosted": model.name, "inputs": model.inputs})
+        return
+    if isinstance(model, LinearModel):
+        model.lines.to_frame(spark).write.mode("overwrite").parquet(f"{path}/lines")
+        meta = {"linear": model.name, "inputs": model.inputs, "needs_sequence": model.needs_sequence}
+        _write_meta(spark, path, meta)
+        return
     named = next((k for k, f in INPUTS.items() if f is model.inputs), None)
     expression = model.inputs if isinstance(model.inputs, str) else None
     if named is None and expression is None:
@@ -80,12 +105,24 @@ def save_model(model: DirectModel, spark: SparkSession, path: str) -> None:
         "inputs": named,
         "expression": expression,
     }
+    _write_meta(spark, path, meta)
+
+
+def _write_meta(spark: SparkSession, path: str, meta: dict) -> None:
     line = spark.createDataFrame([(json.dumps(meta),)], "value string")
     line.coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
-def load_model(spark: SparkSession, path: str) -> DirectModel:
+def load_model(spark: SparkSession, path: str) -> AnyModel:
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+    if "baseline" in meta:
+        return BaselineModel(meta["baseline"], meta["date"], meta["horizon"])
+    if "boosted" in meta:
+        nodes = Ensemble.from_frame(spark.read.parquet(f"{path}/nodes"))
+        return BoostedModel(meta["boosted"], nodes, meta["inputs"])
+    if "linear" in meta:
+        lines = Lines.from_frame(spark.read.parquet(f"{path}/lines"))
+        return LinearModel(meta["linear"], lines, meta["inputs"], meta["needs_sequence"])
     steps = [PipelineModel.load(f"{path}/step={h}").stages[0] for h in range(meta["horizon"])]
     usual = "sequence" if meta["needs_sequence"] else "tabular"  # stored without their name
     inputs = meta.get("expression") or INPUTS[meta.get("inputs") or usual]
@@ -123,9 +160,71 @@ def load_reference(spark: SparkSession, path: str) -> DriftReference | None:
         return None
 
 
-def append_run(run: DataFrame, path: str) -> None:
-    """Add one run to the JSON run log."""
-    run.coalesce(1).write.mode("append").json(path)
+def save_sketches(sketches: DataFrame, folder: str, part: int) -> None:
+    """The sketches of one part (0: the training) of a run's reference."""
+    sketches.coalesce(1).write.mode("overwrite").parquet(f"{folder}/sketches/{part:010d}")
+
+
+def load_sketches(spark: SparkSession, folder: str) -> tuple[DataFrame | None, int]:
+    """The sketches of all complete parts, one row per part and column, and the newest part."""
+    path = f"{folder}/sketches"
+    parts = [n for n in files.names(spark, path) if files.exists(spark, f"{path}/{n}/_SUCCESS")]
+    if not parts:
+        return None, -1
+    return spark.read.parquet(*[f"{path}/{n}" for n in parts]), int(parts[-1])
+
+
+def save_tail(tail: DataFrame, folder: str, version: int) -> None:
+    """The newest rows of every series after ``version`` posted batches."""
+    tail.write.mode("overwrite").parquet(f"{folder}/tails/{version:010d}")
+
+
+def load_tail(spark: SparkSession, folder: str, before: int | None = None) -> tuple[DataFrame | None, int]:
+    """The newest complete tail (of a version below ``before``) and its version; None and -1 without one."""
+    for name in reversed(files.names(spark, f"{folder}/tails")):
+        path = f"{folder}/tails/{name}"
+        if (before is None or int(name) < before) and files.exists(spark, f"{path}/_SUCCESS"):
+            return spark.read.parquet(path), int(name)
+    return None, -1
+
+
+def drop_tails(spark: SparkSession, folder: str, before: int) -> None:
+    """Delete the tails of versions below ``before`` but the one that the training left."""
+    for name in files.names(spark, f"{folder}/tails"):
+        if 0 < int(name) < before:
+            files.delete(spark, f"{folder}/tails/{name}")
+
+
+def run_file(version: int) -> str:
+    return f"run-{version:010d}.json"
+
+
+def last_version(spark: SparkSession, path: str) -> int:
+    """The newest version in the run log; 0 before the first run."""
+    known = [n for n in files.names(spark, path) if n.startswith("run-")]
+    return int(known[-1][4:14]) if known else 0
+
+
+def append_run(run: DataFrame, path: str, seen: int | None = None) -> int:
+    """Add one run to the log as the next version, and return that version.
+
+    Every version is a file of its own, which only one writer can create; later versions are newer,
+    whatever the writers' clocks say. ``seen``: the version that the decision to approve rests on.
+    If another run was approved since, this one is logged, but not as approved.
+    """
+    spark = run.sparkSession
+    at = last_version(spark, path) if seen is None else seen
+    row, version = run.drop("log_version"), at + 1
+    while True:
+        if seen is not None and last_version(spark, path) > at:
+            rivals = read_runs(spark, path).where(F.col("log_version") > at)
+            if rivals.where(F.coalesce("approved", F.lit(True))).limit(1).count():
+                row = row.withColumn("approved", F.lit(False))
+            version = max(version, last_version(spark, path) + 1)
+        text = row.withColumn("log_version", F.lit(version).cast("bigint")).toJSON().first()
+        if files.create_new(spark, f"{path}/{run_file(version)}", text + "\n"):
+            return version
+        version += 1
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
@@ -133,9 +232,10 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
-    """The newest run that was approved (one row)."""
+    """The newest run that was approved (one row); runs logged without a version are older."""
     approved = runs.where(F.coalesce("approved", F.lit(True)))
-    return approved.orderBy(F.col("run_time").desc()).limit(1)
+    version = F.col("log_version").desc_nulls_last() if "log_version" in runs.columns else F.lit(0)
+    return approved.orderBy(version, F.col("run_time").desc()).limit(1)
 
 
 def current_run(spark: SparkSession, path: str) -> Row | None:

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfwise.operators.ordering import AUTO, Layout
-from shelfwise.plans.monitor import align, health
+from shelfwise.plans.monitor import align, health, remember
 
 
 def watch_posted(
@@ -23,6 +23,8 @@ def watch_posted(
 ) -> StreamingQuery:
     """Compare every batch of posted JSON rows with the stored reference.
 
+    Batch ``id`` looks back into the tails that the batches before it left, and leaves its own as
+    version ``id + 1``: lags reach across batches, and a repeated batch finds what it found first.
     Each batch overwrites its own ``batch=<id>`` folder, so a batch that runs twice after
     a lost driver leaves one report. ``once`` processes what is there and stops.
     """
@@ -32,8 +34,10 @@ def watch_posted(
 
     def check(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        found = health(session, state_path, align(session, state_path, batch, layout))
+        current = align(session, state_path, batch, layout, before=batch_id + 1)
+        found = health(session, state_path, current)
         found.write.mode("overwrite").parquet(f"{reports}/batch={batch_id}")
+        remember(session, state_path, batch, batch_id + 1)
 
     writer = reader.json(source).writeStream.foreachBatch(check)
     writer = writer.option("checkpointLocation", checkpoint)

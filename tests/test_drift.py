@@ -99,9 +99,21 @@ def test_bracketed_edges_match_sorted_ones(spark):
 
 def test_bootstrap(spark):
     df = column(spark, range(1000))
-    n = drift.bootstrap(df, seed=1).count()
-    assert 850 < n < 1150
-    assert drift.check_drift(df, drift.bootstrap(df, 1)).first()["dataset_drift"] is False
+    rows = lambda d: sorted(r[0] for r in d.collect())
+    one = drift.bootstrap(df, seed=1)
+    assert one.count() == 1000 and set(rows(one)) <= set(range(1000))
+    assert abs(one.distinct().count() - 632) < 50
+    assert rows(one) == rows(drift.bootstrap(df.repartition(7), seed=1))
+    assert rows(one) != rows(drift.bootstrap(df, seed=2))
+    assert drift.check_drift(df, one).first()["dataset_drift"] is False
+
+
+def test_bootstrap_of_equal_rows_and_none(spark):
+    same = column(spark, [5] * 300)
+    assert drift.bootstrap(same, seed=1).count() == 300
+    assert drift.bootstrap(same.limit(0), seed=1).count() == 0
+    odd = spark.createDataFrame([(1, None, {"a": 1}), (None, [1.0], None)], "x int, y array<double>, z map<string,int>")
+    assert drift.bootstrap(odd, seed=3).count() == 2
 
 
 def test_health_texts(spark):

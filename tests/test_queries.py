@@ -26,7 +26,9 @@ def test_names_match():
 
 
 def test_models_are_registered_in_full_size(spark):
-    """Their queries take minutes, so the tests fit small ones (see test_evaluate_forecast)."""
+    """The tests fit small ones (see test_boosting)."""
+    size = models.default_candidates()[0].size
+    assert (size.trees, size.depth, size.rate, size.rows, size.columns) == (300, 6, 0.05, 0.9, 0.9)
     settings = models.boosted_trees()
     assert (settings.getMaxIter(), settings.getMaxDepth(), settings.getStepSize()) == (300, 6, 0.05)
 
