@@ -154,12 +154,16 @@ def fit_profiles(
         F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"),
         F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(1_000_000)).alias("_h"),
     ).where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"), F.min("_h").alias("_least"))
-    known = counts.agg(F.sum("_n").alias("texts"), F.count(F.lit(1)).alias("langs")).first()
-    if (known["texts"] or 0) > max_training:
-        share = max_training / known["langs"]
-        rows = rows.join(counts, "lang").where(
-            (F.col("_h") < F.lit(1_000_000 * share) / F.col("_n")) | (F.col("_h") == F.col("_least")))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("_h").alias("least"))
+    known = counts.limit(max_languages + 1).collect()
+    if len(known) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    if sum(r["n"] for r in known) > max_training:
+        # A literal map of all languages: no text is shuffled.
+        share = 1_000_000 * max_training / len(known)
+        below = {r["lang"]: max(share / r["n"], r["least"] + 1.0) for r in known}
+        limit = F.create_map(*[F.lit(v) for pair in below.items() for v in pair])
+        rows = rows.where(F.col("_h") < F.element_at(limit, F.col("lang")))
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         book, total = Codebook(dimensions), {}
