@@ -19,10 +19,10 @@ they occur; a null doc_id is carried along; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cached_property
-from itertools import chain
 from unicodedata import normalize
 
 import numpy as np
@@ -46,6 +46,11 @@ SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tok
           "sequence_id bigint, offset bigint")
 
 
+def packed(ids: list[int]) -> bytes:
+    """The ids as little-endian 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds:
     """Token ids of texts, word by word.
 
@@ -64,7 +69,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.end_id, self.cache_words = end_id, cache_words
-        self.known: dict[bytes, list[int]] = {}
+        self.known: dict[bytes, bytes] = {}  # a word's ids as little-endian 32-bit numbers
         self.direct = all(  # does the model alone give the ids of plain words?
             self.letters_only(w) == self.whole([w])[0] for w in PROBES)
 
@@ -72,8 +77,8 @@ class WordIds:
         return [c.ids for c in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def letters_only(self, word: str) -> list[int]:
-        """Ids of a lower-case word of letters: one piece for the model, byte by byte."""
-        mapped = normalize("NFC", word).encode().decode("latin-1").translate(BYTE_LETTERS)
+        """Ids of a composed lower-case word of letters: one piece for the model, byte by byte."""
+        mapped = word.encode().decode("latin-1").translate(BYTE_LETTERS)
         return [t.id for t in self.model.tokenize(mapped)]
 
     def learn(self, new: list[bytes]) -> None:
@@ -81,22 +86,24 @@ class WordIds:
         for w in new:
             word = w.decode("utf-8", "surrogatepass")
             mark = word[-1:] if word[-1:] in (",", ".") else ""
-            core = word[:-1] if mark else word
-            if self.direct and core.isalpha() and core.islower():
-                ids = known.get(core.encode()) if mark else None
+            core = w[:-1] if mark else w
+            # The normaliser composes first; some letters come apart into a letter and a mark.
+            plain = normalize("NFC", word[:-1] if mark else word) if self.direct else ""
+            if plain.isalpha() and plain.islower():
+                ids = known.get(core)
                 if ids is None:
-                    ids = known[core.encode()] = self.letters_only(core)
+                    ids = known[core] = packed(self.letters_only(plain))
                 if mark:
                     known[w] = ids + self.marks[mark]
             else:
                 others.append(w)
         if others:
             words = [w.decode("utf-8", "surrogatepass") for w in others]
-            known.update(zip(others, self.whole(words)))
+            known.update(zip(others, map(packed, self.whole(words))))
 
     @cached_property
-    def marks(self) -> dict[str, list[int]]:
-        return dict(zip(",.", self.whole([",", "."])))
+    def marks(self) -> dict[str, bytes]:
+        return dict(zip(",.", map(packed, self.whole([",", "."]))))
 
     def __call__(self, text: str | None) -> np.ndarray:
         body = (text or "").encode("utf-8", "surrogatepass")
@@ -105,11 +112,12 @@ class WordIds:
         found = body.split()
         if len(self.known) > self.cache_words:
             self.known = {}
-        known = self.known
-        self.learn([w for w in set(found) if w not in known])
-        ids = list(chain.from_iterable(map(known.__getitem__, found)))
-        ids.append(self.end_id)
-        return np.array(ids, dtype="<u4")
+        try:
+            ids = b"".join(map(self.known.__getitem__, found))
+        except KeyError:
+            self.learn([w for w in set(found) if w not in self.known])
+            ids = b"".join(map(self.known.__getitem__, found))
+        return np.frombuffer(ids + packed([self.end_id]), dtype="<u4")
 
 
 _kept: dict[tuple, WordIds] = {}
