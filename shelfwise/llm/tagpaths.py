@@ -1,12 +1,19 @@
 """Main text of HTML pages by tag-path ratios.
 
-A page is read into text nodes, each with the path of tags from the root (with class, id and
-role names that speak of boilerplate). Per path, text length and punctuation are added up over
-its nodes: length per node and punctuation per node are the two ratios. Both are smoothed over
-neighbouring paths (those that share the parent), fused by their geometric mean together with
-the share of linked text, and paths whose fused value reaches a part of the best one are
-content. Paths below elements that hold no article (navigation, header, footer, sidebar, form,
-script, style, advert, notice, comments) have ratio zero.
+A page is read into text nodes, each with the path of its elements from the root: block-level tags
+with their class, id and role names (inline tags belong to their block, unless they carry a name that
+speaks of boilerplate). A block that is mostly links has a path of its own below that. Per path,
+text length and punctuation are added up: length per block and punctuation per block are the two
+ratios. They are fused by their geometric mean together with the share of text that is no link,
+smoothed over neighbouring paths (those below the same parent), and paths whose fused value
+reaches a part of the best one are content.
+
+Lists of names only lower a path's ratio. Elements that are boilerplate by their tag, role, or by
+a name that begins like it (navigation, header, footer, sidebar, form, advert, notice, comments)
+have their ratios divided by ``1 / LOWERED``. A name with such a word further back (`has-sidebar`,
+`category-legal`) does the same, unless that element holds most of the page's text outside of links.
+A header inside an article or main element is not the page's. Only what is no text at all (scripts,
+styles, the head, options and the like) is left out before.
 
 The page's blocks are the texts between block-level tags. Defined cases: a null or empty page
 and a page without content nodes give an empty text; unclosed and stray tags are tolerated; a
@@ -28,6 +35,12 @@ from shelfwise.llm.common import put
 
 #: A path is content if its fused ratio reaches this part of the best path's.
 SHARE = 0.05
+#: What the names of boilerplate leave of a ratio, and what a path keeps of it if all is links.
+LOWERED = 0.002
+LINKED = 0.05
+#: A block with more linked text than this is a block of links; an element with more of the page's
+#: unlinked text than this is no boilerplate because of a word inside one of its names.
+MOSTLY = 0.5
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,10 +50,11 @@ BLOCKS = frozenset(
     "menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-NO_ARTICLE = frozenset(
-    "nav header footer aside form script style noscript template head title iframe svg canvas "
-    "button select option textarea label input menu dialog object audio video math".split()
+NO_TEXT = frozenset(
+    "script style noscript template head title iframe svg canvas button select option textarea "
+    "input object audio video math".split()
 )
+NO_ARTICLE = frozenset("nav header footer aside form label menu dialog".split())
 RAW = "script|style|noscript|template|iframe|textarea|svg|title"
 NO_ARTICLE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
 NO_ARTICLE_NAMES = frozenset(
@@ -69,30 +83,51 @@ PARTS = re.compile(r"[a-z0-9]+")
 MARKS = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
-def _no_article(tag: str, attributes: str) -> bool:
-    if tag in NO_ARTICLE:
-        return True
-    if "=" not in attributes or tag in ("body", "html"):
-        return False
+def judged(tag: str, attributes: str, in_article: bool) -> tuple[str, str]:
+    """The element's step in a path, and what its names say: `none`, `weak`, `strong`, `no text`."""
+    if tag in NO_TEXT:
+        return tag, "no text"
+    verdict = "strong" if tag in NO_ARTICLE and not (tag == "header" and in_article) else "none"
+    if "=" not in attributes and "hidden" not in attributes:
+        return tag, verdict
+    names = []
     for kind, a, b, c in NAMED.findall(attributes):
         value = (a or b or c).lower()
+        names.append(" ".join(value.split()))
+        if tag in ("body", "html"):
+            continue
         if kind.lower() == "role":
             if value in NO_ARTICLE_ROLES:
-                return True
-        elif any(part in NO_ARTICLE_NAMES for part in PARTS.findall(value)):
-            return True
-    return "hidden" in attributes and re.search(r"\bhidden\b(?!\s*=)", attributes) is not None
+                verdict = "strong"
+            continue
+        for token in value.split():
+            parts = PARTS.findall(token)
+            if parts and parts[0] in NO_ARTICLE_NAMES and tag not in ("article", "main"):
+                verdict = "strong"
+            elif verdict == "none" and any(p in NO_ARTICLE_NAMES for p in parts):
+                verdict = "weak"
+    if "hidden" in attributes and re.search(r"\bhidden\b(?!\s*=)", attributes):
+        verdict = "strong"
+        names.append("hidden")
+    return ".".join([tag, *sorted(names)]).replace("/", "|"), verdict
 
 
 class Page:
-    """Text nodes of a page: (block number, path, text, linked)."""
+    """Text nodes of a page: (block number, path, text, linked).
+
+    ``strong`` holds the paths lowered by a name, ``weak`` the elements (as paths) whose names may
+    lower a path.
+    """
 
     def __init__(self, source: str):
         self.nodes: list[tuple[int, str, str, bool]] = []
+        self.strong: set[str] = set()
+        self.weak: dict[str, tuple[str, ...]] = {}
         self.block = 0
         self.stack: list[str] = []
-        self.off = 0  # open elements that hold no article
-        self.bad: list[bool] = []
+        self.places: list[tuple[str, bool, tuple[str, ...]]] = [("", False, ())]
+        self.off = 0  # open elements without text
+        self.links = 0
         at = 0
         for m in TOKEN.finditer(source):
             if m.start() > at:
@@ -106,16 +141,24 @@ class Page:
             self.text(source[at:])
 
     def text(self, raw: str) -> None:
-        if self.off or not raw.strip():
-            if raw and not self.off and self.nodes and self.nodes[-1][0] == self.block:
-                self.nodes.append((self.block, self.nodes[-1][1], " ", False))
+        if self.off:
             return
-        self.nodes.append((self.block, "/".join(self.stack), entities.unescape(raw), "a" in self.stack))
+        if not raw.strip():
+            self.text_space()
+            return
+        path, strong, weak = self.places[-1]
+        if strong:
+            self.strong.add(path)
+        if weak:
+            self.weak[path] = weak
+        self.nodes.append((self.block, path, entities.unescape(raw), self.links > 0))
 
     def pop_to(self, depth: int) -> None:
         while len(self.stack) > depth:
-            self.stack.pop()
-            self.off -= self.bad.pop()
+            tag = self.stack.pop()
+            self.places.pop()
+            self.off -= tag in NO_TEXT
+            self.links -= tag == "a"
 
     def end_open(self, names, stop=SCOPE) -> None:
         """Close the innermost open element of these names, if no scope lies in between."""
@@ -140,10 +183,14 @@ class Page:
             self.end_open(names, SCOPE - names)
         if attributes.rstrip().endswith("/") and tag not in BLOCKS and "=" not in attributes[-2:]:
             return
-        bad = _no_article(tag, attributes)
+        step, verdict = judged(tag, attributes, "article" in self.stack or "main" in self.stack)
+        path, strong, weak = self.places[-1]
+        if tag in BLOCKS or verdict in ("weak", "strong"):
+            path = f"{path}/{step}"
+        self.places.append((path, strong or verdict == "strong", (*weak, path) if verdict == "weak" else weak))
         self.stack.append(tag)
-        self.bad.append(bad)
-        self.off += bad
+        self.off += tag in NO_TEXT
+        self.links += tag == "a"
 
     def text_space(self) -> None:
         if self.nodes and self.nodes[-1][0] == self.block and not self.off:
@@ -160,38 +207,65 @@ class Page:
                 return
 
 
-def content_paths(nodes: list[tuple[int, str, str, bool]], share: float = SHARE) -> set[str]:
-    """Paths whose smoothed, fused ratio reaches a part of the best path's."""
-    length, marks, count, linked = (defaultdict(float) for _ in range(4))
-    for _, path, text, in_link in nodes:
+def of_links(nodes: list[tuple[int, str, str, bool]]) -> set[tuple[int, str]]:
+    """The blocks (and their paths) that are mostly links."""
+    whole, linked = defaultdict(int), defaultdict(int)
+    for block, path, text, in_link in nodes:
+        n = len(text.strip())
+        whole[block, path] += n
+        linked[block, path] += n * in_link
+    return {at for at, n in whole.items() if linked[at] > MOSTLY * n}
+
+
+def content_paths(page: Page, share: float = SHARE) -> set[str]:
+    """Paths whose fused, smoothed ratio reaches a part of the best path's.
+
+    The path of a block of links ends in `/a`.
+    """
+    length, marks, linked = (defaultdict(float) for _ in range(3))
+    blocks, links = defaultdict(set), of_links(page.nodes)
+    own = {}
+    for block, path, text, in_link in page.nodes:
         n = len(text.strip())
         if n:
-            length[path] += n
-            marks[path] += len(MARKS.findall(text))
-            count[path] += 1
-            linked[path] += n * in_link
-    ratio = {}
-    for p, n in count.items():
-        free = 1.0 - linked[p] / length[p]
-        ratio[p] = ((length[p] / n) * (1.0 + marks[p] / n)) ** 0.5 * (0.05 + 0.95 * free)
+            p = f"{path}/a" if (block, path) in links else path
+            own[p] = path
+            length[p] += n
+            marks[p] += len(MARKS.findall(text))
+            linked[p] += n * in_link
+            blocks[p].add(block)
+    free = {p: n - linked[p] for p, n in length.items()}
+    inside = defaultdict(float)
+    for p, n in free.items():
+        for element in page.weak.get(own[p], ()):
+            inside[element] += n
+    most = MOSTLY * sum(free.values())
+
+    def weight(p: str) -> float:
+        lowered = own[p] in page.strong or any(inside[e] <= most for e in page.weak.get(own[p], ()))
+        return (LOWERED if lowered else 1.0) * (LINKED + (1 - LINKED) * free[p] / length[p])
+
+    weights = {p: weight(p) for p in length}
+    ratio = {p: weights[p] * ((length[p] / len(blocks[p])) * (1.0 + marks[p] / len(blocks[p]))) ** 0.5
+             for p in length}
     parent = lambda p: p.rpartition("/")[0]
     near = defaultdict(float)
     for p, r in ratio.items():
         near[parent(p)] = max(near[parent(p)], r)
         near[p] = max(near[p], r)
-    fused = {p: 0.5 * r + 0.5 * max(near[parent(p)], near[p], near.get(parent(parent(p)), 0.0))
-             * (0.05 + 0.95 * (1.0 - linked[p] / length[p])) for p, r in ratio.items()}
+    fused = {p: 0.5 * r + 0.5 * weights[p] * max(
+        near[parent(p)], near[p], near.get(parent(parent(p)), 0.0)) for p, r in ratio.items()}
     best = max(fused.values(), default=0.0)
     return {p for p, v in fused.items() if v >= share * best}
 
 
 def main_text(source: str | None, share: float = SHARE) -> str:
     """The article of a page, one line per block."""
-    nodes = Page(source or "").nodes
-    chosen = content_paths(nodes, share)
+    page = Page(source or "")
+    chosen, links = content_paths(page, share), of_links(page.nodes)
     blocks: dict[int, list[str]] = {}
-    for block, path, text, _ in nodes:
-        if path in chosen:
+    for block, path, text, _ in page.nodes:
+        if (f"{path}/a" if (block, path) in links else path) in chosen:
             blocks.setdefault(block, []).append(text)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n".join(x for x in lines if x)
