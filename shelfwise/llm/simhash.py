@@ -16,14 +16,8 @@ large cell and no pair is lost. Equal fingerprints are merged before all this.
 Components: alternating large-star and small-star steps over the links (a constant number of
 rows per link), until nothing changes; every step is written to the checkpoint folder.
 
-``similar_texts`` uses the same grid to find texts whose sets of five-word shingles have a
-Jaccard similarity of 0.8 or more. Such pairs often differ in more than 3 bits, so it takes
-``tables`` independent fingerprints (of two-word shingles, which edits change less) and links
-within 7 bits: quarters of 16 bits instead of halves, one of which is then within 1. Every row also carries a sketch of the shingle set
-(one bit of the least hash in each of ``SKETCH`` bins); a pair is linked in the cell if its fingerprints are within
-7 bits and the similarity by the sketch is at least the wanted one less ``SLACK``, one standard
-error of the sketch at 0.8. So similarity is an estimate there, and a pair is missed if it is
-beyond 7 bits in all tables. Equal word sequences are merged before (by a 64-bit hash).
+``first_of_each`` keeps one row of every component, decided on narrow rows: the row with the
+smallest key of each fingerprint is found first, then the smallest of each component.
 
 Defined cases: a null, empty or blank text has fingerprint zero and is linked like any other;
 repeated rows share a component; a null key gets a component but never names one (the component
@@ -40,9 +34,10 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import put, stored, utf8
+from shelfwise.llm.common import fresh, put, stored, utf8
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -50,15 +45,6 @@ SEED = 42
 HOT_CELL = 20_000
 _FIELDS = 0x55555555
 
-WIDE_BITS = 7
-WIDE_PARTS = 4
-TABLES = 2
-CANDIDATE_SHINGLE = 2
-SET_SHINGLE = 5
-SIMILARITY = 0.8
-SKETCH = 256
-SLACK = 0.0375
-
 
 def shingle_hashes(body: bytes, size: int = SHINGLE) -> np.ndarray:
     """XXH64 of every word shingle; the whole sequence if it has fewer words."""
@@ -107,54 +93,44 @@ def embedding(part: Column) -> Column:
     return part.bitwiseAND(low) + F.shiftrightunsigned(part, 1).bitwiseAND(low)
 
 
-def grid(fps: DataFrame, parts: int = 2) -> DataFrame:
-    """Rows (cell, resident, all of ``fps``): own cells, and for odd parity the cells next to it.
+def grid(fps: DataFrame) -> DataFrame:
+    """Rows (cell, resident, fp): own cells, and for odd parity the cells next to it.
 
-    Fingerprints that differ in fewer than ``2 * parts`` bits meet in a cell of some part.
+    Fingerprints that differ in up to 3 bits meet in a cell of some half.
     """
-    fp, carried, width = F.col("fp"), fps.columns, 64 // parts
-    mask = F.lit((1 << width) - 1)
-    cut = fps.select(*carried, F.posexplode(F.array(*[
-        F.shiftrightunsigned(fp, width * i).bitwiseAND(mask) for i in range(parts)])).alias("part", "bits"))
-    cut = cut.select(*carried, "part", embedding(F.col("bits")).alias("own"),
+    fp = F.col("fp")
+    mask = F.lit((1 << 32) - 1)
+    cut = fps.select("fp", F.posexplode(F.array(*[
+        F.shiftrightunsigned(fp, 32 * i).bitwiseAND(mask) for i in range(2)])).alias("part", "bits"))
+    cut = cut.select("fp", "part", embedding(F.col("bits")).alias("own"),
                      (F.bit_count("bits") % 2).alias("odd"))
     field = lambda i: F.expr(f"shiftright(own, {i})").bitwiseAND(F.lit(3))
     ups = F.array_compact(F.array(*[
-        F.when(field(2 * i) < 2, F.col("own") + F.lit(1 << 2 * i)) for i in range(width // 2)]))
+        F.when(field(2 * i) < 2, F.col("own") + F.lit(1 << 2 * i)) for i in range(16)]))
     downs = F.array_compact(F.array(*[
-        F.when(field(2 * i) > 0, F.col("own") - F.lit(1 << 2 * i)) for i in range(width // 2)]))
+        F.when(field(2 * i) > 0, F.col("own") - F.lit(1 << 2 * i)) for i in range(16)]))
     visits = F.when(F.col("odd") == 1, F.concat(ups, downs)).otherwise(
         F.array().cast("array<bigint>"))
     every = F.concat(F.array(F.struct(F.col("own").alias("cell"), F.lit(True).alias("resident"))),
                      F.transform(visits, lambda c: F.struct(c.alias("cell"), F.lit(False).alias("resident"))))
-    return cut.select(*carried, "part", F.explode(every).alias("c")).select(
-        (F.col("c.cell") * parts + F.col("part")).alias("cell"), F.col("c.resident").alias("resident"),
-        *carried)
-
+    return cut.select("fp", "part", F.explode(every).alias("c")).select(
+        (F.col("c.cell") * 2 + F.col("part")).alias("cell"), F.col("c.resident").alias("resident"), "fp")
 
-def forest(
-    x: np.ndarray, residents: int, bits: int, node: np.ndarray, sketch: np.ndarray, differ: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links of the first ``residents`` with all of ``x``, by node.
 
-    A link needs at most ``bits`` different bits in the fingerprints and at most ``differ`` in
-    the sketches (one row of words per 64 bits; none: no sketch).
-    """
+def forest(x: np.ndarray, residents: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links (up to ``bits`` different) of the first ``residents`` with all of ``x``."""
     label = np.arange(len(x))
     for i in range(residents):
         near = np.flatnonzero(np.bitwise_count(x[i + 1:] ^ x[i]) <= bits) + i + 1
-        if len(near) and len(sketch):
-            apart = np.bitwise_count(sketch[:, near] ^ sketch[:, i: i + 1]).sum(axis=0, dtype=np.int64)
-            near = near[apart <= differ]
         if len(near):
             met = np.unique(np.append(label[near], label[i]))
             if len(met) > 1:
                 label[np.isin(label, met)] = met[0]
     linked = np.flatnonzero(label != np.arange(len(x)))
-    return node[linked], node[label[linked]]
+    return x[linked], x[label[linked]]
 
 
-def cell_links(bits: int, differ: int = 0):
+def cell_links(bits: int):
     """Links of all cells of a partition that is sorted by its cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +159,7 @@ def cell_links(bits: int, differ: int = 0):
             for k in np.flatnonzero((ends - starts > 1) & (residents > 0)):
                 part = rows[:, starts[k]: ends[k]]
                 part = part[:, np.argsort(-part[4], kind="stable")].view(np.uint64)
-                one, two = forest(part[3], int(residents[k]), bits, part[5], part[6:], differ)
+                one, two = forest(part[3], int(residents[k]), bits)
                 a.append(one)
                 b.append(two)
             if a:
@@ -194,35 +170,21 @@ def cell_links(bits: int, differ: int = 0):
     return run
 
 
-def links(
-    fps: DataFrame, bits: int = MAX_BITS, hot_cell: int = HOT_CELL, parts: int = 2, differ: int = 0
-) -> DataFrame:
-    """Links (a, b) that connect exactly what pairs within ``bits`` connect.
-
-    ``fps``: distinct fp; or fp, node, tab (the fingerprint's table) and the sketch's columns.
-    Links are between nodes, by default the fingerprints themselves.
-    """
-    if bits >= 2 * parts:
-        raise ValueError(f"{parts} parts find up to {2 * parts - 1} bits")
-    known = "node" in fps.columns
-    rows = grid(fps, parts)
-    if known:
-        rows = rows.withColumn("cell", F.col("cell") * F.lit(64) + F.col("tab")).drop("tab")
-    else:
-        rows = rows.withColumn("node", F.col("fp"))
-    sketch = [c for c in rows.columns if c not in ("cell", "resident", "fp", "node")]
+def links(fps: DataFrame, bits: int = MAX_BITS, hot_cell: int = HOT_CELL) -> DataFrame:
+    """Links (a, b) that connect exactly what pairs of the distinct ``fp`` within ``bits`` connect."""
+    if bits > 3:
+        raise ValueError("two halves find up to 3 bits")
+    rows = grid(fps)
     hot = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_cell)
     hot = hot.select("cell", F.ceil(F.col("n") / hot_cell).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread = rows.join(hot, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    spread = spread.select(
-        "cell", "fp", "resident", "node", *sketch, own.alias("own"), other.alias("other")
-    ).select(
+    spread = spread.select("cell", "fp", "resident", own.alias("own"), other.alias("other")).select(
         "cell", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "fp",
-        F.col("resident").cast("int").alias("resident"), "node", *sketch)
+        F.col("resident").cast("int").alias("resident"))
     dealt = spread.repartition("cell", "p", "q").sortWithinPartitions("cell", "p", "q")
-    return dealt.mapInArrow(cell_links(bits, differ), "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(cell_links(bits), "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -253,97 +215,11 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit (fixed values: splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _set_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Distinct hashes of the shingles of hashed words; the whole sequence if it is shorter."""
-    size = min(size, len(words))
-    n = len(words) - size + 1
-    found = np.zeros(n, dtype=np.uint64)
-    for j in range(size):
-        found = _mixed(found * np.uint64(0x9E3779B97F4A7C15) + words[j: j + n])
-    return np.unique(found)
-
-
-#: The order in which an empty bin (row) looks at the other bins for a value.
-_RANKS = np.random.default_rng(SEED).random((SKETCH, SKETCH)).argsort(axis=1).astype(np.uint16)
-
-
-def set_sketch(hashes: np.ndarray) -> np.ndarray:
-    """One bit of the least hash of each of ``SKETCH`` bins; ``hashes`` ascend and are not empty.
-
-    An empty bin takes the value of the first filled bin in its own fixed order.
-    """
-    least = np.zeros(SKETCH, dtype=np.uint64)
-    filled = np.zeros(SKETCH, dtype=bool)
-    bins = (hashes & np.uint64(SKETCH - 1)).astype(np.int64)[::-1]
-    least[bins] = hashes[::-1]  # the last one written is the least
-    filled[bins] = True
-    gaps, lenders = np.flatnonzero(~filled), np.flatnonzero(filled)
-    if len(gaps):
-        least[gaps] = least[lenders[_RANKS[gaps[:, None], lenders].argmin(axis=1)]]
-    return np.packbits((_mixed(least) & np.uint64(1)).astype(bool), bitorder="little").view(np.int64)
-
-
-def bit_majority(hashes: np.ndarray) -> int:
-    """The SimHash of hashed shingles as a signed 64-bit number."""
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(hashes), 65_536):
-        part = hashes[i: i + 65_536]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(
-            axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
-
-
-def text_profile(body: bytes, tables: int = TABLES) -> list[int]:
-    """Hash of the word sequence, one fingerprint per table, the words of the set's sketch."""
-    words = body.lower().split()
-    if not words:
-        return [0] * (1 + tables + SKETCH // 64)
-    node = xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    digest = xxhash.xxh64_intdigest
-    hashed = np.fromiter(map(digest, words), dtype=np.uint64, count=len(words))
-    short = _set_hashes(hashed, CANDIDATE_SHINGLE)
-    prints = [bit_majority(_mixed(short + np.uint64(t))) for t in range(tables)]
-    return [node - (1 << 64) if node >> 63 else node, *prints,
-            *set_sketch(_set_hashes(hashed, SET_SHINGLE)).tolist()]
-
-
-def similar_texts(
-    docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY,
-    bits: int = WIDE_BITS, tables: int = TABLES, hot_cell: int = HOT_CELL,
-) -> DataFrame:
-    """(key, component_id) of all rows; texts of that similarity (five-word shingles) are linked.
-
-    component_id is the smallest key reachable (null if a group has null keys only).
-    """
-    words = SKETCH // 64
-
-    @F.pandas_udf("array<bigint>")
-    def profiled(batch: pd.Series) -> pd.Series:
-        return pd.Series([text_profile(b, tables) for b in utf8(batch)], dtype=object)
-
-    rows = stored(docs.select(
-        F.col(f"`{key}`").alias("id"), profiled(F.col(f"`{text}`")).alias("v")
-    ).select("id", F.col("v")[0].alias("node"), F.slice("v", 2, tables + words).alias("v")))
-    of_text = rows.groupBy("node").agg(F.min("id").alias("id"), F.first("v").alias("v"))
-    reps = stored(of_text)
-    sketch = [F.col("v")[tables + i].alias(f"s{i}") for i in range(words)]
-    fps = reps.select("node", *sketch, F.posexplode(F.slice("v", 1, tables)).alias("tab", "fp"))
-    # Two one-bit minimum hashes differ with probability (1 - similarity) / 2.
-    differ = int(SKETCH * (1 - (similarity - SLACK)) / 2)
-    roots = components(links(fps, bits, hot_cell, WIDE_PARTS, differ))
-    member = reps.select("node", "id").join(roots.withColumnRenamed("node", "_node"),
-                                            F.col("node") == F.col("_node"), "left").select(
-        "node", "id", F.coalesce("root", "node").alias("root"))
-    named = member.groupBy("root").agg(F.min("id").alias("component_id"))
-    of = member.join(named, "root").select("node", "component_id")
-    return rows.join(of, "node").select(F.col("id").alias(key), "component_id")
+def _rooted(distinct: DataFrame, bits: int) -> DataFrame:
+    """Distinct fingerprints with the smallest fingerprint of their component in ``root``."""
+    roots = components(links(distinct.select("fp"), bits))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").drop("node").withColumn(
+        "root", F.coalesce("root", "fp"))
 
 
 def near_duplicates(
@@ -359,9 +235,7 @@ def near_duplicates(
     ids = stored(docs.select(
         F.col(f"`{key}`").alias("id"), fingerprints(F.col(f"`{text}`"), size).alias("fp")))
     distinct = stored(ids.groupBy("fp").agg(F.min("id").alias("id")))
-    roots = components(links(distinct.select("fp"), bits))
-    member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "id", F.coalesce("root", "fp").alias("root"))
+    member = _rooted(distinct, bits)
     named = member.groupBy("root").agg(F.min("id").alias("component_id"))
     of = member.join(named, "root").select("fp", "component_id")
     if keep is not None and set(kept) <= {key}:
@@ -369,7 +243,31 @@ def near_duplicates(
         rows = rows if kept else rows.drop(key)
         joined = rows.join(of, "fp")
     else:
+        own = fresh(docs, "_fp")
         base = docs.select(*[F.col(f"`{c}`") for c in kept],
-                           fingerprints(F.col(f"`{text}`"), size).alias("_fp"))
-        joined = base.join(of, base["_fp"] == of["fp"]).drop("_fp")
+                           fingerprints(F.col(f"`{text}`"), size).alias(own))
+        joined = base.join(of.withColumnRenamed("fp", "_of"), F.col(own) == F.col("_of")).drop("_of")
+        return put(joined, {"fingerprint": as_hex(F.col(own))}).drop(own)
     return put(joined, {"fingerprint": as_hex(F.col("fp"))}).drop("fp")
+
+
+def first_of_each(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, bits: int = MAX_BITS,
+) -> DataFrame:
+    """One row of every component, as it came: the one with the smallest key, nulls last.
+
+    Rows are told apart by all their columns, so different texts under one key, or under none, are
+    different rows; of equal keys the row with the smaller hash stays.
+    """
+    hashed = F.struct(*[F.xxhash64(F.lit(i), *[F.col(f"`{c}`") for c in docs.columns]).alias(f"h{i}") for i in range(2)])
+    mark = fresh(docs, "_row")
+    rows = docs.withColumn(mark, hashed)
+    rank = F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("id"), F.col(mark).alias("row"))
+    narrow = rows.select(fingerprints(F.col(f"`{text}`"), size).alias("fp"), rank.alias("rank"))
+    distinct = stored(narrow.groupBy("fp").agg(F.min("rank").alias("rank")))
+    stay = _rooted(distinct, bits).groupBy("root").agg(F.min("rank").alias("rank")).select(
+        F.col("rank.row").alias("_stay"))
+    kept = rows.join(stay, F.col(mark) == F.col("_stay")).drop("_stay")
+    one = W.partitionBy(mark).orderBy(mark)  # equal rows: any of them
+    return kept.withColumn(fresh(docs, "_n"), F.row_number().over(one)).where(
+        F.col(fresh(docs, "_n")) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

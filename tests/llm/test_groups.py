@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -95,44 +96,48 @@ def test_fingerprint_links(spark, docs, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
-def shingle_set(text):
-    words = (text or "").encode().lower().split()
-    return {tuple(words[i: i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-
-def test_similar_texts(spark, docs, nothing):
-    draw = np.random.default_rng(12)
-    vocabulary = [f"w{i}" for i in range(2_000)]
-    bodies, pairs = [], []
-    for _ in range(150):
-        words = draw.choice(vocabulary, 300).tolist()
-        bodies.append(" ".join(words))
-        edited = list(words)
-        for at in draw.choice(300, int(draw.integers(1, [9, 40][len(pairs) % 2])), replace=False):
-            edited[at] = str(draw.choice(vocabulary))
-        pairs.append((len(bodies) - 1, len(bodies)))
-        bodies.append(" ".join(edited).upper())
-    df = spark.createDataFrame(list(enumerate(bodies)), "doc_id bigint, text string")
-    for hot in (20_000, 40):
-        of = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(df, hot_cell=hot).collect()}
-        found, wrong, wanted = 0, 0, 0
-        for a, b in pairs:
-            x, y = shingle_set(bodies[a]), shingle_set(bodies[b])
-            alike = len(x & y) / len(x | y)
-            if alike >= 0.8:
-                wanted += 1
-                found += of[b] == a
-            elif alike < 0.7:
-                wrong += of[b] != b
-        assert wanted > 50 and found >= 0.9 * wanted and wrong == 0
-    rows = simhash.similar_texts(docs).collect()
-    assert len(rows) == docs.count()
-    of, same = {r["doc_id"]: r["component_id"] for r in rows}, defaultdict(set)
-    for r in docs.where("doc_id is not null").collect():
-        same[" ".join((r["text"] or "").split())].add(of[r["doc_id"]])
-    assert all(len(v) == 1 for v in same.values())
-    assert simhash.similar_texts(nothing).count() == 0
-    assert simhash.similar_texts(docs.where("doc_id is null")).collect()[0]["component_id"] is None
+def plain_fingerprint(text):
+    """Bit by bit, from the definition."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or "").encode())
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i: i + 3]) for i in range(max(1, len(words) - 2))]
+    h = [xxhash.xxh64_intdigest(x, 42) for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def plain_groups(texts):
+    """The smallest place linked to each text, by comparing all pairs again and again."""
+    prints = [plain_fingerprint(t) for t in texts]
+    root = list(range(len(texts)))
+    near = [[j for j in range(len(texts)) if (prints[i] ^ prints[j]).bit_count() <= 3] for i in range(len(texts))]
+    changed = True
+    while changed:
+        changed = False
+        for i, js in enumerate(near):
+            least = min(root[j] for j in js)
+            changed |= least < root[i]
+            root[i] = least
+    return prints, root
+
+
+def test_fingerprints_and_kept_rows(spark, docs, nothing):
+    rows = sorted((tuple(r) for r in docs.collect()), key=lambda r: (r[0] is None, r[0] or 0))
+    prints, root = plain_groups([r[1] for r in rows])
+    found = Counter((r["doc_id"], r["text"], r["fingerprint"]) for r in simhash.near_duplicates(docs).collect())
+    assert found == Counter((r[0], r[1], f"{p:016x}") for r, p in zip(rows, prints))
+    kept = simhash.first_of_each(docs)
+    assert kept.columns == docs.columns
+    assert Counter(map(tuple, kept.collect())) == Counter(rows[i] for i in set(root))
+    assert simhash.first_of_each(nothing).count() == 0
+
+
+def test_no_row_is_lost_for_its_key(spark):
+    """Four different texts under the keys null, 1, 1 and 2, and copies."""
+    make = lambda n: " ".join(f"w{n}x{i}" for i in range(60))
+    rows = [(None, make(1)), (1, make(2)), (1, make(3)), (2, make(4)), (2, make(4)), (7, make(4)), (None, make(2))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, simhash.first_of_each(df).collect())) == Counter(rows[:4])
 
 
 def covered(bodies, length):
@@ -221,16 +226,9 @@ def test_pipeline(spark):
                 labels.where("quality = 1"), "doc_id").count()
         elif name == "near_duplicates":
             assert docs.count() == docs.select("text").distinct().count() <= before.count()
-            sets = [shingle_set(r["text"]) for r in docs.collect()]
-            holders = defaultdict(Counter)
-            where = defaultdict(list)
-            for i, x in enumerate(sets):
-                for g in x:
-                    for j in where[g]:
-                        holders[i][j] += 1
-                    where[g].append(i)
-            left = [n / len(sets[i] | sets[j]) for i, c in holders.items() for j, n in c.items()]
-            assert sum(x >= 0.85 for x in left) == 0
+            rows = sorted((tuple(r) for r in before.collect()), key=lambda r: r[0])
+            _, root = plain_groups([r[1] for r in rows])
+            assert Counter(map(tuple, docs.collect())) == Counter(rows[i] for i in set(root))
         elif name == "repeated_passages":
             bodies = [(r["text"] or "").encode() for r in before.collect()]
             want = sorted(x[2] for x in covered(bodies, corpus_pipeline.PASSAGE_BYTES))
