@@ -7,7 +7,6 @@ returns the columns of documents; the last one returns the pieces of packed sequ
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfwise.llm import mixing, packing, quality, simhash, suffixes
@@ -29,13 +28,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-duplicates: the document with the smallest id of each group stays.
 
-    Groups link texts whose five-word shingles have a similarity of 0.8 or more.
+    Groups link fingerprints of three-word shingles that differ in 3 bits or fewer.
     """
-    groups = simhash.similar_texts(docs)
-    stay = groups.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    kept = docs.join(stay, "doc_id", "left_semi")
-    one = W.partitionBy("doc_id").orderBy(F.md5(F.col("text").cast("binary")))
-    return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*COLUMNS)
+    return simhash.first_of_each(docs).select(*COLUMNS)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
