@@ -43,6 +43,8 @@ SAMPLE = 2_000
 RECALL = 0.96
 HOT_BUCKET = 50_000
 REACH = 3
+#: Buckets that a query visits per table at most; beyond, the index takes fewer hashes.
+MOST_PROBES = 1_024
 QUERY_BLOCK = 2_000
 _BITS = 12
 
@@ -126,7 +128,11 @@ def make_index(
     sample: np.ndarray, k: int, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH,
     recall: float = RECALL, seed: int = 5,
 ) -> Index:
-    """Draw the hashes and choose width and probes on the sample."""
+    """Draw the hashes and choose width and probes on the sample.
+
+    Where the most probes allowed miss the wanted recall, there are fewer hashes per table, whose
+    buckets are larger; with one hash per table the search fails instead of missing it silently.
+    """
     draw = np.random.default_rng(seed)
     d = sample.shape[1]
     pairs = draw.integers(0, len(sample), size=(2, 4_000))
@@ -140,7 +146,7 @@ def make_index(
         return Index(index.planes, index.shifts, size, tables, hashes, min(most, 256))
     asked = np.arange(0, len(sample), max(1, len(sample) // 100))
     own = index.buckets(sample)
-    visits = index.visits(sample[asked], min(most, 1024))
+    visits = index.visits(sample[asked], min(most, MOST_PROBES))
     place = np.full((len(asked), len(sample)), 1 << 30)
     for i in range(len(asked)):
         for t in range(tables):
@@ -154,7 +160,11 @@ def make_index(
         dist[a] = np.inf
         needed.extend(place[i, np.argsort(dist, kind="stable")[:k]] + 1)
     probes = int(np.quantile(needed, recall, method="higher"))
-    return Index(index.planes, index.shifts, size, tables, hashes, max(8, min(probes, most, 1024)))
+    if probes > min(most, MOST_PROBES):
+        if hashes == 1:
+            raise ArithmeticError(f"no number of probes reaches a recall of {recall}")
+        return make_index(sample, k, tables, hashes - 1, width, recall, seed)
+    return Index(index.planes, index.shifts, size, tables, hashes, max(8, probes))
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
