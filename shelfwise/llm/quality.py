@@ -24,6 +24,7 @@ from operator import eq
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import put, utf8
@@ -153,7 +154,10 @@ def fit_quality(
 
     joined = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")).join(
         F.broadcast(picked), "_key")  # bounded: max_labels rows of two numbers
-    rows = joined.select("_label", vectors("_text").alias("x")).limit(2 * max_labels).collect()
+    # One row per label: of a repeated key, the text with the smallest hash.
+    one = W.partitionBy("_key", "_label").orderBy(F.xxhash64("_text"))
+    once = joined.withColumn("_n", F.row_number().over(one)).where("_n = 1")
+    rows = once.select("_label", vectors("_text").alias("x")).collect()
     x = np.array([r["x"] for r in rows], dtype=float)
     return fit_arrays(x, np.array([r["_label"] == 1 for r in rows], dtype=bool), cut, max_pairs)
 
