@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
@@ -25,6 +27,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(place)
 
 
+def wait_for(spark: SparkSession, path: str, seconds: float = 10.0) -> bool:
+    """Wait until a file is there; False if it does not come (its writer was lost)."""
+    until = time.monotonic() + seconds
+    while not exists(spark, path):
+        if time.monotonic() > until:
+            return False
+        time.sleep(0.05)
+    return True
+
+
 def create_new(spark: SparkSession, path: str, text: str) -> bool:
     """Write a file that does not exist yet; False (and nothing written) where it does.
 

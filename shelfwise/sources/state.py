@@ -224,6 +224,7 @@ def append_run(run: DataFrame, path: str, seen: int | None = None) -> int:
         text = row.withColumn("log_version", F.lit(version).cast("bigint")).toJSON().first()
         if files.create_new(spark, f"{path}/{run_file(version)}", text + "\n"):
             return version
+        files.wait_for(spark, f"{path}/{run_file(version)}")  # its writer may still be at it
         version += 1
 
 

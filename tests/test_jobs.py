@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfwise import Forecaster, TrainConfig, detect_roles, health, retrain_if_needed, save, train
 from shelfwise.operators import models
 from shelfwise.operators.ordering import Layout
+from shelfwise.plans.champion import load_champion
 from shelfwise.plans.monitor import align, decide, promoted
 from shelfwise.sources import state
 from shelfwise.sources.readers import from_json_column, read_csv, read_json
@@ -255,11 +256,13 @@ def test_only_a_better_run_is_approved(spark, tmp_path):
     save(trained, spark, path, "v2", approved=False)
     run = state.current_run(spark, path)
     assert run.model_version == "v1" and state.read_runs(spark, f"{path}/runs").count() == 2
-    assert not promoted(spark, run, trained)  # equal is not better
-    moved = raw.withColumn("sales", F.col("sales") * 3 + 500)
+    champion = load_champion(spark, path)
+    assert not promoted(train(raw, ridge, champion))  # equal is not better
     poor = small_config(candidates=[models.ridge_candidate(regParam=1e9)], baselines={},
                         selection_metric="rmse")
-    assert retrain_if_needed(spark, moved, path, poor, "v3").best == "ridge"
+    worse = train(raw, poor, champion)
+    assert worse.best == "ridge" and not promoted(worse)
+    save(worse, spark, path, "v3", approved=promoted(worse))
     assert state.current_run(spark, path).model_version == "v1"
     assert state.read_runs(spark, f"{path}/runs").count() == 3
 
