@@ -13,4 +13,4 @@ def test_fewer_hashes_where_probes_do_not_suffice():
     narrow = ann.make_index(sample, 10, width=0.5)
     assert narrow.hashes < ann.HASHES and narrow.probes <= ann.MOST_PROBES
     with pytest.raises(ArithmeticError, match="recall"):
-        ann.make_index(sample, 10, width=1e-6)
+        ann.make_index(sample, 10, width=0.1)
