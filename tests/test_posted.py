@@ -8,7 +8,6 @@ from datetime import date, datetime, timedelta
 import pytest
 from frames import ROLES, TICK_SCHEMA, TICKS, panel, tick_rows
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shelfwise import Forecaster, TrainConfig, health, retrain_if_needed, save, train
 from shelfwise.operators import evaluate, models, sketches, tails
