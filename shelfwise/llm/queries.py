@@ -55,8 +55,8 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return suffixes.cut_repeats(docs, with_text=False).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffixes.cut_repeats(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
 
 
 def op8_language_model(spark: SparkSession, folder: str) -> DataFrame:
