@@ -51,7 +51,7 @@ def plain_vector(text, book):
 
 
 def test_language_profiles_by_loops(spark):
-    rows = [(0, "aa", "the cat, the dog"), (1, "aa", "The THEN that"), (2, "bb", "été élan 12 vélo"), (3, "bb", "île é!"), (4, "cc", "zz zy yz")]
+    rows = [(0, "aa", "the cat, the dog"), (1, "aa", "The THEN that"), (2, "bb", "été élan 12 vélo"), (3, "bb", "île é"), (4, "cc", "zz zy yz")]
     rows = [(i, lang, t.replace("î", "i")) for i, lang, t in rows]
     model = langid.fit_profiles(spark.createDataFrame(rows, "doc_id long, lang string, text string"), dimensions=256)
     book = langid.Codebook(256)
