@@ -5,9 +5,10 @@ import random
 import struct
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from shelfwise.operators.quantiles import exact_quantiles, order_key, value_of, values_at_ranks
+from shelfwise.operators.quantiles import exact_quantiles, order_keys, value_of, values_at_ranks
 
 PROBS = [i / 10 for i in range(11)] + [0.333]
 
@@ -58,7 +59,9 @@ def test_order_key_is_the_bits(spark):
         x = math.ldexp(1.0, e)
         values += [x, math.nextafter(x, 0), math.nextafter(x, math.inf), -x, x * draw.uniform(1, 2)]
     values = [v for v in values if v == v]
-    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", order_key(F.col("x")).alias("k")).collect()
+    df = spark.createDataFrame([(v,) for v in values], "x double").select("x", F.col("x").alias("k"))
+    both = order_keys(df, ["x", "k"]).select("k").collect()
+    rows = [Row(x=v, k=r.k) for v, r in zip(values, both)]
     for r in rows:
         bits = struct.unpack("<q", struct.pack("<d", abs(r.x)))[0]
         assert r.k == (-bits if r.x < 0 else bits) and value_of(r.k) == r.x
