@@ -7,15 +7,16 @@ unknown words. So P(text) is the exact likelihood of the class sequence under th
 states (scaled forward recursion over the whole text) times the words' shares of their classes,
 and the probabilities of all texts sum to one.
 
-Training. Word counts: each task counts, Spark sums; they stay a distributed table. States:
-Baum-Welch. It starts on a bounded sample of whole texts; then every full iteration runs over
-all training texts, each task adds up its expected counts and Spark sums them by class block.
-For these expectations long texts are taken in stretches of ``stretch`` words (scores never
+Training. Word counts: each task counts, Spark sums; they stay a distributed table. Each text
+is then written once as its class sequence, with its words outside the head. States: Baum-Welch;
+every iteration, from the first to the last and at every size, runs over the class sequences of
+all training texts: each task adds up its expected counts and Spark sums them by class block.
+For these expectations long texts are taken in stretches of ``STRETCH`` words (scores never
 are). What reaches driver and tasks has a fixed size: head words, class totals and the states'
 tables.
 
-Scoring: one pass gives the likelihood of classes and the head words' counts; the other words
-of a text are looked up by a join with the count table.
+Scoring: one pass over the class sequences gives their likelihood and the head words' part of
+the base score; the other words of a text are looked up by a join with the count table.
 
 Defined cases: a null or empty text is the end token alone; with no training text all words
 are unknown; a null key is carried along (its fold is that of the empty text); repeated rows
@@ -24,6 +25,7 @@ are scored each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -41,8 +43,8 @@ HEAD = 50_000
 HEAD_BYTES = 64
 BUCKETS = 4_096
 STATES = 8
+#: Iterations over all training texts: the two numbers are added up.
 ITERATIONS = 2
-SAMPLE_TEXTS = 4_000
 SAMPLE_ITERATIONS = 10
 STRETCH = 1_024
 BLOCK = 1_024
@@ -50,6 +52,12 @@ END = b""
 PRIOR = 50.0
 TASK_WORDS = 400_000
 BATCH_TOKENS = 400_000
+#: Tokens whose sequences are put in order of length before they are dealt into batches.
+SORTED_TOKENS = 8 * BATCH_TOKENS
+#: Steps between two scalings; a step shrinks a row to 1e-20 of itself at worst, a double holds 1e-308.
+SCALED_STEPS = 8
+#: Files of class sequences that one task may take, where that leaves tasks for all cores.
+TASK_FILES = 4
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -102,9 +110,10 @@ class Classes:
         return len(self.head) + zlib.crc32(word[-4:]) % self.buckets
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        get, tail = self.head.get, self.tail
-        found = list(map(get, words))
-        return np.array([tail(w) if k is None else k for w, k in zip(words, found)], dtype=np.int32)
+        found = np.fromiter(map(self.head.get, words, itertools.repeat(-1)), np.int32, len(words))
+        for i in np.flatnonzero(found < 0).tolist():
+            found[i] = self.tail(words[i])
+        return found
 
     def shares(self) -> np.ndarray:
         """Smoothed probability of every class in the training tokens."""
@@ -153,67 +162,108 @@ class States:
 
 def _by_length(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by falling length; classes laid out step by step; number of rows of each step."""
-    order = np.argsort([-len(s) for s in seqs], kind="stable")
-    lengths = np.array([len(seqs[i]) for i in order])
-    longest = int(lengths[0])
-    active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(longest), side="right")
+    lengths = np.array([len(x) for x in seqs])
+    order = np.argsort(-lengths, kind="stable")
+    at = (np.cumsum(lengths) - lengths)[order]
+    lengths = lengths[order]
+    active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
     starts = np.concatenate([[0], np.cumsum(active)])
-    flat = np.empty(int(lengths.sum()), dtype=np.int32)
-    for row, i in enumerate(order):
-        flat[starts[: lengths[row]] + row] = seqs[i]
+    joined = np.concatenate(seqs).astype(np.intp)
+    flat = np.empty_like(joined)
+    edges = starts.tolist()
+    for a, b in zip(edges, edges[1:]):
+        now = at[: b - a]
+        np.take(joined, now, out=flat[a:b], mode="clip")
+        now += 1
     return order, flat, starts
 
 
 def forward(model: States, seqs: list[np.ndarray]) -> np.ndarray:
     """Natural log likelihood of every class sequence, by the scaled recursion."""
     order, flat, starts = _by_length(seqs)
+    s, edges = len(model.start), starts.tolist()
     total = np.zeros(len(seqs))
-    alpha = np.broadcast_to(model.start, (len(seqs), len(model.start)))
-    for t in range(len(starts) - 1):
-        n = starts[t + 1] - starts[t]
-        alpha = alpha[:n] if t == 0 else alpha[:n] @ model.move
-        alpha = alpha * model.emit[flat[starts[t]: starts[t + 1]]]
-        scale = alpha.sum(axis=1)
-        alpha = alpha / scale[:, None]
-        total[:n] += np.log(scale)
+    ones = np.ones(s)
+    alpha = model.emit[flat[: edges[1]]] * model.start
+    for t in range(1, len(edges)):
+        n = edges[t + 1] - edges[t] if t + 1 < len(edges) else 0
+        if n < len(alpha):  # these end here
+            total[n: len(alpha)] += np.log(alpha[n:] @ ones)
+        if not n:
+            break
+        alpha = alpha[:n] @ model.move
+        alpha *= model.emit[flat[edges[t]: edges[t + 1]]]
+        if t % SCALED_STEPS == 0:
+            scale = alpha @ ones
+            alpha /= scale[:, None]
+            total[:n] += np.log(scale)
     out = np.empty(len(seqs))
     out[order] = total
     return out
 
 
-def expected(model: States, seqs: list[np.ndarray], first: list[bool], into: list[np.ndarray]) -> None:
-    """Add the expected start, transition and emission counts of the sequences."""
+class Space:
+    """Arrays that are used again from batch to batch."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, np.ndarray] = {}
+
+    def array(self, name: str, *shape: int) -> np.ndarray:
+        n = int(np.prod(shape))
+        if len(self.held.get(name, ())) < n:
+            self.held[name] = np.empty(n)
+        return self.held[name][:n].reshape(shape)
+
+
+def expected(
+    model: States, seqs: list[np.ndarray], first: list[bool], into: list[np.ndarray],
+    space: Space | None = None,
+) -> None:
+    """Add the expected start, transition and emission counts of the sequences.
+
+    Backward rows begin with the inverse of the last forward sum and are scaled where the
+    forward rows were, so the product of both is the share of each state.
+    """
+    space = space or Space()
     order, flat, starts = _by_length(seqs)
-    s = len(model.start)
-    opening = np.array([first[i] for i in order])
-    steady = np.full(s, 1.0 / s)
-    alpha = np.where(opening[:, None], model.start, steady)
-    emits = model.emit[flat]
-    alphas = np.empty((len(flat), s))
-    scales = np.empty(len(flat))
-    for t in range(len(starts) - 1):
-        a, b = starts[t], starts[t + 1]
-        alpha = alpha if t == 0 else alpha[: b - a] @ model.move
-        alpha = alpha * emits[a:b]
-        scale = alpha.sum(axis=1)
-        alpha = alpha / scale[:, None]
-        alphas[a:b], scales[a:b] = alpha, scale
-    beta = np.ones((0, s))
+    s, edges = len(model.start), starts.tolist()
+    steps = len(edges) - 1
+    opening = np.array(first)[order]
+    ones = np.ones(s)
+    emits = np.take(model.emit, flat, axis=0, out=space.array("emits", len(flat), s), mode="clip")
+    alphas = space.array("alphas", len(flat), s)
+    alphas[: edges[1]] = np.where(opening[:, None], model.start, 1.0 / s) * emits[: edges[1]]
+    scales: dict[int, np.ndarray] = {}
+    for t in range(1, steps):
+        a, b = edges[t], edges[t + 1]
+        alpha = alphas[a:b]
+        np.matmul(alphas[edges[t - 1]:][: b - a], model.move, out=alpha)
+        alpha *= emits[a:b]
+        if t % SCALED_STEPS == 0:
+            scales[t] = (alpha @ ones)[:, None]
+            alpha /= scales[t]
+    back = np.ascontiguousarray(model.move.T)
     moves = np.zeros((s, s))
-    for t in range(len(starts) - 2, -1, -1):
-        a, b = starts[t], starts[t + 1]
-        grown = np.ones((b - a, s))
-        if len(beta):
-            n = len(beta)
-            ahead = beta * emits[b: b + n] / scales[b: b + n, None]
-            moves += alphas[a: a + n].T @ ahead
-            grown[:n] = ahead @ model.move.T
-        beta = grown
-        alphas[a:b] *= beta
-    into[0] += alphas[: starts[1]][opening].sum(axis=0)
+    held = space.array("held", s, len(flat))  # share of each state at each token
+    beta, ahead = np.empty((edges[1], s)), np.empty((edges[1], s))
+    n = 0
+    for t in range(steps - 1, -1, -1):
+        a, b = edges[t], edges[t + 1]
+        if n:
+            x = ahead[:n]
+            np.multiply(beta[:n], emits[b: b + n], out=x)
+            if t + 1 in scales:
+                x /= scales[t + 1]
+            moves += alphas[a: a + n].T @ x
+            np.matmul(x, back, out=beta[:n])
+        if b - a > n:  # these end here
+            beta[n: b - a] = 1.0 / (alphas[a + n: b] @ ones)[:, None]
+        n = b - a
+        np.multiply(beta[:n].T, alphas[a:b].T, out=held[:, a:b])
+    into[0] += held[:, : edges[1]][:, opening].sum(axis=1)
     into[1] += moves * model.move
     for k in range(s):
-        into[2][:, k] += np.bincount(flat, weights=alphas[:, k], minlength=model.emit.shape[0])
+        into[2][:, k] += np.bincount(flat, weights=held[k], minlength=model.emit.shape[0])
 
 
 def _empty(states: int, classes: int) -> list[np.ndarray]:
@@ -233,17 +283,29 @@ def stretches(classes: np.ndarray, stretch: int) -> Iterator[tuple[np.ndarray, b
         yield classes[i: i + stretch], i == 0
 
 
-def _grouped(items: Iterator[tuple[np.ndarray, bool]]) -> Iterator[tuple[list, list]]:
-    seqs, first, size = [], [], 0
-    for classes, opening in items:
-        seqs.append(classes)
-        first.append(opening)
-        size += len(classes)
-        if size >= BATCH_TOKENS:
-            yield seqs, first
-            seqs, first, size = [], [], 0
-    if seqs:
-        yield seqs, first
+def _near(items: Iterator[tuple[np.ndarray, object]]) -> Iterator[tuple[list, list]]:
+    """Batches of sequences and what goes with each; those of about equal length come together."""
+
+    def dealt(some: list) -> Iterator[tuple[list, list]]:
+        seqs, others, size = [], [], 0
+        for seq, other in sorted(some, key=lambda x: len(x[0])):
+            seqs.append(seq)
+            others.append(other)
+            size += len(seq)
+            if size >= BATCH_TOKENS:
+                yield seqs, others
+                seqs, others, size = [], [], 0
+        if seqs:
+            yield seqs, others
+
+    some, size = [], 0
+    for item in items:
+        some.append(item)
+        size += len(item[0])
+        if size >= SORTED_TOKENS:
+            yield from dealt(some)
+            some, size = [], 0
+    yield from dealt(some)
 
 
 def opening_states(classes: Classes, states: int = STATES, seed: int = 11) -> States:
@@ -255,19 +317,68 @@ def opening_states(classes: Classes, states: int = STATES, seed: int = 11) -> St
     return States(np.full(states, 1.0 / states), move, emit / emit.sum(axis=0))
 
 
-def baum_welch(texts: DataFrame, classes: Classes, model: States) -> States:
-    """One full iteration over all texts (one column)."""
-    s, size = len(model.start), classes.size
-    shared = texts.sparkSession.sparkContext.broadcast((classes, model))  # fixed size
+def read_texts(docs: DataFrame, classes: Classes, text: str = "text", key: str | None = "doc_id") -> DataFrame:
+    """Per row: id, the key k, the classes s as unsigned numbers, the words outside the head with
+    their counts in ``tail``; written to the shared folder."""
+    kind = _kind(classes)
+    shared = docs.sparkSession.sparkContext.broadcast(classes)  # fixed size
+    pair = pa.struct([("w", pa.binary()), ("n", pa.int64())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        head = len(own.head)
+        for batch in batches:
+            keys, bodies = batch.column(0), batch.column(1)
+            at = 0
+            while at < len(bodies):
+                seqs, ends, words, times, size = [], [0], [], [], 0
+                while at + len(seqs) < len(bodies) and size < BATCH_TOKENS:
+                    found = tokens(bodies[at + len(seqs)].as_py())
+                    seq = own.of(found)
+                    tail = Counter([found[i] for i in np.flatnonzero(seq >= head).tolist()])
+                    words.extend(tail)
+                    times.extend(tail.values())
+                    ends.append(len(words))
+                    seqs.append(seq.astype(kind).tobytes())
+                    size += len(found)
+                pairs = pa.StructArray.from_arrays(
+                    [pa.array(words, pa.binary()), pa.array(times, pa.int64())], fields=list(pair))
+                yield pa.RecordBatch.from_arrays([
+                    keys.slice(at, len(seqs)), pa.array(seqs, pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs, type=pa.list_(pair)),
+                ], names=["k", "s", "tail"])
+                at += len(seqs)
+
+    k = F.lit(0) if key is None else F.col(f"`{key}`")
+    rows = docs.select(k.alias("k"), F.col(f"`{text}`").alias("t"))
+    shape = f"k {rows.schema['k'].dataType.simpleString()}, s binary, tail array<struct<w:binary,n:bigint>>"
+    return written(rows.mapInArrow(read, shape).withColumn("id", F.monotonically_increasing_id()))
+
+
+def _kind(classes: Classes) -> np.dtype:
+    return np.min_scalar_type(classes.size)
+
+
+def _fewer_tasks(df: DataFrame) -> DataFrame:
+    """Every task sends tables of fixed size, so tasks take several files once all cores have some."""
+    files = df.rdd.getNumPartitions()
+    busy = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(1, min(files, busy), -(-files // TASK_FILES)))
+
+
+def baum_welch(sequences: DataFrame, classes: Classes, model: States) -> States:
+    """One full iteration over all class sequences (one column)."""
+    s, size, kind = len(model.start), classes.size, _kind(classes)
+    shared = sequences.sparkSession.sparkContext.broadcast(model)  # fixed size
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, now = shared.value
-        sums = _empty(s, size)
+        now = shared.value
+        sums, space = _empty(s, size), Space()
         pieces = (
-            piece for batch in batches for text in batch.column(0)
-            for piece in stretches(own.of(tokens(text.as_py())), STRETCH))
-        for group, first in _grouped(pieces):
-            expected(now, group, first, sums)
+            piece for batch in batches for seq in batch.column(0)
+            for piece in stretches(np.frombuffer(seq.as_py(), kind), STRETCH))
+        for group, first in _near(pieces):
+            expected(now, group, first, sums, space)
         rows = [(-1, sums[0]), (-2, sums[1])]
         rows += [(i // BLOCK, sums[2][i: i + BLOCK]) for i in range(0, size, BLOCK)]
         rows = [(k, v) for k, v in rows if v.any()]
@@ -286,7 +397,7 @@ def baum_welch(texts: DataFrame, classes: Classes, model: States) -> States:
              pa.array([v.tobytes() for v in found.values()], pa.binary())], names=["block", "v"])
 
     shape = "block bigint, v binary"
-    parts = texts.mapInArrow(count, shape).repartition("block").mapInArrow(add, shape)
+    parts = sequences.mapInArrow(count, shape).repartition("block").mapInArrow(add, shape)
     sums = _empty(s, size)
     for r in parts.collect():  # the states' tables, once
         v = np.frombuffer(r["v"])
@@ -300,26 +411,29 @@ def baum_welch(texts: DataFrame, classes: Classes, model: States) -> States:
     return maximised(sums, classes.shares())
 
 
+def fit_states(
+    sequences: DataFrame, classes: Classes, states: int = STATES, iterations: int = ITERATIONS,
+    sample_iterations: int = SAMPLE_ITERATIONS,
+) -> States:
+    """States from the class sequences (one column) of all training texts.
+
+    ``sample_iterations`` and ``iterations`` are added up; all of them run over all sequences.
+    """
+    model = opening_states(classes, states)
+    sequences = _fewer_tasks(sequences)
+    for _ in range(sample_iterations + iterations):
+        model = baum_welch(sequences, classes, model)
+    return model
+
+
 def fit(
     texts: DataFrame, counts: DataFrame, states: int = STATES, iterations: int = ITERATIONS,
-    head: int = HEAD, buckets: int = BUCKETS, sample_texts: int = SAMPLE_TEXTS, sample_iterations: int = SAMPLE_ITERATIONS,
+    head: int = HEAD, buckets: int = BUCKETS, sample_iterations: int = SAMPLE_ITERATIONS,
 ) -> tuple[Classes, States]:
     """Classes and states from the one text column and its word counts."""
-    text = texts.columns[0]
     classes = find_classes(counts, head, buckets)
-    model = opening_states(classes, states)
-    ends = int(classes.head_counts[0])  # one per text
-    if ends > sample_texts:
-        share = int(1_000_000 * sample_texts / ends)
-        few = texts.where(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < share).limit(2 * sample_texts)
-    else:
-        few = texts
-    few = written(few.repartition(8))
-    for _ in range(sample_iterations):
-        model = baum_welch(few, classes, model)
-    for _ in range(iterations):
-        model = baum_welch(texts, classes, model)
-    return classes, model
+    rows = read_texts(texts, classes, texts.columns[0], None)
+    return classes, fit_states(rows.select("s"), classes, states, iterations, sample_iterations)
 
 
 def score_texts(
@@ -327,52 +441,44 @@ def score_texts(
     text: str = "text", key: str = "doc_id",
 ) -> DataFrame:
     """Per row: the key, n_tokens, n_known, train_tokens, base_score and score (log10)."""
-    shared = docs.sparkSession.sparkContext.broadcast((classes, model))  # fixed size
-    places = classes.bucket_counts + classes.bucket_words + 1.0
-    head_logs = np.log10(classes.head_counts + 1.0)
+    return score_read(read_texts(docs, classes, text, key), counts, classes, model, key)
+
+
+def score_read(
+    rows: DataFrame, counts: DataFrame, classes: Classes, model: States, key: str = "doc_id",
+) -> DataFrame:
+    """The same for texts that are read already."""
+    kind, head = _kind(classes), len(classes.head)
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # fixed size
+    zeros = np.zeros(classes.buckets)
+    # By class: the head words' part of the base score, whether it is known, places in a bucket.
+    tables = rows.sparkSession.sparkContext.broadcast((
+        np.concatenate([np.log10(classes.head_counts + 1.0), zeros]),
+        np.concatenate([classes.head_counts > 0, zeros > 0]).astype(np.int64),
+        np.concatenate([np.zeros(head), np.log10(classes.bucket_counts + classes.bucket_words + 1.0)])))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, now = shared.value
-        known_head = own.head_counts > 0
-        for batch in batches:
-            bodies = batch.column(1)
-            at = 0
-            while at < len(bodies):
-                words, size = [], 0
-                while at + len(words) < len(bodies) and size < BATCH_TOKENS:
-                    words.append(tokens(bodies[at + len(words)].as_py()))
-                    size += len(words[-1])
-                seqs = [own.of(w) for w in words]
-                logs = forward(now, seqs) / np.log(10.0)
-                heads, known, shares, tails = [], [], [], []
-                for w, s in zip(words, seqs):
-                    inside = s < len(own.head)
-                    heads.append(float(head_logs[s[inside]].sum()))
-                    known.append(int(known_head[s[inside]].sum()))
-                    out = s[~inside] - len(own.head)
-                    shares.append(float(np.log10(places[out]).sum()))
-                    tail = Counter(w[i] for i in np.flatnonzero(~inside))
-                    tails.append([{"w": k, "n": n} for k, n in tail.items()])
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(at, len(words)),
-                    pa.array([len(w) for w in words], pa.int64()), pa.array(logs),
-                    pa.array(heads, pa.float64()), pa.array(known, pa.int64()),
-                    pa.array(shares, pa.float64()),
-                    pa.array(tails, pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())]))),
-                ], names=["k", "n_tokens", "hmm", "head", "head_known", "places", "tail"])
-                at += len(words)
-
-    kind = docs.schema[key].dataType.simpleString()
-    shape = (f"k {kind}, n_tokens bigint, hmm double, head double, head_known bigint, "
-             "places double, tail array<struct<w:binary,n:bigint>>")
-    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
-    passed = written(rows.mapInArrow(score, shape).withColumn("id", F.monotonically_increasing_id()))
-    spread = passed.select("id", F.explode("tail").alias("x")).select("id", "x.w", "x.n")
+        now, by_class = shared.value, tables.value
+        found = (
+            (np.frombuffer(s.as_py(), kind), i) for batch in batches
+            for i, s in zip(batch.column(0).to_pylist(), batch.column(1)))
+        for seqs, ids in _near(found):
+            lengths = np.array([len(s) for s in seqs])  # 1 or more: the end token
+            starts, joined = np.cumsum(lengths) - lengths, np.concatenate(seqs)
+            sums = [np.add.reduceat(t[joined], starts) for t in by_class]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()),
+                 pa.array(forward(now, seqs) / np.log(10.0)), *map(pa.array, sums)],
+                names=["id", "n_tokens", "hmm", "head", "head_known", "places"])
+
+    shape = "id bigint, n_tokens bigint, hmm double, head double, head_known bigint, places double"
+    passed = rows.select("id", "s").mapInArrow(score, shape)
+    spread = rows.select("id", F.explode("tail").alias("x")).select("id", "x.w", "x.n")
     looked = spread.join(counts, "w").groupBy("id").agg(
         F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("tail_log"), F.sum("n").alias("tail_known"))
     base = float(np.log10(classes.total + classes.distinct + 1.0))
     tail_log = F.coalesce("tail_log", F.lit(0.0))
-    return passed.drop("tail").join(looked, "id", "left").select(
+    return rows.select("id", "k").join(passed, "id").join(looked, "id", "left").select(
         F.col("k").alias(key), "n_tokens",
         (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(classes.total).cast("bigint").alias("train_tokens"),

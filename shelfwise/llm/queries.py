@@ -63,8 +63,10 @@ def op8_language_model(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     training = docs.where(fold(F.col("doc_id"), 7) != 2).select("text")
     counts = hmm.word_counts(training)
-    classes, states = hmm.fit(training, counts)
-    return hmm.score_texts(docs, counts, classes, states).select(
+    classes = hmm.find_classes(counts)
+    rows = hmm.read_texts(docs, classes)
+    states = hmm.fit_states(rows.where(fold(F.col("k"), 7) != 2).select("s"), classes)
+    return hmm.score_read(rows, counts, classes, states).select(
         "doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known",
         "train_tokens", "base_score", "score")
 

@@ -102,6 +102,53 @@ def test_language_model(docs, nothing):
     assert hmm.score_texts(nothing, counts, classes, states).count() == 0
 
 
+def plain_counts(model, seqs, first):
+    sums = [np.zeros(len(model.start)), np.zeros(model.move.shape), np.zeros(model.emit.shape)]
+    for seq, opening in zip(seqs, first):
+        start = model.start if opening else np.full(len(model.start), 1 / len(model.start))
+        ahead, back = [start * model.emit[seq[0]]], [np.ones(len(model.start))]
+        for c in seq[1:]:
+            ahead.append((ahead[-1] @ model.move) * model.emit[c])
+        for c in seq[:0:-1]:
+            back.insert(0, model.move @ (model.emit[c] * back[0]))
+        whole = ahead[-1].sum()
+        sums[0] += ahead[0] * back[0] / whole * opening
+        for t, c in enumerate(seq):
+            sums[2][c] += ahead[t] * back[t] / whole
+            if t:
+                sums[1] += ahead[t - 1][:, None] * model.move * (model.emit[c] * back[t]) / whole
+    return sums
+
+
+def test_hmm_expectations_of_long_sequences():
+    draw = np.random.default_rng(5)
+    model = hmm.States(draw.dirichlet(np.ones(3)), draw.dirichlet(np.ones(3), 3), draw.dirichlet(np.ones(9), 3).T)
+    seqs = [draw.integers(0, 9, n).astype(np.int32) for n in (1, 7, 8, 9, 17, 40, 40, 90)]
+    first = [True, False, True, True, False, True, True, False]
+    sums, space = hmm._empty(3, 9), hmm.Space()
+    for some in (slice(0, 5), slice(5, 8)):  # arrays are used again, larger and smaller
+        hmm.expected(model, seqs[some], first[some], sums, space)
+    for got, want in zip(sums, plain_counts(model, seqs, first), strict=True):
+        assert np.allclose(got, want, rtol=1e-10, atol=1e-12)
+    assert np.allclose(hmm.forward(model, seqs), [brute_likelihood(model, x) for x in seqs])
+
+
+def test_hmm_learns_from_all_texts_at_every_step(spark):
+    words = ["sea", "Salt", "wave", "tide", "road", "stone", "dust", "wheel"]
+    draw = np.random.default_rng(8)
+    bodies = [" ".join(words[k] for k in draw.integers(0, 4, 6) + 4 * (i % 2)) for i in range(4_500)]
+    bodies += [None, ""]
+    training = spark.createDataFrame([(b,) for b in bodies], "text string").repartition(5)
+    counts = hmm.word_counts(training)
+    classes, states = hmm.fit(training, counts, states=2, head=6, buckets=4, sample_iterations=2, iterations=1)
+    seqs = [classes.of(hmm.tokens(b)) for b in bodies]
+    model = hmm.opening_states(classes, 2)
+    for _ in range(3):
+        model = hmm.maximised(plain_counts(model, seqs, [True] * len(seqs)), classes.shares())
+    assert np.allclose(states.start, model.start) and np.allclose(states.move, model.move)
+    assert np.allclose(states.emit, model.emit)
+
+
 def test_packing_round_trip(spark, docs, nothing):
     from tokenizers import Tokenizer
 
