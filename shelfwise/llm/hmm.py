@@ -25,14 +25,13 @@ are scored each; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import itertools
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,14 +49,18 @@ STRETCH = 1_024
 BLOCK = 1_024
 END = b""
 PRIOR = 50.0
+#: Bytes of text that a task splits into words at once, and counted words that it holds.
+SPLIT_BYTES = 8 << 20
 TASK_WORDS = 400_000
-BATCH_TOKENS = 400_000
+BATCH_TOKENS = 600_000
 #: Tokens whose sequences are put in order of length before they are dealt into batches.
-SORTED_TOKENS = 8 * BATCH_TOKENS
+SORTED_TOKENS = 4 * BATCH_TOKENS
 #: Steps between two scalings; a step shrinks a row to 1e-20 of itself at worst, a double holds 1e-308.
 SCALED_STEPS = 8
 #: Files of class sequences that one task may take, where that leaves tasks for all cores.
 TASK_FILES = 4
+#: Rows that are transposed at once, few enough for a core's cache.
+TURNED = 4_096
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -65,25 +68,49 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
 
+def _slices(bodies: pa.Array) -> Iterator[slice]:
+    """Rows in turn, up to ``SPLIT_BYTES`` of text or one row at a time."""
+    sizes = pc.fill_null(pc.binary_length(bodies), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    before = np.cumsum(sizes) - sizes
+    edges = [*np.flatnonzero(np.diff(before // SPLIT_BYTES, prepend=-1)).tolist(), len(sizes)]
+    return map(slice, edges, edges[1:])
+
+
+def _words(bodies: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, without end tokens, and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(bodies, "")))
+    words, sizes = split.flatten(), pc.list_value_length(split).to_numpy().astype(np.int64)
+    # Space at either end of a text leaves an empty piece there.
+    real = pc.greater(pc.binary_length(words), 0)
+    blank = np.flatnonzero(~real.to_numpy(zero_copy_only=False))
+    np.subtract.at(sizes, np.searchsorted(np.cumsum(sizes), blank, side="right"), 1)
+    return words.filter(real), sizes
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """(w, c) of all tokens of the one text column; written to the shared folder."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        held: list[pa.Table] = []
+
+        def add(words: pa.Array, counts: pa.Array) -> None:
+            held.append(pa.table({"w": words.cast(pa.binary()), "c": counts}))
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())],
-                names=["w", "c"])
-            found.clear()
-            return out
+        def flush() -> Iterator[pa.RecordBatch]:
+            whole = pa.concat_tables(held).group_by("w", use_threads=False).aggregate([("c", "sum")])
+            held.clear()
+            yield from whole.select(["w", "c_sum"]).rename_columns(["w", "c"]).to_batches()
 
         for batch in batches:
-            for text in batch.column(0):
-                found.update(tokens(text.as_py()))
-                if len(found) > TASK_WORDS:
-                    yield flush()
-        yield flush()
+            for rows in _slices(batch.column(0)):
+                bodies = batch.column(0)[rows]
+                found = _words(bodies)[0].value_counts()
+                add(found.field("values"), found.field("counts"))
+                add(pa.array([END]), pa.array([len(bodies)], pa.int64()))
+                if sum(map(len, held)) > 2 * TASK_WORDS:
+                    yield from flush()
+        if held:
+            yield from flush()
 
     parts = texts.mapInArrow(count, "w binary, c bigint")
     return written(parts.groupBy("w").agg(F.sum("c").alias("c")))
@@ -105,14 +132,16 @@ class Classes:
     def size(self) -> int:
         return len(self.head) + self.buckets
 
-    def tail(self, word: bytes) -> int:
-        """Class of a word outside the head: its last four bytes decide."""
-        return len(self.head) + zlib.crc32(word[-4:]) % self.buckets
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        found = np.fromiter(map(self.head.get, words, itertools.repeat(-1)), np.int32, len(words))
-        for i in np.flatnonzero(found < 0).tolist():
-            found[i] = self.tail(words[i])
+    def of(self, words: list[bytes] | pa.Array) -> np.ndarray:
+        """Class of each word; outside the head the last four bytes decide."""
+        if isinstance(words, list):
+            words = pa.array(words, pa.binary())
+        head = pa.array(list(self.head), words.type)
+        found = pc.fill_null(pc.index_in(words, value_set=head), -1).to_numpy().copy()
+        rest = np.flatnonzero(found < 0)
+        ends = pc.binary_slice(words.take(pa.array(rest)), -4).dictionary_encode()
+        buckets = np.array([zlib.crc32(x) % self.buckets for x in ends.dictionary.to_pylist()], found.dtype)
+        found[rest] = len(self.head) + buckets[ends.indices.to_numpy()]
         return found
 
     def shares(self) -> np.ndarray:
@@ -135,11 +164,9 @@ def find_classes(counts: DataFrame, head: int = HEAD, buckets: int = BUCKETS) ->
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, n = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
-            for w, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if w not in found.head:
-                    i = found.tail(w) - len(found.head)
-                    c[i] += k
-                    n[i] += 1
+            i = found.of(batch.column(0)) - len(found.head)
+            np.add.at(c, i[i >= 0], batch.column(1).to_numpy()[i >= 0])
+            n += np.bincount(i[i >= 0], minlength=buckets)
         i = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays(
             [pa.array(i), pa.array(c[i]), pa.array(n[i])], names=["i", "c", "n"])
@@ -160,30 +187,38 @@ class States:
     emit: np.ndarray
 
 
-def _by_length(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by falling length; classes laid out step by step; number of rows of each step."""
+def _joined(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sequences as one array, where each begins, and their lengths."""
     lengths = np.array([len(x) for x in seqs])
+    return np.concatenate(seqs), np.cumsum(lengths) - lengths, lengths
+
+
+def _by_length(
+    joined: np.ndarray, at: np.ndarray, lengths: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Order by falling length; classes laid out step by step; where the rows of each step begin."""
     order = np.argsort(-lengths, kind="stable")
-    at = (np.cumsum(lengths) - lengths)[order]
-    lengths = lengths[order]
+    at, lengths = at[order], lengths[order]
     active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
-    starts = np.concatenate([[0], np.cumsum(active)])
-    joined = np.concatenate(seqs).astype(np.intp)
-    flat = np.empty_like(joined)
-    edges = starts.tolist()
+    edges = [0, *np.cumsum(active).tolist()]
+    flat = np.empty(edges[-1], joined.dtype)
     for a, b in zip(edges, edges[1:]):
         now = at[: b - a]
-        np.take(joined, now, out=flat[a:b], mode="clip")
+        joined.take(now, out=flat[a:b], mode="clip")
         now += 1
-    return order, flat, starts
+    return order, flat.astype(np.intp), edges
 
 
 def forward(model: States, seqs: list[np.ndarray]) -> np.ndarray:
     """Natural log likelihood of every class sequence, by the scaled recursion."""
-    order, flat, starts = _by_length(seqs)
-    s, edges = len(model.start), starts.tolist()
-    total = np.zeros(len(seqs))
-    ones = np.ones(s)
+    return _forward(model, *_joined(seqs))
+
+
+def _forward(model: States, joined: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    order, flat, edges = _by_length(joined, at, lengths)
+    s = len(model.start)
+    total = np.zeros(len(lengths))
+    ones, emits = np.ones(s), np.empty((edges[1], s))
     alpha = model.emit[flat[: edges[1]]] * model.start
     for t in range(1, len(edges)):
         n = edges[t + 1] - edges[t] if t + 1 < len(edges) else 0
@@ -192,12 +227,12 @@ def forward(model: States, seqs: list[np.ndarray]) -> np.ndarray:
         if not n:
             break
         alpha = alpha[:n] @ model.move
-        alpha *= model.emit[flat[edges[t]: edges[t + 1]]]
+        alpha *= model.emit.take(flat[edges[t]: edges[t + 1]], axis=0, out=emits[:n], mode="clip")
         if t % SCALED_STEPS == 0:
             scale = alpha @ ones
             alpha /= scale[:, None]
             total[:n] += np.log(scale)
-    out = np.empty(len(seqs))
+    out = np.empty(len(lengths))
     out[order] = total
     return out
 
@@ -224,50 +259,60 @@ def expected(
     Backward rows begin with the inverse of the last forward sum and are scaled where the
     forward rows were, so the product of both is the share of each state.
     """
-    space = space or Space()
-    order, flat, starts = _by_length(seqs)
-    s, edges = len(model.start), starts.tolist()
-    steps = len(edges) - 1
-    opening = np.array(first)[order]
+    _expected(model, *_joined(seqs), np.array(first), into, space or Space())
+
+
+def _expected(
+    model: States, joined: np.ndarray, at: np.ndarray, lengths: np.ndarray, first: np.ndarray,
+    into: list[np.ndarray], space: Space,
+) -> None:
+    order, flat, edges = _by_length(joined, at, lengths)
+    s, steps = len(model.start), len(edges) - 1
+    opening = first[order]
     ones = np.ones(s)
     emits = np.take(model.emit, flat, axis=0, out=space.array("emits", len(flat), s), mode="clip")
     alphas = space.array("alphas", len(flat), s)
-    alphas[: edges[1]] = np.where(opening[:, None], model.start, 1.0 / s) * emits[: edges[1]]
+    alpha = alphas[: edges[1]]
+    alpha[:] = np.where(opening[:, None], model.start, 1.0 / s) * emits[: edges[1]]
     scales: dict[int, np.ndarray] = {}
     for t in range(1, steps):
         a, b = edges[t], edges[t + 1]
-        alpha = alphas[a:b]
-        np.matmul(alphas[edges[t - 1]:][: b - a], model.move, out=alpha)
+        last, alpha = alpha, alphas[a:b]
+        np.matmul(last[: b - a], model.move, out=alpha)
         alpha *= emits[a:b]
         if t % SCALED_STEPS == 0:
             scales[t] = (alpha @ ones)[:, None]
             alpha /= scales[t]
     back = np.ascontiguousarray(model.move.T)
     moves = np.zeros((s, s))
-    held = space.array("held", s, len(flat))  # share of each state at each token
     beta, ahead = np.empty((edges[1], s)), np.empty((edges[1], s))
     n = 0
     for t in range(steps - 1, -1, -1):
         a, b = edges[t], edges[t + 1]
+        alpha = alphas[a:b]
         if n:
             x = ahead[:n]
             np.multiply(beta[:n], emits[b: b + n], out=x)
             if t + 1 in scales:
                 x /= scales[t + 1]
-            moves += alphas[a: a + n].T @ x
+            moves += alpha[:n].T @ x
             np.matmul(x, back, out=beta[:n])
         if b - a > n:  # these end here
-            beta[n: b - a] = 1.0 / (alphas[a + n: b] @ ones)[:, None]
+            beta[n: b - a] = 1.0 / (alpha[n:] @ ones)[:, None]
         n = b - a
-        np.multiply(beta[:n].T, alphas[a:b].T, out=held[:, a:b])
-    into[0] += held[:, : edges[1]][:, opening].sum(axis=1)
+        alpha *= beta[:n]  # from here on the share of each state
+    into[0] += alphas[: edges[1]][opening].sum(axis=0)
     into[1] += moves * model.move
+    held = emits.reshape(s, -1)  # the emissions have done their work
+    for i in range(0, len(flat), TURNED):
+        held[:, i: i + TURNED] = alphas[i: i + TURNED].T
     for k in range(s):
         into[2][:, k] += np.bincount(flat, weights=held[k], minlength=model.emit.shape[0])
 
 
 def _empty(states: int, classes: int) -> list[np.ndarray]:
-    return [np.zeros(states), np.zeros((states, states)), np.zeros((classes, states))]
+    # A state's emissions lie together, as they are added up state by state.
+    return [np.zeros(states), np.zeros((states, states)), np.zeros((classes, states), order="F")]
 
 
 def maximised(sums: list[np.ndarray], shares: np.ndarray, prior: float = PRIOR) -> States:
@@ -275,37 +320,53 @@ def maximised(sums: list[np.ndarray], shares: np.ndarray, prior: float = PRIOR)
     start = sums[0] + 1.0
     move = sums[1] + 1.0
     emit = sums[2] + prior * shares[:, None]
-    return States(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
-
-
-def stretches(classes: np.ndarray, stretch: int) -> Iterator[tuple[np.ndarray, bool]]:
-    for i in range(0, len(classes), stretch):
-        yield classes[i: i + stretch], i == 0
-
-
-def _near(items: Iterator[tuple[np.ndarray, object]]) -> Iterator[tuple[list, list]]:
-    """Batches of sequences and what goes with each; those of about equal length come together."""
-
-    def dealt(some: list) -> Iterator[tuple[list, list]]:
-        seqs, others, size = [], [], 0
-        for seq, other in sorted(some, key=lambda x: len(x[0])):
-            seqs.append(seq)
-            others.append(other)
-            size += len(seq)
-            if size >= BATCH_TOKENS:
-                yield seqs, others
-                seqs, others, size = [], [], 0
-        if seqs:
-            yield seqs, others
+    emit = np.ascontiguousarray(emit / emit.sum(axis=0))  # it is read class by class
+    return States(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit)
+
+
+def _sequences(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The class sequences of a batch, none of them empty, as ``_joined`` gives them."""
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, wide)[column.offset: column.offset + len(column) + 1].astype(np.int64)
+    joined = np.frombuffer(data, np.uint8)[ends[0]: ends[-1]].view(kind)
+    return joined, (ends[:-1] - ends[0]) // kind.itemsize, np.diff(ends) // kind.itemsize
+
+
+def _stretches(
+    joined: np.ndarray, at: np.ndarray, lengths: np.ndarray, stretch: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same sequences in stretches, and whether a stretch opens its sequence."""
+    n = -(-lengths // stretch)
+    of = np.repeat(np.arange(len(n)), n)
+    done = (np.arange(len(of)) - (np.cumsum(n) - n)[of]) * stretch
+    return joined, at[of] + done, np.minimum(stretch, lengths[of] - done), done == 0
+
+
+def _near(found: Iterator[tuple]) -> Iterator[tuple]:
+    """Batches of sequences with what goes with each; those of about equal length come together."""
+
+    def dealt(some: list[tuple]) -> Iterator[tuple]:
+        ahead = np.cumsum([0, *(len(x[0]) for x in some)])
+        joined = np.concatenate([x[0] for x in some]) if len(some) > 1 else some[0][0]
+        at = np.concatenate([x[1] + a for x, a in zip(some, ahead)])
+        lengths, others = (np.concatenate([x[i] for x in some]) for i in (2, 3))
+        order = np.argsort(lengths, kind="stable")
+        before = np.cumsum(lengths[order]) - lengths[order]
+        edges = [*np.flatnonzero(np.diff(before // BATCH_TOKENS, prepend=-1)).tolist(), len(order)]
+        for a, b in zip(edges, edges[1:]):
+            own = order[a:b]
+            yield joined, at[own], lengths[own], others[own]
 
     some, size = [], 0
-    for item in items:
+    for item in found:
         some.append(item)
         size += len(item[0])
         if size >= SORTED_TOKENS:
             yield from dealt(some)
             some, size = [], 0
-    yield from dealt(some)
+    if some:
+        yield from dealt(some)
 
 
 def opening_states(classes: Classes, states: int = STATES, seed: int = 11) -> States:
@@ -326,28 +387,27 @@ def read_texts(docs: DataFrame, classes: Classes, text: str = "text", key: str |
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        head = len(own.head)
         for batch in batches:
-            keys, bodies = batch.column(0), batch.column(1)
-            at = 0
-            while at < len(bodies):
-                seqs, ends, words, times, size = [], [0], [], [], 0
-                while at + len(seqs) < len(bodies) and size < BATCH_TOKENS:
-                    found = tokens(bodies[at + len(seqs)].as_py())
-                    seq = own.of(found)
-                    tail = Counter([found[i] for i in np.flatnonzero(seq >= head).tolist()])
-                    words.extend(tail)
-                    times.extend(tail.values())
-                    ends.append(len(words))
-                    seqs.append(seq.astype(kind).tobytes())
-                    size += len(found)
-                pairs = pa.StructArray.from_arrays(
-                    [pa.array(words, pa.binary()), pa.array(times, pa.int64())], fields=list(pair))
+            for rows in _slices(batch.column(1)):
+                bodies = batch.column(1)[rows]
+                words, sizes = _words(bodies)
+                coded = words.dictionary_encode()
+                known, codes = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy()
+                seq = own.of(known).astype(kind)[codes]
+                of = np.repeat(np.arange(len(bodies)), sizes)
+                outside = np.flatnonzero(seq >= len(own.head))
+                pairs, times = np.unique(of[outside] * len(known) + codes[outside], return_counts=True)
+                firsts = np.searchsorted(pairs, np.arange(len(bodies) + 1) * len(known))
+                tail = pa.StructArray.from_arrays(
+                    [known.take(pa.array(pairs % max(1, len(known)))), pa.array(times, pa.int64())], fields=list(pair))
+                seq = np.insert(seq, np.cumsum(sizes), own.head[END])
+                ends = np.concatenate([[0], np.cumsum(sizes + 1)]) * kind.itemsize
                 yield pa.RecordBatch.from_arrays([
-                    keys.slice(at, len(seqs)), pa.array(seqs, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs, type=pa.list_(pair)),
+                    batch.column(0)[rows],
+                    pa.Array.from_buffers(pa.binary(), len(bodies), [
+                        None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(seq)]),
+                    pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), tail, type=pa.list_(pair)),
                 ], names=["k", "s", "tail"])
-                at += len(seqs)
 
     k = F.lit(0) if key is None else F.col(f"`{key}`")
     rows = docs.select(k.alias("k"), F.col(f"`{text}`").alias("t"))
@@ -375,10 +435,9 @@ def baum_welch(sequences: DataFrame, classes: Classes, model: States) -> States:
         now = shared.value
         sums, space = _empty(s, size), Space()
         pieces = (
-            piece for batch in batches for seq in batch.column(0)
-            for piece in stretches(np.frombuffer(seq.as_py(), kind), STRETCH))
-        for group, first in _near(pieces):
-            expected(now, group, first, sums, space)
+            _stretches(*_sequences(batch.column(0), kind), STRETCH) for batch in batches if batch.num_rows)
+        for group in _near(pieces):
+            _expected(now, *group, sums, space)
         rows = [(-1, sums[0]), (-2, sums[1])]
         rows += [(i // BLOCK, sums[2][i: i + BLOCK]) for i in range(0, size, BLOCK)]
         rows = [(k, v) for k, v in rows if v.any()]
@@ -459,23 +518,36 @@ def score_read(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, by_class = shared.value, tables.value
-        found = (
-            (np.frombuffer(s.as_py(), kind), i) for batch in batches
-            for i, s in zip(batch.column(0).to_pylist(), batch.column(1)))
-        for seqs, ids in _near(found):
-            lengths = np.array([len(s) for s in seqs])  # 1 or more: the end token
-            starts, joined = np.cumsum(lengths) - lengths, np.concatenate(seqs)
-            sums = [np.add.reduceat(t[joined], starts) for t in by_class]
+
+        def read() -> Iterator[tuple]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                joined, at, lengths = _sequences(batch.column(1), kind)
+                ids = batch.column(0).to_numpy()
+                edges = [*np.flatnonzero(np.diff(at // BATCH_TOKENS, prepend=-1)).tolist(), len(at)]
+                for a, b in zip(edges, edges[1:]):
+                    some, starts = joined[at[a]: at[b - 1] + lengths[b - 1]], at[a:b] - at[a]
+                    others = np.empty(b - a, [("id", "i8"), ("head", "f8"), ("known", "i8"), ("places", "f8")])
+                    others["id"] = ids[a:b]
+                    for name, by in zip(("head", "known", "places"), by_class):
+                        others[name] = np.add.reduceat(by[some], starts)
+                    yield some, starts, lengths[a:b], others
+
+        for joined, at, lengths, others in _near(read()):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()),
-                 pa.array(forward(now, seqs) / np.log(10.0)), *map(pa.array, sums)],
+                [pa.array(others["id"]), pa.array(lengths, pa.int64()),
+                 pa.array(_forward(now, joined, at, lengths) / np.log(10.0)),
+                 *(pa.array(others[x]) for x in ("head", "known", "places"))],
                 names=["id", "n_tokens", "hmm", "head", "head_known", "places"])
 
     shape = "id bigint, n_tokens bigint, hmm double, head double, head_known bigint, places double"
     passed = rows.select("id", "s").mapInArrow(score, shape)
     spread = rows.select("id", F.explode("tail").alias("x")).select("id", "x.w", "x.n")
-    looked = spread.join(counts, "w").groupBy("id").agg(
-        F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("tail_log"), F.sum("n").alias("tail_known"))
+    # Words are counted once, so a task's part of the counts makes a small table; nothing is sorted.
+    logs = counts.select("w", F.log10(F.col("c") + 1).alias("log")).hint("shuffle_hash")
+    looked = spread.join(logs, "w").groupBy("id").agg(
+        F.sum(F.col("n") * F.col("log")).alias("tail_log"), F.sum("n").alias("tail_known"))
     base = float(np.log10(classes.total + classes.distinct + 1.0))
     tail_log = F.coalesce("tail_log", F.lit(0.0))
     return rows.select("id", "k").join(passed, "id").join(looked, "id", "left").select(

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +150,48 @@ def test_hmm_learns_from_all_texts_at_every_step(spark):
     assert np.allclose(states.emit, model.emit)
 
 
+def test_words_split_in_bulk_are_the_plain_tokens(monkeypatch):
+    monkeypatch.setattr(hmm, "SPLIT_BYTES", 40)
+    bodies = [
+        " \t Ab aB\n\x0b\x0c\r ab ", "", None, " ", "x", "\x1c \x1d\x85 \xa0\u2003y \x00 \x00", "ÄÖ İx ΑΣ 日本 é́",
+        "abcdefgh" * 20 + " Z" + "z" * 70, "ab  cd ab", "", "tail"]
+    column = pa.array(bodies, pa.string())
+    parts = list(hmm._slices(column))
+    assert len(parts) > 2 and [i for part in parts for i in range(len(bodies))[part]] == list(range(len(bodies)))
+    got = []
+    for part in parts:
+        words, sizes = hmm._words(column[part])
+        flat = iter(words.cast(pa.binary()).to_pylist())
+        got += [[*(next(flat) for _ in range(n)), hmm.END] for n in sizes]
+        assert next(flat, None) is None
+    assert got == [hmm.tokens(b) for b in bodies]
+    classes = hmm.Classes({hmm.END: 0, b"ab": 1}, np.array([1, 1]), 16, np.zeros(16, int), np.zeros(16, int), 2, 2)
+    for words in got:
+        assert classes.of(words).tolist() == [classes.head.get(w, 2 + zlib.crc32(w[-4:]) % 16) for w in words]
+
+
+def test_class_sequences_are_dealt_in_bulk(monkeypatch):
+    monkeypatch.setattr(hmm, "BATCH_TOKENS", 30)
+    monkeypatch.setattr(hmm, "SORTED_TOKENS", 60)
+    draw = np.random.default_rng(6)
+    seqs = [draw.integers(0, 99, n).astype(np.uint16) for n in (3, 1, 25, 8, 16, 40, 7, 8, 9)]
+    column = pa.array([s.tobytes() for s in seqs], pa.binary())
+    batches = [column[:0], column[:4], column[4:]]
+    found = (hmm._stretches(*hmm._sequences(c, np.dtype(np.uint16)), 8) for c in batches if len(c))
+    got = Counter()
+    for joined, at, lengths, first in hmm._near(found):
+        got.update((joined[a: a + n].tobytes(), bool(f)) for a, n, f in zip(at, lengths, first, strict=True))
+    assert got == Counter((s[i: i + 8].tobytes(), i == 0) for s in seqs for i in range(0, len(s), 8))
+
+
+def test_words_outside_the_head_are_looked_up_without_a_sort(docs, nothing):
+    counts = hmm.word_counts(docs.select("text"))
+    classes, states = hmm.fit(docs.select("text"), counts, states=2, head=5, buckets=4, iterations=1, sample_iterations=0)
+    scored = hmm.score_texts(docs, counts, classes, states)
+    plan = scored._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin [w#" in plan and "SortMergeJoin [w#" not in plan
+
+
 def test_packing_round_trip(spark, docs, nothing):
     from tokenizers import Tokenizer
 
