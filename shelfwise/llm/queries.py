@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm import (
-    ann, hmm, iblt, langid, mixing, packing, quality, sharding, simhash, successors, suffixes, tagpaths,
-    trie, whitening,
+    ann, hmm, iblt, langid, mixing, packing, passages, quality, sharding, simhash, successors, suffixes,
+    tagpaths, trie, whitening,
 )
 from shelfwise.llm.common import fold, table, texts, written
 
@@ -55,8 +55,8 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return suffixes.cut_repeats(docs).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
+    return suffixes.cut_repeats(docs, words=passages.WORDS).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "n_passage_words")
 
 
 def op8_language_model(spark: SparkSession, folder: str) -> DataFrame:

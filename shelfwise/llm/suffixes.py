@@ -39,7 +39,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.llm import passages
 from shelfwise.llm.common import put, texts, written
+from shelfwise.llm.passages import lowest
 
 LENGTH = 400
 LEAD = 32
@@ -60,15 +62,7 @@ def named_suffixes(body: bytes, length: int = LENGTH, lead: int = LEAD) -> tuple
         for i in range(8, lead, 8):
             h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + words[i: i + m]
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    packed = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(m, dtype=np.uint64)
-    rows = -(-m // w)
-    padded = np.full(rows * w, np.iinfo(np.uint64).max)
-    padded[:m] = packed
-    padded = padded.reshape(rows, w)
-    ahead = np.minimum.accumulate(padded, axis=1).ravel()
-    back = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
-    count = n - length + 1
-    named = (np.minimum(back[:count], ahead[w - 1: w - 1 + count]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    named, count = lowest(h, w), n - length + 1
     first = np.flatnonzero(np.concatenate([[True], named[1:] != named[:-1]]))
     last = np.concatenate([first[1:] - 1, [count - 1]])
     pos = named[first]
@@ -226,8 +220,13 @@ def _bucket_spans(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, hot_lead: int = HOT_LEAD) -> DataFrame:
-    """(t, spans): per distinct text (MD5) its repeated byte spans, sorted and apart."""
+def repeated_spans(
+    docs: DataFrame, text: str = "text", length: int = LENGTH, hot_lead: int = HOT_LEAD, words: int | None = None,
+) -> DataFrame:
+    """(t, spans): per distinct text (MD5) its repeated byte spans, sorted and apart.
+
+    With ``words`` also n_passage_words, the words of its repeated passages of so many words.
+    """
     body = texts(F.col(f"`{text}`"))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,18 +261,26 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, ho
     copied = again.where("mixed").join(
         each.where("times > 1").select("h", "ctx"), ["h", "ctx"], "left_semi").select(*span)
 
-    asked = each.select("h", F.col("times").alias("n"), "rep.*").groupBy("t").agg(
-        F.collect_list(F.struct("h", "n", "pos", "before", "after")).alias("asked"))
-    kept = docs.select(body.alias("text")).where(F.octet_length("text") >= length)
+    asked = each.select("h", F.lit(None).cast("bigint").alias("ctx"), F.col("times").alias("n"), "rep.*")
+    if words:  # these contexts come along in the same join
+        word_leads = passages.repeated_leads(docs, body, words)
+        asked = asked.unionByName(passages.contexts_to_compare(word_leads).select(
+            "h", "ctx", "n", "t", F.col("a").cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("before"),
+            F.col("size").cast("bigint").alias("after")))
+    asked = asked.groupBy("t").agg(
+        F.collect_list(F.struct("h", "ctx", "n", "pos", "before", "after")).alias("asked"))
+    kept = docs.select(body.alias("text")).where(F.octet_length("text") >= (min(length, 2 * words - 1) if words else length))
     kept = kept.select("text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("t"))
     # Any of several equal texts serves: the smallest partition-local one, then one of all.
     found = kept.join(asked, "t").dropDuplicates(["t"])
     raw = F.col("text").cast("binary")
     item = F.col("x")
     contexts = written(found.select("t", raw.alias("raw"), F.explode("asked").alias("x")).select(
-        "t", "x.h", "x.n", "x.pos", "x.before", "x.after",
+        "t", "x.h", "x.ctx", "x.n", "x.pos", "x.before", "x.after",
         F.substring(F.col("raw"), item.pos - item.before + 1, item.before + item.after).alias("bytes"),
-    ))
+    ), codec="zstd")  # contexts of a text overlap
+    of_words = contexts.where("ctx is not null")
+    contexts = contexts.where("ctx is null").drop("ctx")
     hot = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot_lead).select(
         "h", F.ceil(F.col("k") / hot_lead).cast("int").alias("blocks"))
     spread = contexts.join(hot, "h", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -287,20 +294,24 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, ho
     compared = dealt.mapInArrow(_bucket_spans(length), "t binary, a bigint, b bigint")
 
     every = whole.unionByName(own).unionByName(copied).unionByName(compared)
-    return every.dropDuplicates().groupBy("t").agg(
+    spans = every.dropDuplicates().groupBy("t").agg(
         F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    return spans.join(passages.count_words(word_leads, of_words, words), "t", "full") if words else spans
 
 
 def cut_repeats(
     docs: DataFrame, text: str = "text", length: int = LENGTH, hot_lead: int = HOT_LEAD,
-    with_text: bool = True,
+    with_text: bool = True, words: int | None = None,
 ) -> DataFrame:
     """All rows with n_bytes, n_removed, n_spans, kept_sha256 and, if asked, the kept text.
 
+    With ``words`` also n_passage_words: words of the input text in runs of so many words that
+    another row holds too, of any length in bytes. They are counted and not removed.
+
     Cuts are made between bytes; a character that a cut leaves incomplete goes from the kept
     text (not from the hash).
     """
-    spans = repeated_spans(docs, text, length, hot_lead)
+    spans = repeated_spans(docs, text, length, hot_lead, words)
     names = [c for c in docs.columns if c != text]
     body = texts(F.col(f"`{text}`"))
     left = docs.select(
@@ -327,5 +338,9 @@ def cut_repeats(
     results = {c: F.col(f"r.{c}") for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
     if with_text:
         results[text] = F.col("r.text")
-    base = done.select(*[F.col("row").getField(c).alias(c) for c in names], "r")
-    return put(base, results).drop("r")
+    held = []
+    if words:
+        held = [F.coalesce("n_passage_words", F.lit(0)).alias("held")]
+        results["n_passage_words"] = F.col("held")
+    base = done.select(*[F.col("row").getField(c).alias(c) for c in names], "r", *held)
+    return put(base, results).drop("r", "held")

@@ -1,6 +1,7 @@
 """Neighbours, mixing, near-duplicates, repeats, sketches, articles and the pipeline."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -161,6 +162,52 @@ def test_repeats_against_brute_force(docs, nothing, hot):
     assert suffixes.cut_repeats(nothing).count() == 0
 
 
+def passage_words(bodies, words):
+    """Words in runs of so many words that another row holds too."""
+    held = [b.split() for b in bodies]
+    runs = [[tuple(w[i: i + words]) for i in range(len(w) - words + 1)] for w in held]
+    rows_of = Counter(r for own in runs for r in set(own))
+    return [len({i + k for i, r in enumerate(own) if rows_of[r] > 1 for k in range(words)}) for own in runs]
+
+
+def passage_rows():
+    draw = random.Random(11)
+    make = lambda n: [draw.choice("abcdefg") + str(draw.randint(0, 99)) for _ in range(n)]
+    short, other = make(51), make(75)
+    texts = [make(30) + p + make(45) for p in (short, short, short[:-1], other, other[3:], other[:60], other[12:70]) for _ in (0, 1)]
+    texts += [short, short + short, make(5) + short + make(7) + short, make(20) + other + other + other, make(10), []]
+    alone = make(60)
+    texts += [alone + make(3) + alone, make(70)]
+    rows = [" ".join(t) for t in texts]
+    rows += ["\n\t".join(texts[0]), rows[-1], rows[-1], "\u00e9 " * 120, "\u00e9\u3000" * 70, None]
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("words", [51, 12])
+def test_passage_words_against_brute_force(spark, docs, nothing, words):
+    own = spark.createDataFrame(passage_rows(), "doc_id bigint, text string").repartition(3)
+    for df in (own, docs):
+        rows = suffixes.cut_repeats(df, words=words).collect()
+        texts = [(r["text"] or "").encode() for r in df.collect()]
+        got = sorted((r["n_bytes"], r["n_passage_words"]) for r in rows)
+        assert got == sorted(zip(map(len, texts), passage_words(texts, words)))
+        bare = suffixes.cut_repeats(df).drop("n_passage_words").collect()
+        same = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+        assert Counter(tuple(r[c] for c in same) for r in rows) == Counter(tuple(r[c] for c in same) for r in bare)
+    assert suffixes.cut_repeats(nothing, words=words).count() == 0
+
+
+def test_op7_tells_passages_below_its_length(spark, tmp_path):
+    """A passage of 51 words and 254 bytes in two rows: nothing is removed, and both rows say so."""
+    make = lambda n, k: " ".join(f"{n}{i:03d}" for i in range(k))
+    passage = make("p", 51)
+    rows = [(1, f"{make('a', 40)} {passage} {make('b', 40)}"), (2, f"{passage} {make('c', 90)}"), (3, make("d", 200)), (4, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op7_suffixes"](spark, str(tmp_path)).collect()}
+    assert [got[i]["n_removed"] for i in (1, 2, 3, 4)] == [0] * 4
+    assert [got[i]["n_passage_words"] for i in (1, 2, 3, 4)] == [51, 51, 0, 0]
+
+
 def test_multikey_sort():
     draw = np.random.default_rng(8)
     rows = draw.integers(0, 2, (200, 24)).astype(np.uint8)
